@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from pointspark.llm import packing
+from pointspark.llm import langid, linededup, mixing, packing, simhash
 
-MODULES = (packing,)
+MODULES = (packing, mixing, simhash, langid, linededup)
 
 
 def queries() -> dict:
