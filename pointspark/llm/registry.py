@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from pointspark.llm import langid, linededup, mixing, packing, simhash
+from pointspark.llm import classifier, langid, linededup, mixing, packing, pii, quality, simhash, topk, urlfilter
 
-MODULES = (packing, mixing, simhash, langid, linededup)
+MODULES = (packing, mixing, classifier, simhash, urlfilter, topk, pii, langid, quality, linededup)
 
 
 def queries() -> dict:
