@@ -1,9 +1,12 @@
 """Every registered query of the library and its SQL twin."""
 
+from pointspark.plans import core, selection  # noqa: F401  (they register)
+from pointspark.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
