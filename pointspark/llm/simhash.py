@@ -105,7 +105,7 @@ def roots_in_buckets(bucket: np.ndarray, fp: np.ndarray, radius: int, width: int
     # larger ones by blocks of a matrix that is never kept
     for s, m in zip(start[size > width].tolist(), size[size > width].tolist(), strict=True):
         x, own = fp[s : s + m], np.arange(m)
-        step = max(1, (1 << 22) // m)
+        step = max(1, (1 << 20) // m)
         while True:
             new = own.copy()
             for i in range(0, m, step):
