@@ -1,6 +1,6 @@
 """Every registered query of the library and its SQL twin."""
 
-from pointspark.plans import aggregates, core, joins, selection  # noqa: F401  (they register)
+from pointspark.plans import aggregates, core, graphs, joins, scalars, selection, streams  # noqa: F401  (they register)
 from pointspark.plans.registry import QUERIES, SQL
 
 
