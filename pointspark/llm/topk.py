@@ -26,52 +26,76 @@ K = 20
 QUERY_EVERY = 20
 #: Vectors in a block, expected; a task holds one block of each kind.
 QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 1024
+CANDIDATE_BLOCK = 4096
+#: Candidates whose lists are read together, and queries that read them together.
+LISTS = 1024
+READERS = 512
 #: Parts of the lists that are read before what is left is read to the end.
 DEPTHS = (0.5, 0.75)
 
 
-def bounds(q: np.ndarray, lists: np.ndarray, x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds (queries x candidates) after the first depth entries of every list.
+def read_parts(x: np.ndarray, lists: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates' sides of the lower and upper bounds after depth entries of every list.
 
-    lists has x's columns sorted upwards; depth is below their length.
+    lists has x's columns sorted upwards; depth is below their length. The left
+    half of the columns is read from above, the right half from below.
     """
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
     n = len(x)
-    high, low = lists[n - depth], lists[depth - 1]  # where reading from above and from below stands
-    top = np.concatenate([np.maximum(x, high), np.minimum(x, low)], axis=1)
-    # an unread entry counts with the value where reading stands, or with the list's far end
-    down = np.concatenate([np.where(x >= high, x, lists[0]), np.where(x <= low, x, lists[-1])], axis=1)
-    own = np.concatenate([plus, minus], axis=1)
-    return own @ down.T, own @ top.T
+    high, low = lists[n - depth], lists[depth - 1]  # where reading stands
+    # an unread entry counts with the list's far end, or with the value where reading stands
+    lower = np.concatenate([np.where(x >= high, x, lists[0]), np.where(x <= low, x, lists[-1])], axis=1)
+    upper = np.concatenate([np.maximum(x, high), np.minimum(x, low)], axis=1)
+    return lower, upper
 
 
-def block_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, candidate index, score) of the pairs that can be among the k best, k or few more a query."""
-    n = len(x)
-    lists = np.sort(x, axis=0)
-    alive = ids[None, :] != q_ids[:, None]
-    floor = np.full(len(q), -np.inf)
-    for part in depths:
-        depth = min(n - 1, int(n * part))
-        if depth < 1 or n <= k:
-            continue
-        lower, upper = bounds(q, lists, x, depth)
-        lower[~alive] = -np.inf
-        floor = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
-        alive &= upper >= floor[:, None]
-        if alive.sum() <= 4 * k * len(q):
-            break
-    a, b = np.nonzero(alive)
-    scores = np.empty(len(a), x.dtype)
-    for i in range(0, len(a), 1 << 16):
-        s = slice(i, i + (1 << 16))
-        scores[s] = (q[a[s]] * x[b[s]]).sum(axis=1)
-    order = np.lexsort((ids[b], -scores, a))
-    a, b, scores = a[order], b[order], scores[order]
-    first = np.searchsorted(a, np.arange(len(q)))
-    keep = np.arange(len(a)) - first[a] < k
-    return a[keep], b[keep], scores[keep]
+def bounds(q: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Bounds (queries x candidates): a query reads each list from the end that its component favours."""
+    return np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1) @ parts.T
+
+
+def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, candidate index, score) of each query's k best candidates, ties to the smaller id; ids ascend.
+
+    Lists of LISTS candidates are read one after the other. The k-th best score
+    so far (from known scores, or while there are fewer than k from lower
+    bounds) rules out what cannot reach it.
+    """
+    lowest = -np.inf
+    pool_score = np.full((len(q), k), lowest, np.float64 if x.dtype != object else object)
+    pool_at = np.full((len(q), k), -1, np.int64)
+    for begin in range(0, len(x), LISTS):
+        part, part_ids = x[begin : begin + LISTS], ids[begin : begin + LISTS]
+        n, lists = len(part), np.sort(part, axis=0)
+        read = [read_parts(part, lists, d) for d in (min(n - 1, int(n * p)) for p in depths) if d > 0]
+        for i in range(0, len(q), READERS):
+            some = slice(i, i + READERS)
+            alive = part_ids[None, :] != q_ids[some, None]
+            floor = pool_score[some, -1].copy()
+            for lower, upper in read:
+                if n > k and (floor == lowest).any():
+                    low = bounds(q[some], lower)
+                    low[~alive] = lowest
+                    floor = np.maximum(floor, np.partition(low, n - k, axis=1)[:, n - k])
+                alive &= bounds(q[some], upper) >= floor[:, None]
+                if alive.sum() <= 2 * k * len(alive):
+                    break
+            a, b = np.nonzero(alive)
+            scores = np.empty(len(a), x.dtype)
+            for j in range(0, len(a), 1 << 15):
+                s = slice(j, j + (1 << 15))
+                scores[s] = np.einsum("ij,ij->i", q[i + a[s]], part[b[s]]) if x.dtype != object else (q[i + a[s]] * part[b[s]]).sum(axis=1)
+            fit = scores >= floor[a]
+            a, b, scores = a[fit], b[fit], scores[fit]
+            # what was known comes first, so that equal scores stay in the order of ids
+            rows = np.concatenate([np.repeat(np.arange(len(alive)), k), a])
+            score = np.concatenate([pool_score[some].ravel(), scores])
+            at = np.concatenate([pool_at[some].ravel(), begin + b])
+            order = np.lexsort((at, -score, rows))
+            rows = rows[order]
+            keep = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+            pool_score[some], pool_at[some] = score[keep].reshape(-1, k), at[keep].reshape(-1, k)
+    a, b = np.nonzero(pool_at >= 0)
+    return a, pool_at[a, b], pool_score[a, b]
 
 
 def number_type(dim: int, largest: float) -> type:
@@ -130,12 +154,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
         order = np.argsort(ids, kind="stable")
         most = int(np.unique(ids, return_counts=True)[1].max())
         xm, ids = xm[order], ids[order]
-        frames = []
-        for i in range(0, len(qm), 512):
-            qa, xb, score = block_top(qm[i : i + 512], q_ids[i : i + 512], xm, ids, k * most)
-            score = score.astype(np.int64) if kind is not object else np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in score], np.int64)
-            frames.append(pd.DataFrame({"query_id": q_ids[i + qa], "vec_id": ids[xb], "score": score}))
-        return pd.concat(frames)
+        qa, xb, score = best_of(qm, q_ids, xm, ids, k * most)
+        score = score.astype(np.int64) if kind is not object else np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in score], np.int64)
+        return pd.DataFrame({"query_id": q_ids[qa], "vec_id": ids[xb], "score": score})
 
     found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(pair, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
