@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointspark.llm.names import free_names
 from pointspark.operators.graph import connected_components
 from pointspark.session import materialize
 
@@ -26,6 +27,9 @@ SHINGLE = 3
 #: Members of a bucket beyond which it is divided by further masks over the bits that it leaves open.
 BUCKET = 1024
 
+#: Parts into which the rows of a repeated fingerprint are dealt.
+SALTS = 16
+
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -183,14 +187,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     own = materialize(slim.mapInArrow(hashed, "doc_id long, fp long, text_hash long"), "fingerprints")
-    prints = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     groups = connected_components(links(prints.select("fp"), radius, bucket))
     # fingerprints with a link, and the smallest id of their group; the others are alone
     linked = prints.join(groups, prints["fp"] == groups["node"]).select("fp", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "component").select("fp", "component_id")
-    whole = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    whole = prints.join(linked, "fp", "left").select("fp", "least", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    # copies of one text may be a third of all rows: their fingerprint is met in SALTS places, one that occurs once in its only one
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    places = F.when((F.col("copies") == 1) & F.col("least").isNotNull(), F.array(salt("least"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    whole = whole.select("fp", "component_id", F.explode(places).alias("salt"))
+    joined = own.withColumn("salt", salt("doc_id")).join(whole, ["fp", "salt"])
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5) -> DataFrame:
@@ -202,15 +211,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5) -> DataFrame:
     Of repeated rows of that doc_id one stays. Rows with a null doc_id stay only
     where their whole group has none, one of them. All columns are kept.
     """
+    text_hash, id_, hash_ = free_names(docs.columns, "text_hash", "dropped_id", "dropped_hash")
     found = materialize(near_duplicates(docs, shingle, radius), "near-duplicates")
     stay = found.where("doc_id <=> component_id").groupBy("fingerprint", "component_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n"))
     # a group may hold its smallest id in several rows; the first fingerprint stands for it
     stay = stay.groupBy("component_id").agg(F.min_by(F.struct("text_hash"), F.struct("fingerprint", "text_hash")).alias("x"), F.sum("n").alias("n")).select(F.col("component_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("n").alias("_n"))
     stay = materialize(stay, "kept-ids")
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    out = marked.join(stay.select("_id", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    # fewer rows go than stay, so those are named
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    gone = materialize(found.join(stay, same, "left_anti").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct(), "dropped-ids")
+    marked = docs.withColumn(text_hash, F.xxhash64("text"))
+    out = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)), "left_anti")
     if stay.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_text_hash"])
+        out = out.dropDuplicates(["doc_id", text_hash])
     return out.select(*docs.columns)
 
 
