@@ -76,6 +76,66 @@ def unified_ids(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs).select(F.col("node").alias("old"), F.col("component").alias("new"))
 
 
+def pixel_components(pixels: DataFrame, by: tuple[str, ...] = ("frame", "cam")) -> DataFrame:
+    """(by, row, col, component, size): 8-connected parts of masks, component the smallest pixel key."""
+    p = pixels.select(*by, "row", "col").distinct().withColumn("key", F.xxhash64(*by, "row", "col"))
+    # each edge from one end only
+    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    sent = p.withColumn("s", F.explode(ahead)).select(*by, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), F.col("key").alias("from"))
+    edges = sent.join(p, [*by, "row", "col"]).select(F.col("from").alias("a"), F.col("key").alias("b"))
+    comps = connected_components(edges)
+    found = p.join(comps, p["key"] == comps["node"], "left").withColumn("component", F.coalesce("component", "key"))
+    size = found.groupBy("component").agg(F.count("*").alias("size"))
+    return found.join(size, "component").select(*by, "row", "col", "component", "size")
+
+
+def prompt_objects(voxels: DataFrame, scales: tuple[tuple[float, int], ...] = ((0.6, 30), (1.2, 50)), size: float = 1.0, negatives: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(prompts, negatives) for the voxels of keyframes (kf, vx, vy, vz).
+
+    At each scale (radius in the voxels' unit, members) the clusters' middle
+    members are prompts, numbered from 1000 by keyframe, scale and place. A
+    prompt's negatives are the nearest clusters of the last scale that are
+    further off than its radius.
+    """
+    from pointspark.operators.ordered import numbered
+
+    keyed = voxels.select(F.col("kf"), *VOXEL).distinct().withColumn("key", F.xxhash64("kf", *VOXEL))
+    found = None
+    for i, (eps, least) in enumerate(scales):
+        c = dbscan(keyed, eps / size, least, "key", by=("kf",)).where("cluster is not null")
+        c = c.join(keyed, ["key", "kf"]).withColumn("scale", F.lit(i))
+        found = c if found is None else found.unionByName(c)
+    found = materialize(found, "clusters")
+    r = representatives(found, ("kf", "scale", "cluster"), "key", VOXEL)
+    w = Window.partitionBy("kf", "scale").orderBy(*VOXEL)
+    placed = r.withColumn("j", F.row_number().over(w) - 1)
+    prompts = numbered(placed.select("kf", "scale", "j", "cluster", *VOXEL), ("kf", "scale", "j"), 1000, "obj_id")
+    last = found.where(F.col("scale") == len(scales) - 1).select("kf", F.col("cluster").alias("other"), *[F.col(a).alias(f"o{a}") for a in VOXEL])
+    d2 = G.squared_distance([F.col(a) for a in VOXEL], [F.col(f"o{a}") for a in VOXEL])
+    far = prompts.join(last, "kf").groupBy("kf", "obj_id", "other").agg(F.min(d2).alias("d2")).where(F.col("d2") > (scales[-1][0] / size) ** 2)
+    names = prompts.where(F.col("scale") == len(scales) - 1).select("kf", F.col("cluster").alias("other"), F.col("obj_id").alias("neg_obj_id"))
+    rank = F.row_number().over(Window.partitionBy("obj_id").orderBy("d2", "neg_obj_id"))
+    neg = far.join(names, ["kf", "other"]).withColumn("rank", rank).where(F.col("rank") <= negatives).select("obj_id", "rank", "neg_obj_id")
+    return prompts.drop("cluster"), neg
+
+
+def ground_textures(points: DataFrame, resolution: float, clusters: int, reach: int = 2, rounds: int = 30) -> DataFrame:
+    """(row, col, class): cells of the ground by the texture around them, classes from 1."""
+    from pointspark.operators import aggregates as A
+
+    scaled = points.withColumn("intensity", A.range_intensity(F.col("x"), F.col("y"), F.col("z"), F.col("intensity")))
+    cells = materialize(A.bev_max(scaled, resolution), "cells")
+    edges = [r.edge for r in A.quantile_edges(cells).orderBy("k").collect()]  # eleven rows
+    bins = len(edges) - 1
+    shares = A.focal_histogram(cells, edges, reach)
+    vector = F.array(*[F.coalesce(F.max(F.when(F.col("bin") == k, F.col("share"))), F.lit(0.0)) for k in range(bins)])
+    rows = cells.select("row", "col").join(shares.groupBy("row", "col").agg(vector.alias("v")), ["row", "col"], "left")
+    rows = rows.withColumn("v", F.coalesce("v", F.array(*[F.lit(0.0)] * bins)))
+    rows = materialize(A.l2_normalized(rows, "v").withColumn("key", F.xxhash64("row", "col")), "textures")
+    found, _ = fuzzy_cmeans(rows, "v", "key", clusters, rounds=rounds)
+    return found.select("row", "col", (F.col("cluster") + 1).alias("class"))
+
+
 # ---- fuzzy c-means
 
 

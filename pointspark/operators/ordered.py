@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.functions import geometry as G
+from pointspark.session import materialize
 
 
 def path_length(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], step: Column, out: str = "dist") -> DataFrame:
@@ -33,16 +34,36 @@ def loops(frames: DataFrame, by: tuple[str, ...], frame: str, gap: int = 10) ->
     return found.withColumn("runs", F.count("*").over(Window.partitionBy(*by))).where("runs > 1").drop("runs")
 
 
+def numbered(rows: DataFrame, order: tuple[str, ...], start: int, out: str) -> DataFrame:
+    """rows with consecutive numbers from start in the given total order.
+
+    Rows are dealt by range and written; the sizes of the parts give each its
+    first number, so no task holds more than a part.
+    """
+    part = "numbered_part"
+    dealt = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    dealt = materialize(dealt, "numbered")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    # a row for each part of the range
+    return dealt.join(F.broadcast(before), part).withColumn(out, (place + F.col("before") + (start - 1)).cast("bigint")).drop(part, "before")
+
+
 def dense_ids(rows: DataFrame, value: str, order: tuple[str, ...], start: int, by: tuple[str, ...] = (), out: str = "dense") -> DataFrame:
     """(by, value, out): numbers from start by first appearance; the value 0 keeps 0.
 
-    The numbering runs over distinct values only.
+    The numbering runs over distinct values only, by range where there are no
+    groups to number in.
     """
     first = rows.where(F.col(value) != 0).groupBy(*by, value).agg(F.min(F.struct(*order)).alias("first"))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("first", value)) + (start - 1)
-    numbered = first.select(*by, value, number.cast("bigint").alias(out))
+    if by:
+        number = F.row_number().over(Window.partitionBy(*by).orderBy("first", value)) + (start - 1)
+        done = first.select(*by, value, number.cast("bigint").alias(out))
+    else:
+        done = numbered(first.select(value, *[F.col(f"first.{c}").alias(f"first_{c}") for c in order]), tuple(f"first_{c}" for c in order) + (value,), start, out).select(value, out)
     zeros = rows.where(F.col(value) == 0).select(*by, value).distinct().withColumn(out, F.lit(0).cast("bigint"))
-    return numbered.unionByName(zeros)
+    return done.unionByName(zeros)
 
 
 def buffer_offsets(points: DataFrame, frames: DataFrame) -> DataFrame:

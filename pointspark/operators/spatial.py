@@ -210,7 +210,8 @@ def box_mean(pixels: DataFrame, value: str, height: int, width: int, *by: str) -
     back = lambda n, v: F.greatest(F.lit(0), F.least(F.lit(n - 1), v))
     ways = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (-1, 0, 1) for dj in (-1, 0, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     # target t reads position t + d beyond the border, which repeats pixel p = clamp(t + d)
-    outs = pixels.withColumn("s", F.explode(ways)).select(*by, "row", "col", value, (F.col("row") + F.col("s.i")).alias("r"), (F.col("col") + F.col("s.j")).alias("c"), "s.di", "s.dj").where(inside)
+    border = pixels.where((F.col("row") == 0) | (F.col("row") == height - 1) | (F.col("col") == 0) | (F.col("col") == width - 1))
+    outs = border.withColumn("s", F.explode(ways)).select(*by, "row", "col", value, (F.col("row") + F.col("s.i")).alias("r"), (F.col("col") + F.col("s.j")).alias("c"), "s.di", "s.dj").where(inside)
     tr, tc = F.col("r") + F.col("di"), F.col("c") + F.col("dj")
     beyond = ((tr < 0) | (tr >= height) | (tc < 0) | (tc >= width)) & (back(height, tr) == F.col("row")) & (back(width, tc) == F.col("col"))
     repeated = outs.where(beyond).select(*by, F.col("r").alias("row"), F.col("c").alias("col"), value)

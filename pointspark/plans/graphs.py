@@ -166,3 +166,32 @@ def box_iou(spark, d):
     return s.join(p, "frame").select((F.col("frame") - 1).alias("a"), F.col("frame").alias("b"), F.round(iou, 9).alias("iou"))
 
 
+@query()
+def pixel_components(spark, d):
+    return C.pixel_components(X.masks(spark, d))
+
+
+@query()
+def prompt_objects(spark, d):
+    prompts, _ = C.prompt_objects(wide(spark, d).withColumnRenamed("frame", "kf"), ((1.5, 6), (2.0, 12)))
+    return prompts
+
+
+@query()
+def prompt_negatives(spark, d):
+    _, negatives = C.prompt_objects(wide(spark, d).withColumnRenamed("frame", "kf"), ((1.5, 6), (2.0, 12)))
+    return negatives
+
+
+@query()
+def ground_textures(spark, d):
+    return C.ground_textures(X.points(spark, d).where("z <= -1"), 2.0, 5, rounds=5)
+
+
+@query()
+def prelabel(spark, d):
+    """The whole pre-labelling of a sequence, masks given as a table."""
+    from pointspark.plans.prelabel import prelabel
+
+    p = X.points(spark, d).select("frame", "point_idx", "x", "y", "z", "intensity")
+    return prelabel(p, X.poses(spark, d, turned=False), X.masks(spark, d).withColumn("obj_id", F.col("obj_id")), voxel=4.0)

@@ -251,3 +251,20 @@ def distinct_voxels(spark, d):
 def index_difference(spark, d):
     p = X.points(spark, d)
     return p.where("sem = 1").select("frame", "point_idx", "segment").join(p.where("sem = 2").select("segment"), "segment", "left_anti").select("frame", "point_idx", "segment")
+
+
+@query(f"WITH {POINTS}, s AS (SELECT frame, sem, count(*) AS cnt FROM points WHERE (x - 2e0) * (x - 2e0) + (y - 3e0) * (y - 3e0) < 1e2 AND sem % 2 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY cnt DESC, sem) AS k FROM s) SELECT frame, sem AS major, cnt FROM r WHERE k = 1")
+def selection_majority(spark, d):
+    from pointspark.operators.selection import under_brush
+
+    able = X.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("bigint").alias("sem"))
+    hit = X.points(spark, d).where(under_brush(F.col("x"), F.col("y"), 2.0, 3.0, 10.0)).join(able, "sem", "left_semi")
+    return A.majority(hit, "sem", "frame")
+
+
+@query("SELECT l_orderkey || '.bin' AS name, row_number() OVER (ORDER BY l_orderkey) AS place FROM (SELECT DISTINCT l_orderkey FROM lineitem) t")
+def file_order(spark, d):
+    from pointspark.operators.ordered import numbered
+
+    names = X.table(spark, d, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit(".bin")).alias("name")).distinct()
+    return numbered(names.withColumn("n", F.regexp_extract("name", "^([0-9]+)", 1).cast("bigint")), ("n",), 1, "place").select("name", "place")

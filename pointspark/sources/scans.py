@@ -158,7 +158,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one row here: these files hold a line a scan.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n")).alias("line", "value"))
     return lines
 
@@ -184,10 +184,12 @@ def read_poses(spark: SparkSession, path: str, calibration: DataFrame | None = N
     p = rows.select("frame", *G.from_array("m", "p"))
     if calibration is None:
         return p.select("frame", *[F.col(a).alias(b) for a, b in zip(G.names("p"), G.names("m"), strict=True)])
-    tr = calibration.where(F.col("name") == name).limit(1).select(*G.from_array("m", "t"))
-    both = p.crossJoin(F.broadcast(tr))  # one row
-    m = G.multiply(G.multiply(G.affine_inverse(G.columns("t")), G.columns("p")), G.columns("t"))
-    return both.select("frame", *[v.alias(n) for v, n in zip(m, G.names("m"), strict=True)])
+    found = calibration.where(F.col("name") == name).select("m").first()
+    if found is None:
+        raise ValueError(f"the calibration has no {name}")
+    tr = [F.lit(float(v)) for v in found.m]  # twelve numbers
+    m = G.multiply(G.multiply(G.affine_inverse(tr), G.columns("p")), tr)
+    return p.select("frame", *[v.alias(n) for v, n in zip(m, G.names("m"), strict=True)])
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +217,7 @@ def max_instance_lines(max_instances: DataFrame) -> DataFrame:
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """(frame, lat, lon, alt, roll, pitch, yaw) of packet files named by frame, thirty numbers each."""
-    raw = spark.read.option("wholetext", True).text(f"{path}/*.txt").withColumn("frame", F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)\.txt$", 1).cast("int"))
+    raw = spark.read.text(f"{path}/*.txt", wholetext=True).withColumn("frame", F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)\.txt$", 1).cast("int"))
     v = raw.select("frame", numbers(F.col("value")).alias("v")).where(F.size("v") >= 30)
     return v.select("frame", *[F.get("v", i).alias(n) for i, n in enumerate(("lat", "lon", "alt", "roll", "pitch", "yaw"))])
 
