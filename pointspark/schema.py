@@ -1,11 +1,6 @@
 """Explicit schemas of the data model, and the check that operators make of their inputs."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-
-def struct(text: str) -> T.StructType:
-    return T._parse_datatype_string(text) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(text)
 
 
 POINTS = "seq string, frame int, point_idx int, x double, y double, z double, intensity double"
@@ -17,7 +12,7 @@ MASKS = "frame int, cam int, obj_id bigint, row int, col int"
 RASTER = "frame int, cam int, row int, col int, depth double, intensity double, px double, py double, pz double"
 PROMPTS = "obj_id bigint, kf int, scale int, j int, x double, y double, z double"
 TILES = "i int, j int, x double, y double, size double, indexes array<int>"
-INS_DOUBLES = 25
+#: Numbers in a packet of the inertial sensor.
 INS_FIELDS = 30
 
 
