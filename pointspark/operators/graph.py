@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pointspark.session import materialize
 
 
+def counted(edges: DataFrame, label: str) -> tuple[DataFrame, dict]:
+    """edges written, and their number and a sum of their hashes, both taken while they are written."""
+    seen = Observation()
+    measures = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+    return materialize(edges.observe(seen, *measures), label), seen.get
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of edges, component being its smallest reachable node.
 
@@ -20,10 +27,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = e.select("u").union(e.select("v")).distinct()
     stars = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars, known = materialize(stars, "edges"), None
+    stars, known = counted(stars, "edges"), None
     for _ in range(max_rounds):
-        state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state.n == 0 or state == known:
+        stars, state = stars
+        if not state["n"] or state == known:
             break
         known = state
         both = stars.union(stars.select("v", "u"))
@@ -32,7 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # large holds each edge as (larger, smaller) already
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
-        stars = materialize(small, "stars")
+        stars = counted(small, "stars")
     else:
         raise RuntimeError("the components did not settle")
     return nodes.select(F.col("u").alias("node")).join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

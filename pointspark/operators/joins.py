@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.functions import geometry as G
+from pointspark.session import materialize
 
 
 def neighbour_cells(cols: list[Column], reach: int = 1) -> Column:
@@ -19,32 +20,44 @@ def neighbour_cells(cols: list[Column], reach: int = 1) -> Column:
     return F.array(*out)
 
 
-def radius_join(left: DataFrame, right: DataFrame, axes: tuple[str, ...], radius: float, by: tuple[str, ...] = (), right_prefix: str = "r_", inclusive: bool = True) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, axes: tuple[str, ...], radius: float, by: tuple[str, ...] = (), right_prefix: str = "r_", inclusive: bool = True, spread: str = "right") -> DataFrame:
     """Pairs of rows at most radius apart (J09): left's columns, right's with a prefix, and d2.
 
-    Space is cut into cells of the radius; right's rows are copied into the
-    cells around theirs, so that a pair meets in left's cell and nowhere else.
+    Space is cut into cells of the radius; the rows of one side (spread, best
+    the smaller) are copied into the cells around theirs, so that a pair meets in
+    the other row's cell and nowhere else.
     """
-    cell = [F.floor(F.col(a) / F.lit(radius)).cast("bigint") for a in axes]
     names = [f"g{i}" for i in range(len(axes))]
-    keyed = left.withColumns(dict(zip(names, cell, strict=True)))
     r = right.select(*by, *[F.col(c).alias(right_prefix + c) for c in right.columns if c not in by])
-    own = [F.floor(F.col(right_prefix + a) / F.lit(radius)).cast("bigint") for a in axes]
-    spread = r.withColumn("g", F.explode(neighbour_cells(own))).select(*r.columns, *[F.col(f"g.{n}").alias(n) for n in names])
+
+    def keyed(df: DataFrame, prefix: str, copied: bool) -> DataFrame:
+        own = [F.floor(F.col(prefix + a) / F.lit(radius)).cast("bigint") for a in axes]
+        if not copied:
+            return df.withColumns(dict(zip(names, own, strict=True)))
+        return df.withColumn("g", F.explode(neighbour_cells(own))).select(*df.columns, *[F.col(f"g.{n}").alias(n) for n in names])
+
     d2 = G.squared_distance([F.col(a) for a in axes], [F.col(right_prefix + a) for a in axes])
-    near = keyed.join(spread, [*by, *names]).withColumn("d2", d2)
+    near = keyed(left, "", spread == "left").join(keyed(r, right_prefix, spread == "right"), [*by, *names]).withColumn("d2", d2)
     return near.where(F.col("d2") <= radius * radius if inclusive else F.col("d2") < radius * radius).drop(*names)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, axes: tuple[str, ...], key: tuple[str, ...], order: str, radius: float, by: tuple[str, ...] = (), right_prefix: str = "r_") -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, axes: tuple[str, ...], key: tuple[str, ...], order: str, radius: float, by: tuple[str, ...] = (), right_prefix: str = "r_", rings: tuple[float, ...] = (0.125, 0.5, 1.0)) -> DataFrame:
     """Each left row that has a right row within radius, with the nearest; ties go to the smaller order.
 
-    key names columns that identify a left row.
+    key names columns that identify a left row. What is found in a small ring is
+    the nearest there is, so only rows that found nothing look further.
     """
-    pairs = radius_join(left, right, axes, radius, by, right_prefix)
-    rest = [c for c in pairs.columns if c not in key]
-    best = F.min_by(F.struct(*rest), F.struct("d2", right_prefix + order)).alias("b")
-    return pairs.groupBy(*key).agg(best).select(*key, *[f"b.{c}" for c in rest])
+    out, rest = None, left
+    for i, ring in enumerate(rings):
+        pairs = radius_join(rest, right, axes, radius * ring, by, right_prefix, spread="left")
+        others = [c for c in pairs.columns if c not in key]
+        best = F.min_by(F.struct(*others), F.struct("d2", right_prefix + order)).alias("b")
+        found = pairs.groupBy(*key).agg(best).select(*key, *[f"b.{c}" for c in others])
+        if i < len(rings) - 1:
+            found = materialize(found, "ring")
+            rest = materialize(rest.join(found.select(*key), list(key), "left_anti"), "rest")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def nearest_of_few(rows: DataFrame, centres: list[tuple[float, ...]], axes: tuple[str, ...]) -> tuple[Column, Column]:

@@ -163,15 +163,19 @@ def rasterise(voxels: DataFrame, camera: list[Column], size: float, fx: float, f
     """
     import pandas as pd
 
-    pixels, key = [], [F.col(f"v{c}") for c in XYZ]
-    front = F.lit(True)
+    key = [F.col(f"v{c}") for c in XYZ]
+    each = []
     for offset in CORNERS:
         x, y, z = G.apply(camera, *[(k + d) * F.lit(size) for k, d in zip(key, offset, strict=True)])
-        col, row = pinhole(x, y, z, fx, fy, cx, cy)
-        front = front & (z > 0) & in_picture(col, row, width, height)
-        pixels.append(F.struct(col.alias("x"), row.alias("y")))
-    depth = G.apply(camera, *[k * F.lit(size) for k in key])[2]
-    seen = voxels.select("frame", *[k for k in key], "intensity", depth.alias("depth"), front.alias("front"), F.array(*pixels).alias("pixels")).where("front").drop("front")
+        each.append(F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
+    placed = voxels.select("frame", *key, "intensity", F.array(*each).alias("corners"))
+
+    def pixel(p: Column) -> Column:
+        col, row = pinhole(p["x"], p["y"], p["z"], fx, fy, cx, cy)
+        return F.struct(col.alias("x"), row.alias("y"))
+
+    seen = placed.where(F.forall("corners", lambda p: p["z"] > 0)).select("frame", *key, "intensity", F.get("corners", 0)["z"].alias("depth"), F.transform("corners", pixel).alias("pixels"))
+    seen = seen.where(F.forall("pixels", lambda p: in_picture(p["x"], p["y"], width, height)))
 
     def fill(batches):
         for b in batches:
@@ -181,7 +185,9 @@ def rasterise(voxels: DataFrame, camera: list[Column], size: float, fx: float, f
             out["row"], out["col"] = [y for f in found for _, y in f], [x for f in found for x, _ in f]
             yield out if len(out) else pd.DataFrame(columns=[*b.columns.drop("pixels"), "row", "col"])
 
-    filled = seen.mapInPandas(fill, "frame int, vx long, vy long, vz long, intensity double, depth double, row int, col int")
+    # the fill costs more than its rows' size tells, so small inputs are spread too
+    n = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = seen.repartition(n, "frame", "vx", "vy", "vz").mapInPandas(fill, "frame int, vx long, vy long, vz long, intensity double, depth double, row int, col int")
     best = F.min_by(F.struct("depth", "intensity", "vx", "vy", "vz"), F.struct("depth", "vx", "vy", "vz")).alias("b")
     out = filled.groupBy("frame", "row", "col").agg(best)
     return out.select("frame", "row", "col", "b.depth", "b.intensity", *[(F.col(f"b.v{c}") * F.lit(size)).alias(f"p{c}") for c in XYZ])

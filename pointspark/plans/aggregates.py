@@ -56,10 +56,10 @@ def focal_histogram(spark, d):
     return A.focal_histogram(A.bev_max(X.points(spark, d), 2.0), EDGES)
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda w: CAST(w AS DOUBLE) * CAST(w AS DOUBLE)))), 6)) AS embedding FROM embeddings")
+@query("WITH e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), n AS (SELECT vec_id, sqrt(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) AS n FROM e GROUP BY vec_id) SELECT e.vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(v AS DOUBLE) / n, 5) + 0e0 AS v FROM e JOIN n ON e.vec_id = n.vec_id")
 def l2_normalize(spark, d):
     e = A.l2_normalized(X.table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
-    return e.withColumn("embedding", F.transform("embedding", lambda v: F.round(v, 6)))
+    return e.select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.round("v", 5) + 0.0)
 
 
 @query("WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM e GROUP BY 1, 2")

@@ -324,3 +324,13 @@ def test_prompts_and_negatives(spark):
     prompts, neg = C.prompt_objects(v, ((1.0, 4), (2.0, 6)))
     assert sorted((r.obj_id, r.scale, r.vx) for r in prompts.collect()) == [(1000, 0, 1), (1001, 0, 21), (1002, 1, 1), (1003, 1, 21)]
     assert sorted(map(tuple, neg.collect())) == [(1000, 1, 1003), (1001, 1, 1002), (1002, 1, 1003), (1003, 1, 1002)]
+
+
+def test_nearest_join(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.uniform(-5, 5, (40, 2)), rng.uniform(-5, 5, (60, 2))
+    left = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(a)], "key int, x double, y double")
+    right = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(b)], "key int, x double, y double")
+    got = {r.key: r.r_key for r in J.nearest_join(left, right, ("x", "y"), ("key",), "key", 1.5).collect()}
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    assert got == {i: int(d[i].argmin()) for i in range(40) if d[i].min() <= 1.5}
