@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +155,44 @@ def hull_fill(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(set(filled) | set(pts))
 
 
+def hull_runs(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, x, y) of the pixels that hull_fill gives for each row of xs and ys (n x m whole pixels).
+
+    At a height the hull reaches from the least to the largest crossing of the
+    lines between any two of the points, so all rows are filled together.
+    """
+    n, m = xs.shape
+    one, two = np.triu_indices(m, 1)
+    x, y = xs.astype(np.int64), ys.astype(np.int64)
+    # on one line: all points off the first one point the same way as the farthest
+    dx, dy = x - x[:, :1], y - y[:, :1]
+    far = np.argmax(dx * dx + dy * dy, axis=1)
+    fx, fy = dx[np.arange(n), far][:, None], dy[np.arange(n), far][:, None]
+    line = (fx * dy == fy * dx).all(axis=1)
+    at = [np.repeat(np.flatnonzero(line), m)]
+    px, py = [x[line].ravel()], [y[line].ravel()]
+    rows = np.flatnonzero(~line)
+    x, y = x[rows], y[rows]
+    low, high = y.min(axis=1, initial=0 if not len(rows) else y.max()), y.max(axis=1, initial=y.min() if len(rows) else 0)
+    for r in range(int((high - low).max(initial=-1)) + 1):
+        some = np.flatnonzero(low + r <= high)
+        h = (low[some] + r)[:, None].astype(np.float64)
+        x1, x2, y1, y2 = (v[some].astype(np.float64) for v in (x[:, one], x[:, two], y[:, one], y[:, two]))
+        meets = (np.minimum(y1, y2) <= h) & (h <= np.maximum(y1, y2))
+        flat = y1 == y2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cut = x1 + (x2 - x1) * (h - y1) / (y2 - y1)
+        left, right = np.where(flat, np.minimum(x1, x2), cut), np.where(flat, np.maximum(x1, x2), cut)
+        lo = np.ceil(np.where(meets, left, np.inf).min(axis=1)).astype(np.int64)
+        hi = np.floor(np.where(meets, right, -np.inf).max(axis=1)).astype(np.int64)
+        count = np.maximum(hi - lo + 1, 0)
+        first = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        at.append(np.repeat(rows[some], count))
+        px.append(first + np.arange(count.sum()))
+        py.append(np.repeat(low[some] + r, count))
+    return np.concatenate(at), np.concatenate(px), np.concatenate(py)
+
+
 def rasterise(voxels: DataFrame, camera: list[Column], size: float, fx: float, fy: float, cx: float, cy: float, width: int, height: int) -> DataFrame:
     """Voxels (frame, vx, vy, vz, intensity) as one camera sees them: frame, row, col, depth, intensity, px, py, pz.
 
@@ -161,8 +201,6 @@ def rasterise(voxels: DataFrame, camera: list[Column], size: float, fx: float, f
     nearest wins, then the smaller voxel (P04 to P07, A02). Only the hull's fill
     runs in Python, on Arrow batches of eight pixels a voxel.
     """
-    import pandas as pd
-
     key = [F.col(f"v{c}") for c in XYZ]
     each = []
     for offset in CORNERS:
@@ -179,15 +217,17 @@ def rasterise(voxels: DataFrame, camera: list[Column], size: float, fx: float, f
 
     def fill(batches):
         for b in batches:
-            found = [hull_fill([(int(p["x"]), int(p["y"])) for p in ps]) for ps in b["pixels"]]
-            at = [i for i, f in enumerate(found) for _ in f]
-            out = b.drop(columns="pixels").iloc[at].reset_index(drop=True)
-            out["row"], out["col"] = [y for f in found for _, y in f], [x for f in found for x, _ in f]
-            yield out if len(out) else pd.DataFrame(columns=[*b.columns.drop("pixels"), "row", "col"])
+            # a slice's lists need not start at 0, flatten() heeds that
+            xs, ys = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(CORNERS)) for i in (6, 7))
+            at, x, y = hull_runs(xs, ys)
+            rows = pa.Table.from_batches([b]).select(list(range(6))).take(pa.array(at)).combine_chunks()
+            for out in rows.append_column("row", pa.array(y.astype(np.int32))).append_column("col", pa.array(x.astype(np.int32))).to_batches():
+                yield out
 
     # the fill costs more than its rows' size tells, so small inputs are spread too
     n = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filled = seen.repartition(n, "frame", "vx", "vy", "vz").mapInPandas(fill, "frame int, vx long, vy long, vz long, intensity double, depth double, row int, col int")
+    split = seen.select("frame", *key, "intensity", "depth", F.transform("pixels", lambda p: p["x"]).alias("xs"), F.transform("pixels", lambda p: p["y"]).alias("ys"))
+    filled = split.repartition(n, "frame", "vx", "vy", "vz").mapInArrow(fill, "frame int, vx long, vy long, vz long, intensity double, depth double, row int, col int")
     best = F.min_by(F.struct("depth", "intensity", "vx", "vy", "vz"), F.struct("depth", "vx", "vy", "vz")).alias("b")
     out = filled.groupBy("frame", "row", "col").agg(best)
     return out.select("frame", "row", "col", "b.depth", "b.intensity", *[(F.col(f"b.v{c}") * F.lit(size)).alias(f"p{c}") for c in XYZ])

@@ -334,3 +334,14 @@ def test_nearest_join(spark):
     got = {r.key: r.r_key for r in J.nearest_join(left, right, ("x", "y"), ("key",), "key", 1.5).collect()}
     d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
     assert got == {i: int(d[i].argmin()) for i in range(40) if d[i].min() <= 1.5}
+
+
+def test_hulls_together():
+    rng = np.random.default_rng(8)
+    xs, ys = rng.integers(-6, 9, (300, 5)), rng.integers(-4, 7, (300, 5))
+    xs[:20], ys[20:40] = 3, xs[20:40]  # some on a line
+    xs[40], ys[40] = 2, 2
+    at, x, y = P.hull_runs(xs, ys)
+    for i in range(300):
+        assert sorted(set(zip(x[at == i].tolist(), y[at == i].tolist(), strict=True))) == sorted(P.hull_fill(list(zip(xs[i].tolist(), ys[i].tolist(), strict=True))))
+    assert [len(v) for v in P.hull_runs(xs[:0], ys[:0])] == [0, 0, 0]
