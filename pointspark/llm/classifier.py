@@ -25,6 +25,8 @@ from pointspark.session import materialize
 #: Labelled documents, expected, on which the classifier is trained.
 TRAIN_DOCS = 20_000
 LIMIT = 0.5
+#: Parts into which the rows of one place are dealt.
+SALTS = 16
 #: Bounds of the estimated weight of a prior, in documents.
 STRENGTH = (1.0, 1e4)
 #: Evidence counts at most so much, as log odds.
@@ -127,16 +129,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
 
     schema = T.StructType([*slim.schema.fields[:3], T.StructField("evidence", T.DoubleType())])
     place = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    own = materialize(slim.mapInArrow(evidence, schema), "evidence").withColumns({"hk": place("host"), "pk": place("path"), "p": 1 / (1 + F.exp(-F.col("evidence")))})
+    own = materialize(slim.mapInArrow(evidence, schema), "evidence").withColumns({"hk": place("host"), "pk": place("path"), "p": 1 / (1 + F.exp(-F.col("evidence"))), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
     # sums are rounded, so that they do not depend on the order of the rows
-    paths = materialize(own.groupBy("hk", "pk").agg(F.count("*").alias("n"), F.sum(F.round("p", 6).cast("decimal(20,6)")).cast("double").alias("s")), "path-sums")
+    paths = materialize(own.groupBy("hk", "pk").agg(F.count("*").alias("n"), F.sum(F.round("p", 6).cast("decimal(20,6)")).cast("double").alias("s"), F.collect_set("salt").alias("salts")), "path-sums")
     hosts = paths.groupBy("hk").agg(F.sum("n").alias("hn"), F.sum(F.col("s").cast("decimal(38,6)")).cast("double").alias("hs"))
     total = hosts.agg(F.sum("hn").alias("n"), F.sum(F.col("hs").cast("decimal(38,6)")).cast("double").alias("s")).first()
     mu = total.s / total.n if total.n else 0.5
     k_host, k_path = strength(hosts, "hn", "hs", mu), strength(paths, "n", "s", mu)
     host_mean = (F.col("hs") + F.lit(k_host * mu)) / (F.col("hn") + F.lit(k_host))
     places = materialize(paths.join(hosts.select("hk", host_mean.alias("host_posterior")), "hk"), "path-posteriors")
-    joined = own.join(places, ["hk", "pk"])
+    # a place may hold a third of all rows: it is met in as many parts as its rows are dealt into, SALTS at most
+    joined = own.join(places.withColumn("salt", F.explode("salts")), ["hk", "pk", "salt"])
     prior = F.col("host_posterior") * F.lit(k_path)
     without = (F.col("s") - F.col("p") + prior) / (F.col("n") - 1 + F.lit(k_path))
     out = joined.withColumns({"path_posterior": (F.col("s") + prior) / (F.col("n") + F.lit(k_path)), "quality": 1 / (1 + F.exp(-(F.col("evidence") + logit(without))))})
