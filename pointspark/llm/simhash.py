@@ -135,7 +135,10 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     first = cover(list(range(BITS)), radius)
     masks = F.array(*[F.lit(signed(m)) for m in first])
     table = F.transform(masks, lambda m, t: F.struct(t.alias("t"), F.col("fp").bitwiseAND(m).alias("k")))
-    rows = prints.select("fp", F.explode(table).alias("x")).select("fp", "x.t", "x.k")
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fingerprint becomes as many rows as there are masks, which the size of its own row does not tell
+    spread = prints.select("fp").repartition(n, "fp")
+    rows = spread.select("fp", F.explode(table).alias("x")).select("fp", "x.t", "x.k")
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(sizes, ["t", "k"])
     finer = F.array(*[F.array(*[F.lit(signed(m | x)) for x in cover([p for p in range(BITS) if not m >> p & 1], radius)]) for m in first])
@@ -166,7 +169,6 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
         if rest:
             yield edges(*rest)
 
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(forest, "a long, b long").distinct()
 
 
