@@ -137,7 +137,7 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     table = F.transform(masks, lambda m, t: F.struct(t.alias("t"), F.col("fp").bitwiseAND(m).alias("k")))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a fingerprint becomes as many rows as there are masks, which the size of its own row does not tell
-    spread = prints.select("fp").repartition(n, "fp")
+    spread = prints.select("fp").repartition(n, F.xxhash64("fp"))
     rows = spread.select("fp", F.explode(table).alias("x")).select("fp", "x.t", "x.k")
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(sizes, ["t", "k"])
