@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from pointspark.plans import catalog
@@ -21,7 +22,7 @@ def db(data):
 
 
 def text(v):
-    if v is None or isinstance(v, float) and np.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and np.isnan(v):
         return ""
     if isinstance(v, (list, np.ndarray)):
         return str([text(x) for x in v])
