@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointspark.llm import minhash
 from pointspark.llm.names import free_names
 from pointspark.operators.graph import connected_components
 from pointspark.session import materialize
@@ -189,8 +190,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     own = materialize(slim.mapInArrow(hashed, "doc_id long, fp long, text_hash long"), "fingerprints")
+    return grouped(own, links(own.select("fp").distinct(), radius, bucket))
+
+
+def grouped(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """near_duplicates of rows (doc_id, fp, text_hash) whose fp are linked by edges (a, b)."""
+    own = own.select("doc_id", "fp", "text_hash")
     prints = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    groups = connected_components(links(prints.select("fp"), radius, bucket))
+    groups = connected_components(edges)
     # fingerprints with a link, and the smallest id of their group; the others are alone
     linked = prints.join(groups, prints["fp"] == groups["node"]).select("fp", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -204,17 +211,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, alike: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the one of the smallest doc_id.
 
-    With five words a shingle, texts within radius 5 were more than 0.8 alike
-    in every pair that was looked at; see the README for what that misses.
+    Texts are linked where the Jaccard similarity of their sets of shingles is
+    alike or more; texts without words are one group.
 
     Of repeated rows of that doc_id one stays. Rows with a null doc_id stay only
     where their whole group has none, one of them. All columns are kept.
     """
     text_hash, id_, hash_ = free_names(docs.columns, "text_hash", "dropped_id", "dropped_hash")
-    found = materialize(near_duplicates(docs, shingle, radius), "near-duplicates")
+    own = materialize(minhash.sketched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), shingle), "sketches")
+    found = materialize(grouped(own, minhash.links(own, alike)), "near-duplicates")
     stay = found.where("doc_id <=> component_id").groupBy("fingerprint", "component_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n"))
     # a group may hold its smallest id in several rows; the first fingerprint stands for it
     stay = stay.groupBy("component_id").agg(F.min_by(F.struct("text_hash"), F.struct("fingerprint", "text_hash")).alias("x"), F.sum("n").alias("n")).select(F.col("component_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("n").alias("_n"))
