@@ -221,8 +221,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, alike: float = 0.8) -> DataFrame
     where their whole group has none, one of them. All columns are kept.
     """
     text_hash, id_, hash_ = free_names(docs.columns, "text_hash", "dropped_id", "dropped_hash")
-    own = materialize(minhash.sketched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), shingle), "sketches")
-    found = materialize(grouped(own, minhash.links(own, alike)), "near-duplicates")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = materialize(minhash.sketched(slim, shingle), "sketches")
+    found = materialize(grouped(own, minhash.links(slim, own, shingle, alike)), "near-duplicates")
     stay = found.where("doc_id <=> component_id").groupBy("fingerprint", "component_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n"))
     # a group may hold its smallest id in several rows; the first fingerprint stands for it
     stay = stay.groupBy("component_id").agg(F.min_by(F.struct("text_hash"), F.struct("fingerprint", "text_hash")).alias("x"), F.sum("n").alias("n")).select(F.col("component_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("n").alias("_n"))

@@ -69,3 +69,14 @@ def test_pairs_of_a_bucket(size):
         assert len(found) == size * (size - 1)
     else:
         assert sum(a == b for _, a, b in found) == 2 * size
+
+
+def test_prefixes_miss_no_pair(spark):
+    rng = random.Random(9)
+    words = common.prose(rng, 120).split()
+    texts = [" ".join(rng.choices(words, k=4) + w.split()[rng.randrange(20) :]) for w in (edited(rng, words, s)[0] for s in (0.7, 0.8, 0.9) for _ in range(25))]
+    sets = [minhash.shingles(t, 5)[1].view(np.int64).tolist() for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.8}
+    df = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "fp long, g long, shingles array<long>")
+    got = {(r.a, r.b) for r in minhash.prefix_pairs(df, 0.8).collect()}
+    assert want and want <= got and len(got) < len(sets) * (len(sets) - 1) // 2
