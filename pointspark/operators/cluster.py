@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,15 @@ def equivalent_objects(votes: DataFrame, by: tuple[str, ...] = ("frame", "region
     return connected_components(box_pairs(b, by).select("a", "b")).select(F.col("node").alias("obj_id"), F.col("component").alias("root"))
 
 
+def equivalence_sets(votes: DataFrame, by: tuple[str, ...] = ("frame", "region")) -> DataFrame:
+    """(by, obj_id, root): equivalent_objects within each group alone."""
+    inside = (*by, "sf")
+    pairs = box_pairs(boxes(votes, *inside, "obj_id", "cam"), inside)
+    node = lambda c: F.struct(*by, F.col(c).alias("obj_id"))
+    found = connected_components(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    return found.select("node.*", F.col("component.obj_id").alias("root"))
+
+
 def vote_sums(votes: DataFrame, by: tuple[str, ...] = ("region", "obj_id")) -> DataFrame:
     """Votes and distinct voxels of each object in a region."""
     return votes.groupBy(*by).agg(F.sum("cnt").alias("votes"), F.countDistinct(*VOXEL).alias("voxels"))
@@ -146,32 +157,42 @@ def fuzzy_cmeans(rows: DataFrame, vector: str, key: str, n: int, m: float = 2.0,
     round is one pass that sums weights and weighted vectors for each cluster;
     n centres come to the driver.
     """
-    dim = len(rows.select(vector).first()[0])
     if centres is None:
         seeds = rows.orderBy(F.xxhash64(F.col(key), F.lit(42)), key).limit(n).select(vector).collect()
         centres = np.array([r[0] for r in seeds], np.float64)
-    v = [F.get(F.col(vector), i).cast("double") for i in range(dim)]
 
-    def distances(c: np.ndarray) -> list:
-        return [F.greatest(G.squared_distance(v, [F.lit(float(x)) for x in centre]), F.lit(1e-12)) for centre in c]
+    def distances(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.maximum(np.stack([((v - x) ** 2).sum(axis=1) for x in c], axis=1), 1e-12)
 
-    slim = rows.select(vector)
+    slim = rows.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
     for _ in range(rounds):
-        d = distances(centres)
-        scored = slim.select(*[x.alias(f"v{i}") for i, x in enumerate(v)], *[F.pow(x, F.lit(-1.0 / (m - 1))).alias(f"d{k}") for k, x in enumerate(d)])
-        whole = sum((F.col(f"d{k}") for k in range(1, len(centres))), F.col("d0"))
-        weighted = scored.select(*[f"v{i}" for i in range(dim)], *[F.pow(F.col(f"d{k}") / whole, F.lit(m)).alias(f"u{k}") for k in range(len(centres))])
-        sums = weighted.agg(*[F.sum(f"u{k}").alias(f"s{k}") for k in range(len(centres))], *[F.sum(F.col(f"u{k}") * F.col(f"v{i}")).alias(f"t{k}_{i}") for k in range(len(centres)) for i in range(dim)]).first()
-        new = np.array([[sums[f"t{k}_{i}"] / sums[f"s{k}"] for i in range(dim)] for k in range(len(centres))])
+
+        def partial(batches: Iterator[pa.RecordBatch], c: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(c), c.shape[1] + 1))
+            for b in batches:
+                v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1])
+                near = distances(v, c) ** (-1.0 / (m - 1))
+                u = (near / near.sum(axis=1, keepdims=True)) ** m
+                total += np.column_stack([u.sum(axis=0), u.T @ v])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "t"])
+
+        sums = slim.mapInArrow(partial, "i long, t double").groupBy("i").agg(F.sum("t").alias("t")).collect()
+        total = np.array([r.t for r in sorted(sums)]).reshape(len(centres), -1)
+        new = total[:, 1:] / total[:, :1]
         moved = float(np.abs(new - centres).max())
         centres = new
         if moved < tolerance:
             break
-    d = distances(centres)
-    best, at = d[0], F.lit(0)
-    for k in range(1, len(centres)):
-        at, best = F.when(d[k] < best, F.lit(k)).otherwise(at), F.least(d[k], best)
-    return rows.withColumn("cluster", at), centres
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int32)
+        known = v.notna().to_numpy()
+        if known.any():
+            out[known] = distances(np.stack(v[known].to_numpy()).astype(np.float64), centres).argmin(axis=1)
+        return pd.Series(out)
+
+    return rows.withColumn("cluster", nearest(vector)), centres
 
 
 # ---- suppression and growth inside a component

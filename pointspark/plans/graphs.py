@@ -92,8 +92,8 @@ def layer_growth(spark, d):
 
 @query()
 def fcm_clusters(spark, d):
-    e = A.l2_normalized(X.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v")), "v")
-    found, _ = C.fuzzy_cmeans(e, "v", "vec_id", 5, rounds=10)
+    e = A.l2_normalized(X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")), "v")
+    found, _ = C.fuzzy_cmeans(e, "v", "vec_id", 5)
     return found.select("vec_id", "cluster")
 
 
@@ -185,7 +185,7 @@ def prompt_negatives(spark, d):
 
 @query()
 def ground_textures(spark, d):
-    return C.ground_textures(X.points(spark, d).where("z <= -1"), 2.0, 5, rounds=5)
+    return C.ground_textures(X.points(spark, d).where("z <= -1"), 2.0, 5)
 
 
 @query()
