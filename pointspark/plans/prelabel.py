@@ -14,13 +14,13 @@ from pointspark.operators import spatial as P
 from pointspark.session import materialize
 
 
-def mask_votes(points: DataFrame, masks: DataFrame, poses: DataFrame, pixel: tuple, width: int, voxel: float) -> DataFrame:
+def mask_votes(points: DataFrame, masks: DataFrame, poses: DataFrame, pixels: list[tuple], width: int, voxel: float) -> DataFrame:
     """(frame, vx, vy, vz, obj_id, cam, sf, cnt): what masks of the scans around a frame say about its voxels.
 
-    pixel: expressions for cam, row and col of a point.
+    pixels: for each camera, or for some at once, expressions for cam, row and col of a point.
     """
-    cam, row, col = pixel
-    seen = points.select("frame", *P.XYZ, cam.alias("cam"), row.alias("row"), col.alias("col"))
+    views = F.array(*[F.struct(cam.cast("int").alias("cam"), row.cast("int").alias("row"), col.cast("int").alias("col")) for cam, row, col in pixels])
+    seen = points.select("frame", *P.XYZ, F.explode(views).alias("view")).select("frame", *P.XYZ, "view.*")
     claimed = seen.join(masks.select("frame", "cam", "obj_id", "row", "col"), ["frame", "cam", "row", "col"]).select(F.col("frame"), *P.XYZ, "obj_id", "cam")
     pairs = P.relative_poses(P.frame_window(poses, width), poses)
     moved = P.transform(claimed.join(pairs, "frame"), [F.col(n) for n in P.G.names("m")])
@@ -28,14 +28,17 @@ def mask_votes(points: DataFrame, masks: DataFrame, poses: DataFrame, pixel: tup
     return keyed.groupBy("centre", *C.VOXEL, "obj_id", "cam", "sf").agg(F.count("*").alias("cnt")).withColumnRenamed("centre", "frame")
 
 
-def default_pixel() -> tuple:
-    """One camera that looks along x from 30 behind."""
-    depth = F.col("x") + 30.0
-    col, row = P.pinhole(F.col("y"), F.col("z") * 8.0, depth, 50.0, 50.0, 32.0, 24.0)
-    return F.lit(0), row, col
+def default_pixels() -> list[tuple]:
+    """Cameras 0 to 3 that look along x, y, -x and -y from 30 behind."""
+    out = []
+    for cam, (ahead, aside) in enumerate(((F.col("x"), F.col("y")), (F.col("y"), -F.col("x")), (-F.col("x"), -F.col("y")), (-F.col("y"), F.col("x")))):
+        depth = ahead + 30.0
+        col, row = P.pinhole(aside, F.col("z") * 8.0, depth, 50.0, 50.0, 32.0, 24.0)
+        out.append((F.lit(cam), F.when(depth > 0, row), F.when(depth > 0, col)))
+    return out
 
 
-def prelabel(points: DataFrame, poses: DataFrame, masks: DataFrame, width: int = 7, voxel: float = 0.2, pixel: tuple | None = None, radius: float = 2.0, threshold: float = 0.7) -> DataFrame:
+def prelabel(points: DataFrame, poses: DataFrame, masks: DataFrame, width: int = 7, voxel: float = 0.2, pixel: tuple | list[tuple] | None = None, radius: float = 2.0, threshold: float = 0.7) -> DataFrame:
     """(frame, point_idx, label) for every point of a sequence.
 
     Ground is split off and keeps 0; the rest is voxelised, masks vote, labels
@@ -46,8 +49,8 @@ def prelabel(points: DataFrame, poses: DataFrame, masks: DataFrame, width: int =
     split = materialize(ground_split(points), "split")
     rest = split.where("part = 'other'").drop("part")
     cells = materialize(rest.select("frame", *P.voxel_keys(voxel)).distinct(), "voxels")
-    masks0 = masks.withColumn("cam", F.lit(0))
-    votes = mask_votes(rest, masks0, poses, pixel or default_pixel(), width, voxel).join(cells, ["frame", *C.VOXEL], "left_semi")
+    pixels = [pixel] if isinstance(pixel, tuple) else pixel or default_pixels()
+    votes = mask_votes(rest, masks, poses, pixels, width, voxel).join(cells, ["frame", *C.VOXEL], "left_semi")
     votes = materialize(votes, "mask-votes")
     prompts = votes.groupBy("obj_id").agg(F.min(F.struct("frame", *C.VOXEL)).alias("p")).select("obj_id", *[f"p.{a}" for a in C.VOXEL])
     fused = materialize(fusion.fuse_labels(cells, votes, prompts, radius=radius), "fused")
