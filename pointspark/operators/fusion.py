@@ -41,24 +41,34 @@ def fuse_labels(voxels: DataFrame, votes: DataFrame, prompts: DataFrame, radius:
 
     voxels: frame, vx, vy, vz. votes: frame, vx, vy, vz, obj_id, cam, sf, cnt.
     prompts: obj_id and a voxel. Voxels are joined to regions; objects in several
-    regions keep the one nearest to their prompt; objects that overlap from
-    different cameras become one; then suppression, growth and painting. 0
+    regions of a frame keep the one nearest to their prompt; objects that overlap from
+    different cameras become one in that frame; then suppression, growth and painting. 0
     stands for no object.
     """
+    return fuse_with_sets(voxels, votes, prompts, radius, threshold, z_grow)[0]
+
+
+def fuse_with_sets(voxels: DataFrame, votes: DataFrame, prompts: DataFrame, radius: float = 4.0, threshold: float = 0.5, z_grow: float = 3.5) -> tuple[DataFrame, DataFrame]:
+    """fuse_labels, and (frame, root, member): the objects that became one in a frame, by equivalence or suppression."""
     keyed = voxels.select("frame", *cluster.VOXEL).distinct().withColumn("key", F.xxhash64("frame", *cluster.VOXEL))
     region = cluster.regions(keyed, radius, "key", ("frame",))
     cells = materialize(keyed.join(region, "key").drop("key"), "regions")
-    placed = materialize(cluster.without_bleeding(votes.join(cells, ["frame", *cluster.VOXEL]), prompts), "votes")
-    same = cluster.equivalent_objects(placed)
-    joined = placed.join(same, "obj_id", "left").withColumn("obj_id", F.coalesce("root", "obj_id")).drop("root")
-    heads = cluster.nms(joined, threshold=threshold)
+    # a region is of one frame, so an object has its nearest one in each
+    own = votes.join(cells, ["frame", *cluster.VOXEL]).withColumn("own", F.struct("frame", "obj_id"))
+    near = cluster.nearest_cluster(own, own.select("own", "obj_id").distinct().join(prompts, "obj_id"), "own")
+    placed = materialize(own.join(near, ["own", "region"], "left_semi").drop("own"), "votes")
+    same = cluster.equivalence_sets(placed)
+    rooted = placed.join(same, ["frame", "region", "obj_id"], "left").withColumn("member", F.col("obj_id")).withColumn("obj_id", F.coalesce("root", "obj_id")).drop("root")
+    joined = materialize(rooted, "rooted")
+    heads = materialize(cluster.nms(joined, threshold=threshold), "heads")
+    sets = joined.join(heads, ["frame", "region", "obj_id"]).select("frame", "root", "member").distinct()
     final = joined.join(heads, ["frame", "region", "obj_id"]).select("frame", "region", *cluster.VOXEL, F.col("root").alias("obj_id"))
     size = final.groupBy("frame", "region", "obj_id").agg(F.count("*").alias("size"))
     painted = materialize(ordered.last_writer(final.join(size, ["frame", "region", "obj_id"]), ("frame", "region", *cluster.VOXEL), "obj_id", "size"), "painted")
     free = cells.join(painted, ["frame", "region", *cluster.VOXEL], "left")
     grown = cluster.grow(free, eps=z_grow).withColumnRenamed("obj_id", "taken")
     out = free.join(grown, ["frame", "region", *cluster.VOXEL], "left")
-    return out.select("frame", *cluster.VOXEL, F.coalesce("obj_id", "taken", F.lit(0)).alias("label"))
+    return out.select("frame", *cluster.VOXEL, F.coalesce("obj_id", "taken", F.lit(0)).alias("label")), sets
 
 
 def point_labels(points: DataFrame, voxel_labels: DataFrame, size: float) -> DataFrame:

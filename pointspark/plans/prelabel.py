@@ -53,10 +53,9 @@ def prelabel(points: DataFrame, poses: DataFrame, masks: DataFrame, width: int =
     votes = mask_votes(rest, masks, poses, pixels, width, voxel).join(cells, ["frame", *C.VOXEL], "left_semi")
     votes = materialize(votes, "mask-votes")
     prompts = votes.groupBy("obj_id").agg(F.min(F.struct("frame", *C.VOXEL)).alias("p")).select("obj_id", *[f"p.{a}" for a in C.VOXEL])
-    fused = materialize(fusion.fuse_labels(cells, votes, prompts, radius=radius), "fused")
-    # objects that stand in one region of a frame at once
-    sets = fused.where("label > 0").select("frame", F.floor(F.col("vx") / 4).alias("root"), F.col("label").alias("member")).distinct()
-    pairs = A.temporal_jaccard(A.pair_frames(sets), A.lifetimes(votes.select("obj_id", "frame"), half=width // 2), threshold=threshold)
+    fused, sets = fusion.fuse_with_sets(cells, votes, prompts, radius=radius)
+    fused = materialize(fused, "fused")
+    pairs = A.temporal_jaccard(A.pair_frames(sets), A.lifetimes(masks.select("obj_id", "frame"), half=width // 2), threshold=threshold)
     unified = materialize(J.remap(fused, C.unified_ids(pairs.select("a", "b")), "label"), "unified")
     labelled = materialize(fusion.point_labels(rest, unified, voxel), "labelled")
     world = P.to_world(labelled.where("label >= 1000"), poses)
