@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pointspark.session import materialize
+from pointspark.session import discard, materialize
 
 
 def counted(edges: DataFrame, label: str) -> tuple[DataFrame, dict]:
@@ -24,22 +24,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     is an aggregation with map-side combine and an equi-join on slim rows, and
     is written to the shared folder, so its lineage stays short.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = e.select("u").union(e.select("v")).distinct()
-    stars = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars, known = counted(stars, "edges"), None
+    u, v = F.col(a), F.col(b)
+    e = edges.where(u.isNotNull() & v.isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+    # written once: what made the edges is not run again for the nodes
+    first, state = counted(e, "edges")
+    stars, known = first, None
     for _ in range(max_rounds):
-        stars, state = stars
         if not state["n"] or state == known:
             break
-        known = state
-        both = stars.union(stars.select("v", "u"))
+        known, before = state, stars
+        both = stars.union(stars.select("v", "u")).where("u <> v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # large holds each edge as (larger, smaller) already
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
-        stars = counted(small, "stars")
+        stars, state = counted(small, "stars")
+        if before is not first:
+            discard(before)
     else:
         raise RuntimeError("the components did not settle")
-    return nodes.select(F.col("u").alias("node")).join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    nodes = first.select("u").union(first.select("v")).distinct()
+    ends = stars.where("u <> v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.select(F.col("u").alias("node")).join(ends, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -30,8 +30,9 @@ def local_session(name: str = "pointspark", cpus: str = "*", partitions: int = 8
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (a local session) a temporary folder is
-    made and set, and removed when the process ends.
+    Only a local session that names none gets a temporary folder, which is
+    removed when the process ends. Anywhere else a missing setting is an error,
+    as executors do not see each other's disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -39,6 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="pointspark-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(own)
@@ -54,7 +58,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+#: What materialize wrote, by application.
+_written: dict[str, list[str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that materialize gave; nothing may read them any more."""
+    for df in tables:
+        path = df.written_path
+        _remove(df.sparkSession, path)
+        _written[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all that materialize wrote in this application, and say how many tables that were.
+
+    To be called when the results that were computed from them are stored.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def worker_cache(key: str, build: Callable[[], Any]) -> Any:
