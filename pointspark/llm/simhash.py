@@ -71,10 +71,16 @@ def majority(h: np.ndarray) -> np.uint64:
 
 
 def cover(positions: list[int], radius: int) -> list[int]:
-    """Masks over the given bit positions, one of which is blind to any radius of them."""
-    size = (1 << (radius + 1)) - 1
-    masks = [sum(1 << p for i, p in enumerate(positions) if ((i % size + 1) & v).bit_count() & 1) for v in range(1, size + 1)]
-    return [m for m in masks if m] or [0]
+    """Masks over the given bit positions, one of which is blind to any radius of them.
+
+    Position i gets the i-th vector of radius + 1 bits, those with few bits
+    first: radius + 1 positions then span all dimensions, and no mask is blind
+    to every position. Fewer positions have the one mask that is.
+    """
+    if len(positions) <= radius:
+        return [0]
+    vectors = sorted(range(1, 1 << (radius + 1)), key=lambda v: (v.bit_count(), v))
+    return [sum(1 << p for i, p in enumerate(positions) if (vectors[i % len(vectors)] & v).bit_count() & 1) for v in vectors]
 
 
 def signed(x: int) -> int:
@@ -129,9 +135,9 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 
     Each mask of the cover is a table of buckets. A bucket of more than bucket
     members is divided by a cover of the bits that its mask leaves open, in
-    which a pair of the bucket that is within radius must again agree; after
-    that about fourteen bits are open, which bounds what one group can hold.
-    From a group come the edges of a forest only.
+    which a pair of the bucket that is within radius must again agree under some
+    mask; after that fourteen to sixteen bits are open, which bounds what one
+    group can hold. From a group come the edges of a forest only.
     """
     first = cover(list(range(BITS)), radius)
     masks = F.array(*[F.lit(signed(m)) for m in first])
@@ -180,7 +186,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     that links of at most radius differing bits reach. Null and empty texts
     have fingerprint zero and link like any other. Repeated rows come out each.
     A null doc_id is carried; a component of null ids alone has a null
-    component_id. An empty table gives no rows. Other columns are ignored.
+    component_id. Texts are read whole, however long; a worker holds the hashes
+    of one text at a time. An empty table gives no rows. Other columns are
+    ignored.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +215,9 @@ def grouped(own: DataFrame, edges: DataFrame) -> DataFrame:
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     places = F.when((F.col("copies") == 1) & F.col("least").isNotNull(), F.array(salt("least"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     whole = whole.select("fp", "component_id", F.explode(places).alias("salt"))
-    joined = own.withColumn("salt", salt("doc_id")).join(whole, ["fp", "salt"])
+    # rows without an id may all be copies: they are dealt by the part they stand in
+    dealt = F.coalesce(F.when(F.col("doc_id").isNotNull(), salt("doc_id")), F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int"))
+    joined = own.withColumn("salt", dealt).join(whole, ["fp", "salt"])
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
@@ -217,8 +227,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, alike: float = 0.8) -> DataFrame
     Texts are linked where the Jaccard similarity of their sets of shingles is
     alike or more; texts without words are one group.
 
-    Of repeated rows of that doc_id one stays. Rows with a null doc_id stay only
-    where their whole group has none, one of them. All columns are kept.
+    Of rows that repeat that doc_id and text, the one stays whose columns hash
+    lowest. Rows with a null doc_id stay only where their whole group has none,
+    one of them. All columns are kept. Texts are read whole, however long.
     """
     text_hash, id_, hash_ = free_names(docs.columns, "text_hash", "dropped_id", "dropped_hash")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -228,14 +239,24 @@ def keep_one(docs: DataFrame, shingle: int = 5, alike: float = 0.8) -> DataFrame
     # a group may hold its smallest id in several rows; the first fingerprint stands for it
     stay = stay.groupBy("component_id").agg(F.min_by(F.struct("text_hash"), F.struct("fingerprint", "text_hash")).alias("x"), F.sum("n").alias("n")).select(F.col("component_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("n").alias("_n"))
     stay = materialize(stay, "kept-ids")
-    # fewer rows go than stay, so those are named
+    # fewer rows go than stay, so those are named; one that has no id is met by its text alone, wherever it is
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    gone = materialize(found.join(stay, same, "left_anti").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct(), "dropped-ids")
+    gone = found.join(stay, same, "left_anti").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    gone = materialize(gone, "dropped-ids")
     marked = docs.withColumn(text_hash, F.xxhash64("text"))
-    out = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)), "left_anti")
-    if stay.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", text_hash])
-    return out.select(*docs.columns)
+    lost = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_)), "left_anti")
+    if not stay.where("_n > 1").limit(1).count():
+        return lost.select(*docs.columns)
+    # repeated rows: slim ones tell which stays, so that texts are not sorted
+    whole, row = free_names([*lost.columns, id_, hash_], "row_hash", "kept_row")
+    hashed = lost.withColumn(whole, F.xxhash64(*docs.columns))
+    slim = hashed.select(F.col("doc_id").alias(id_), F.col(text_hash).alias(hash_), F.col(whole).alias(row))
+    twice = materialize(slim.groupBy(id_, hash_).agg(F.min(row).alias(row), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-rows")
+    again = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(text_hash) == F.col(hash_))
+    alone = hashed.join(twice, again, "left_anti").select(*docs.columns)
+    # rows that are equal in every column are one
+    kept = hashed.join(twice, again & (F.col(whole) == F.col(row)), "left_semi").dropDuplicates(["doc_id", text_hash, whole])
+    return alone.unionByName(kept.select(*docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,72 @@ def test_cover_misses_no_pair(radius):
     for _ in range(2000):
         d = sum(1 << p for p in rng.sample(range(64), radius))
         assert any(not m & d for m in masks)
-    assert simhash.cover([5], 3)  # fewer positions than vectors
+    assert simhash.cover([5], 3) == [0]  # fewer positions than dimensions
+
+
+@pytest.mark.parametrize("radius", [1, 3, 5])
+def test_finer_cover_misses_no_pair(radius):
+    rng = random.Random(radius)
+    for first in simhash.cover(list(range(64)), radius):
+        open_ = [p for p in range(64) if not first >> p & 1]
+        masks = simhash.cover(open_, radius)
+        assert all(masks)
+        for _ in range(50):
+            d = sum(1 << p for p in rng.sample(open_, radius))
+            assert any(not m & d for m in masks)
+
+
+@pytest.mark.parametrize("radius", [1, 3, 5])
+@pytest.mark.parametrize("bucket", [3, 1024])
+def test_links_equal_brute_force(spark, radius, bucket):
+    rng = random.Random(radius)
+    flip = lambda f, n: f ^ sum(1 << p for p in rng.sample(range(64), n))
+    prints = set()
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        prints |= {base, *(flip(base, rng.randint(1, radius + 2)) for _ in range(8))}
+    # many that share a bucket, and in it pairs as far apart as counts
+    first = simhash.cover(list(range(64)), radius)[-1]
+    open_, base = [p for p in range(64) if not first >> p & 1], rng.getrandbits(64)
+    for i in range(150 if bucket == 3 else 1100):
+        f = base ^ sum(1 << p for p in rng.sample(open_, len(open_) // 2))
+        prints.add(f)
+        if i < 40:
+            prints.add(f ^ sum(1 << p for p in rng.sample(open_, radius)))
+    prints = sorted(prints)
+    df = spark.createDataFrame([(simhash.signed(f),) for f in prints], "fp long")
+    place = {f: i for i, f in enumerate(prints)}
+    got = list(range(len(prints)))
+
+    def find(x):
+        while got[x] != x:
+            x = got[x]
+        return x
+
+    for a, b in simhash.links(df, radius, bucket).collect():
+        a, b = simhash.unsigned(a), simhash.unsigned(b)
+        assert (a ^ b).bit_count() <= radius * len(prints)
+        x, y = find(place[a]), find(place[b])
+        got[max(x, y)] = min(x, y)
+    x = np.array(prints, np.uint64)
+    want = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) <= radius):
+            a, b = i, int(j)
+            while want[a] != a:
+                a = want[a]
+            while want[b] != b:
+                b = want[b]
+            want[max(a, b)] = min(a, b)
+    root = lambda t, i: i if t[i] == i else root(t, t[i])
+    assert [find(i) for i in range(len(prints))] == [root(want, i) for i in range(len(prints))]
+
+
+def test_repeated_rows_of_an_id(spark):
+    rows = [(1, "a b c d e f", "en", s, n) for s, n in (("x", 1), ("y", 2), ("x", 1), ("z", None))] + [(None, "g h i j k l", None, None, None)] * 40 + [(None, "g h i j k l", "en", None, 3)]
+    docs = spark.createDataFrame(rows, common.SCHEMA)
+    one = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert len(one) == 2 and sorted(one, key=str) == sorted((tuple(r) for r in simhash.keep_one(docs.repartition(7)).collect()), key=str)
 
 
 def test_majority_counts_many():
