@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointspark.llm.names import free_names
-from pointspark.session import worker_cache
+from pointspark.session import materialize, worker_cache
 
 #: N-grams in a profile and in a document's list.
 RANKS = 300
 #: Documents of a language, expected, from which its profile is learned.
 TRAIN_DOCS = 4000
-#: Languages beyond this number are taken for a mistake in the column.
-MAX_LANGS = 10_000
 FOLDS = 5
 
 
@@ -46,7 +44,9 @@ def ngrams(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if c[-1] != 32:
         c = np.concatenate([c, [32]])
     two = c[:-1] | c[1:] << 21
-    return np.unique(np.concatenate([c[c != 32], two, two[:-1] | c[2:] << 42]), return_counts=True)
+    three = two[:-1] | c[2:] << 42
+    # a space in the middle is where one word ends and another begins
+    return np.unique(np.concatenate([c[c != 32], two, three[c[1:-1] != 32]]), return_counts=True)
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -63,16 +63,14 @@ def learn_profiles(docs: DataFrame, ranks: int = RANKS, train_docs: int = TRAIN_
 
     Of each language about train_docs documents are used (all, where there are
     fewer), chosen by a hash of doc_id and text. Rows without text or lang teach
-    nothing. What comes to the driver is ranks n-grams a language.
+    nothing; an empty table gives no profiles. What comes to the driver is ranks
+    n-grams for each value of lang, so that column has to name languages.
     """
-    known = docs.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not sizes:
-        return {}
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, train_docs / r.n))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30)
+    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    # written, so that the planner knows its size
+    sizes = materialize(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "languages")
+    rate = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n")) * (1 << 30)
+    drawn = known.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30))).join(sizes, F.col("lang") == F.col("of")).where(F.col("draw") < rate)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = letters()
@@ -85,7 +83,7 @@ def learn_profiles(docs: DataFrame, ranks: int = RANKS, train_docs: int = TRAIN_
                 n = np.bincount(at, np.concatenate([x for _, x in found]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
-    counted = known.where(drawn).select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = drawn.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= ranks)
     out: dict[str, list[int]] = {}
     for r in best.orderBy("lang", "rank").select("lang", "code").collect():
@@ -98,8 +96,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS
 
     The score is 1 at distance 0 and 0 at the largest distance. Equal distances
     go to the smaller language name. Null texts and texts without a letter get
-    `und` and 0, and so do all where there are no profiles. Only text is read.
-    Repeated rows and null doc_ids are rows like any other; other columns stay.
+    `und` and 0, and so do all where there are no profiles. Only text is read,
+    whole and however long. Repeated rows and null doc_ids are rows like any
+    other; other columns stay. An empty table gives no rows.
     """
     pred, score = free_names(docs.columns, "lang_pred", "score")
     langs = sorted(profiles)

@@ -80,6 +80,37 @@ def test_out_of_place_distance():
     assert langid.ranked(np.array([5, 6, 7]), np.array([1, 3, 3]), 2).tolist() == [6, 7]
 
 
+def profile_brute(texts, n):
+    seen = Counter()
+    for t in texts:
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            w = f" {w} "
+            seen.update(w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1) if w[i : i + k] != " ")
+    # ties go by the code: its last character weighs most; each further space of a word's end is one with the next word's
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    return [g for g, _ in sorted(seen.items(), key=lambda x: (-x[1], code(x[0])))][:n]
+
+
+def test_out_of_place_equals_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = {k: ["".join(rng.choices(a, k=rng.randint(1, 7))) for _ in range(80)] for k, a in (("xa", "abcdefgé"), ("xb", "bdfhjlnß"), ("xc", "abdehiklno"))}
+    text = lambda k: " ".join(rng.choice(vocabulary[k]) + rng.choice(("", ",", ". ", " 7")) for _ in range(rng.randint(1, 60)))
+    rows = [(i, text(k), k, "a", 1) for i in range(90) for k in [("xa", "xb", "xc")[i % 3]]]
+    rows += [(900 + i, text("xa") + " " + text("xb"), "xa", "a", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, common.SCHEMA)
+    taught = [r for r in rows if r[0] % 4]
+    profiles = langid.learn_profiles(docs.where("doc_id % 4 <> 0"))
+    want = {k: profile_brute([r[1] for r in taught if r[2] == k], langid.RANKS) for k in vocabulary}
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    assert {k: [code(g) for g in p] for k, p in want.items()} == profiles
+    out, (pred, score) = langid.identify(docs, profiles)
+    for r in out.collect():
+        own = profile_brute([r.text], langid.RANKS)
+        d = {k: sum(abs(p.index(g) - i) if g in p else langid.RANKS for i, g in enumerate(own)) for k, p in want.items()}
+        best = min(d, key=lambda k: (d[k], k))
+        assert r[pred] == best and r[score] == pytest.approx(1 - d[best] / (langid.RANKS * len(own)))
+
+
 # ---- quality rules
 
 
