@@ -7,12 +7,15 @@ needed, are laid along its demand; the inverse of the cumulative demand gives
 each copy of a document its training position, by which the copies are sorted.
 
 DataFrame operations only. No source is gathered in one task: its documents are
-dealt into blocks by hash, sums by block give each block its start, and running
-sums stay within blocks.
+dealt into blocks by hash, as many as the number of rows asks for, sums by block
+give each block its start, and running sums stay within blocks. Planning runs on
+rows without their texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +26,10 @@ from pointspark.session import materialize
 SCHEDULE = ((0.0, (6.0, 2.0, 0.5)), (0.5, (5.0, 2.0, 1.0)), (1.0, (4.0, 2.0, 1.5)))
 #: How often a document may be repeated.
 REPEATS = 3
-#: Blocks of each source.
-BLOCKS = 1024
+#: Rows of a source in a block, expected at most; a running sum stays in one.
+BLOCK_ROWS = 50_000
+#: Parts into which rows without an id are dealt besides, as their hashes may all be one.
+SALTS = 64
 
 #: A run of words with what stands around it, as one character when replaced.
 WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -76,8 +81,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], repeats: int) -> Dat
     return level.withColumn("target", F.least(F.col("most").cast("double"), F.col("weight") * F.max("level").over(Window.partitionBy()))).select("sk", "sn", "source_size", "cycle", F.col("target").cast("double"))
 
 
-def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, blocks: int = BLOCKS, whole: bool = False) -> tuple[DataFrame, list[str]]:
-    """docs with what the mix takes of each row, and the names of the added columns:
+def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, blocks: int | None = None, whole: bool = False, carried: tuple[str, ...] | None = None) -> tuple[DataFrame, list[str]]:
+    """The carried columns of docs (all, unless named) with what the mix takes of each row, and the names of the added columns:
     size, source_size, target, taken (words) and positions (array<double>, one for each copy, ascending).
 
     A size is a number of words. Sources stand by code point, null last, and
@@ -86,13 +91,20 @@ def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, bloc
     shared among the others. A copy that the demand reaches only in part counts
     with that part; whole takes it in full from half on, else not at all.
 
-    Null and empty texts have size 0 and are never taken. Null doc_ids and
-    repeated rows are rows like any other. The order inside a source comes from
-    a hash of doc_id and text, so reruns agree. An empty table gives no rows.
+    Null and empty texts have size 0 and are never taken; texts are counted
+    whole, however long, and once. Null doc_ids and repeated rows are rows like
+    any other. The order inside a source comes from a hash of doc_id and text,
+    so reruns agree; rows without an id are dealt by the part of the input they
+    stand in too. An empty table gives no rows. blocks is derived from the
+    number of rows, unless given.
     """
-    size, source_size, target, taken, positions, sk, sn, order, block, before, copies = free_names(docs.columns, "size", "source_size", "target", "taken", "positions", "sk", "sn", "mix_order", "mix_block", "mix_before", "mix_copies")
-    base = docs.withColumns({size: word_count(F.col("text")), sk: F.coalesce("source", F.lit("")), sn: F.col("source").isNull(), order: F.xxhash64("doc_id", "text")})
-    base = base.withColumn(block, F.pmod(F.xxhash64(F.lit(1), order), F.lit(blocks)).cast("int"))
+    kept = list(docs.columns if carried is None else carried)
+    size, source_size, target, taken, positions, sk, sn, order, block, before, copies, salt = free_names(kept, "size", "source_size", "target", "taken", "positions", "sk", "sn", "mix_order", "mix_block", "mix_before", "mix_copies", "mix_salt")
+    dealt = F.when(F.col("doc_id").isNull(), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+    base = docs.select(*kept, word_count(F.col("text")).alias(size), F.coalesce("source", F.lit("")).alias(sk), F.col("source").isNull().alias(sn), F.xxhash64("doc_id", "text").alias(order), dealt.alias(salt))
+    base = materialize(base, "sizes")
+    n_blocks = blocks or max(1, math.ceil(base.count() / BLOCK_ROWS))
+    base = base.withColumn(block, F.pmod(F.xxhash64(F.lit(1), order, salt), F.lit(n_blocks)).cast("int"))
     sums = base.select(F.col(sk).alias("sk"), F.col(sn).alias("sn"), F.col(block).alias("block"), F.col(size).alias("size")).groupBy("sk", "sn", "block").agg(F.sum("size").alias("size"))
     sums = materialize(sums, "block-sizes")
     by_source = targets(sums.groupBy("sk", "sn").agg(F.sum("size").alias("source_size")), integrals(schedule), repeats)
@@ -100,7 +112,7 @@ def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, bloc
     ready = starts.drop("size").join(by_source, ["sk", "sn"])
     ready = ready.select(F.col("sk").alias(sk), F.col("sn").alias(sn), F.col("block").alias(block), F.col("before").alias(before), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("cycle").alias(copies))
     joined = base.join(ready, [sk, sn, block])
-    within = Window.partitionBy(sk, sn, block).orderBy(order, "doc_id", size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(sk, sn, block).orderBy(order, salt, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn(before, F.col(before) + F.sum(size).over(within) - F.col(size))
     goal = F.round(F.col(target)).cast("long")
     each = []
@@ -116,25 +128,34 @@ def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, bloc
         each.append(F.struct(words.cast("long").alias("words"), at.alias("at")))
     joined = joined.withColumn(copies, F.filter(F.array(*each), lambda x: x["words"] > 0))
     out = joined.withColumns({taken: F.aggregate(copies, F.lit(0).cast("long"), lambda a, x: a + x["words"]), positions: F.transform(copies, lambda x: x["at"])})
-    return out.select(*docs.columns, size, source_size, target, taken, positions), [size, source_size, target, taken, positions]
+    return out.select(*kept, size, source_size, target, taken, positions), [size, source_size, target, taken, positions]
 
 
-def mix(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, blocks: int = BLOCKS) -> DataFrame:
+def mix(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, blocks: int | None = None) -> DataFrame:
     """The copies of docs that the mix takes, whole and with docs' columns, range-sorted by training position.
 
     Documents of size 0 ask for no demand and are left out. See mixing_plan for
-    the rest.
+    the rest. Positions and the part of the range that they fall in are found on
+    rows without texts; texts then go to their rows, and with them to that part.
     """
-    plan, (_, _, _, _, positions) = mixing_plan(docs, schedule, repeats, blocks, whole=True)
-    (at,) = free_names(plan.columns, "position")
-    copies = plan.select(*docs.columns, F.explode(positions).alias(at))
-    return copies.repartitionByRange(at, F.xxhash64("doc_id", "text")).sortWithinPartitions(at, F.xxhash64("doc_id", "text")).select(*docs.columns)
+    key, at, part, id_, row = free_names(docs.columns, "row_key", "position", "range_part", "planned_id", "planned_key")
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    slim = keyed.select("doc_id", "text", "source", F.col("doc_id").alias(id_), F.col(key).alias(row))
+    plan, (_, _, _, _, positions) = mixing_plan(slim, schedule, repeats, blocks, whole=True, carried=("doc_id", id_, row))
+    copies = plan.select(id_, row, F.explode(positions).alias(at))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = materialize(copies.repartitionByRange(parts, at, row).withColumn(part, F.spark_partition_id()), "positions")
+    # rows that are equal in every column are one text, which all their copies meet
+    if slim.select(id_, row).groupBy(id_, row).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["doc_id", key])
+    out = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(row)))
+    return out.repartitionById(parts, part).sortWithinPartitions(at, key).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    plan, _ = mixing_plan(docs)
-    slim = plan.select("doc_id", "size", "source_size", "target", "taken", F.element_at("positions", F.when(F.size("positions") > 0, 1)).alias("position"))
+    plan, _ = mixing_plan(docs, carried=("doc_id",))
+    slim = materialize(plan.select("doc_id", "size", "source_size", "target", "taken", F.element_at("positions", F.when(F.size("positions") > 0, 1)).alias("position")), "mix")
     return slim.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 

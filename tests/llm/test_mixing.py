@@ -90,3 +90,22 @@ def test_mix_gives_copies_in_order(spark):
     early = mixing.mix(df).limit(80).collect()  # heavier sources first, as their schedule says
     share = sum(r.source in ("s0", "s3") for r in early) / len(early)
     assert share > 0.75
+
+
+def test_equal_rows_are_copied_as_often_as_they_stand(spark):
+    rows = [(None, "same text here " * 5, "en", "a", 1)] * 30 + [(7, "same text here " * 5, "en", "a", 1)] * 3 + [(i, f"w{i} " * 15, "en", "b", 0) for i in range(50)] + [(None, None, None, None, None)] * 5
+    df = spark.createDataFrame(rows, common.SCHEMA)
+    plan, names = mixing.mixing_plan(df, whole=True)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in plan.collect():
+        want[r.doc_id, r.text] += len(r[names[4]])
+    for r in mixing.mix(df).collect():
+        got[r.doc_id, r.text] += 1
+    assert {k: v for k, v in want.items() if v} == dict(got)
+
+
+def test_many_blocks_agree_with_one(spark):
+    rows = [(i, "w " * (i % 31), "en", f"s{i % 5}", 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, common.SCHEMA)
+    for blocks in (1, 97):
+        check(*mixing.mixing_plan(df, blocks=blocks))
