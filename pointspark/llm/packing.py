@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from pointspark.llm.names import free_names
 from pointspark.session import worker_cache
 
 LENGTH = 1024
@@ -200,12 +201,15 @@ def pack(
     sentence_penalty: int = SENTENCE_PENALTY,
     inside_penalty: int = INSIDE_PENALTY,
     inside_step: int = INSIDE_STEP,
+    order: tuple[str | Column, ...] = (),
 ) -> DataFrame:
     """Pack docs (doc_id, text) into sequences of at most length tokens.
 
     One row per piece of a document in a sequence: SCHEMA, and with_ids the
-    piece's token ids. Rows of a split keep their order; nothing is shuffled,
-    and a split is read as a stream with one block of tokens in memory.
+    piece's token ids. A part is read as a stream with one block of tokens in
+    memory. Without an order, rows of an input split keep theirs and nothing is
+    shuffled. With one, rows are range-partitioned and sorted by it, and
+    sequence ids rise with it.
 
     Null and empty texts are documents of the separator alone. A null doc_id is
     carried through. Repeated rows are packed each. A text longer than a
@@ -242,7 +246,12 @@ def pack(
         if rows:
             yield batch(rows)
 
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    places = free_names(["doc_id", "text"], *[f"order{i}" for i in range(len(order))])
+    keys = [(docs[c] if isinstance(c, str) else c).alias(n) for c, n in zip(order, places, strict=True)]
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *keys)
+    if order:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slim = slim.repartitionByRange(n, *places).sortWithinPartitions(*places).select("doc_id", "text")
     return slim.mapInArrow(split, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 

@@ -97,3 +97,14 @@ def test_blocks_go_on_where_the_last_ended(spark, monkeypatch):
     for i, t in docs:
         own = sorted((r[1], r[7].tolist()) for r in rows if r[0] == i)
         assert [x for _, ids in own for x in ids] == [*enc.ids(t).tolist(), 0]
+
+
+def test_sequences_rise_with_the_order(spark):
+    rng = random.Random(3)
+    docs = [(i, common.prose(rng, rng.randint(1, 400)), f"{(i * 37) % 200:03d}") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, order0 string").repartition(6)
+    rows = packing.pack(df, order=("order0",)).collect()
+    check(rows, [r for r in df.collect()])
+    place = {i: o for i, _, o in docs}
+    at = [place[r.doc_id] for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert at == sorted(at)

@@ -1,5 +1,6 @@
 """Each stage on its own input, on small tables and on edge cases."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -41,6 +42,42 @@ def test_near_duplicate_stage(spark, data):
     assert sorted(r.doc_id for r in cp.simhash_dedup(spark, docs, data).collect()) == list(range(20))
 
 
+def test_training_order_reaches_the_sequences(spark, data, tmp_path):
+    from pointspark.llm import mixing
+
+    rng = random.Random(11)
+    rows = [(i, " ".join([f"id{i}", *common.prose(rng, rng.randint(1, 300 if i % 9 else 3000)).split()]), "en", f"s{i % 4}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, common.SCHEMA)
+    plan, (*_, at) = mixing.mixing_plan(docs, whole=True)
+    first = sorted((p, r.doc_id) for r in plan.collect() for p in r[at])
+    path = str(tmp_path / "mixed")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        cp.mix_sources(spark, docs, data).write.parquet(path)
+        out = cp.pack_sequences(spark, spark.read.parquet(path), data).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len([f for f in (tmp_path / "mixed").iterdir() if f.name.startswith("part-")]) == 7
+    begins = [r.doc_id for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    ties = [[i for _, i in g] for _, g in itertools.groupby(first, key=lambda x: x[0])]
+    assert len(ties) > 300
+    for g in ties:  # sources that begin together stand in any order
+        assert sorted(begins[: len(g)]) == g
+        begins = begins[len(g) :]
+
+
+def test_stages_with_clashing_columns(spark, data):
+    docs = common.edge_docs(spark, clashes=True)
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns
+        assert out.count() <= 2 * docs.count()
+    assert cp.pack_sequences(spark, docs, data).count() > 0
+
+
 def test_empty(spark, data):
     docs = common.empty_docs(spark)
     for _, stage in cp.STAGES:
