@@ -71,7 +71,10 @@ def test_pairs_of_a_bucket(size):
         assert sum(a == b for _, a, b in found) == 2 * size
 
 
-def test_prefixes_miss_no_pair(spark):
+@pytest.mark.parametrize("many", [1000, 4])
+def test_prefixes_miss_no_pair(spark, monkeypatch, many):
+    monkeypatch.setattr(minhash, "MANY", many)
+    monkeypatch.setattr(minhash, "MOST_MANY", 10**6)
     rng = random.Random(9)
     words = common.prose(rng, 120).split()
     texts = [" ".join(rng.choices(words, k=4) + w.split()[rng.randrange(20) :]) for w in (edited(rng, words, s)[0] for s in (0.7, 0.8, 0.9) for _ in range(25))]
