@@ -26,8 +26,6 @@ from pointspark.session import materialize
 SCHEDULE = ((0.0, (6.0, 2.0, 0.5)), (0.5, (5.0, 2.0, 1.0)), (1.0, (4.0, 2.0, 1.5)))
 #: How often a document may be repeated.
 REPEATS = 3
-#: Rows of a source in a block, expected at most; a running sum stays in one.
-BLOCK_ROWS = 50_000
 #: Parts into which rows without an id are dealt besides, as their hashes may all be one.
 SALTS = 64
 
@@ -95,15 +93,16 @@ def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, bloc
     whole, however long, and once. Null doc_ids and repeated rows are rows like
     any other. The order inside a source comes from a hash of doc_id and text,
     so reruns agree; rows without an id are dealt by the part of the input they
-    stand in too. An empty table gives no rows. blocks is derived from the
-    number of rows, unless given.
+    stand in too. An empty table gives no rows. There are as many blocks as the
+    square root of the number of rows, unless told, so neither the rows of a
+    block nor the blocks of a source are many.
     """
     kept = list(docs.columns if carried is None else carried)
     size, source_size, target, taken, positions, sk, sn, order, block, before, copies, salt = free_names(kept, "size", "source_size", "target", "taken", "positions", "sk", "sn", "mix_order", "mix_block", "mix_before", "mix_copies", "mix_salt")
     dealt = F.when(F.col("doc_id").isNull(), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
     base = docs.select(*kept, word_count(F.col("text")).alias(size), F.coalesce("source", F.lit("")).alias(sk), F.col("source").isNull().alias(sn), F.xxhash64("doc_id", "text").alias(order), dealt.alias(salt))
     base = materialize(base, "sizes")
-    n_blocks = blocks or max(1, math.ceil(base.count() / BLOCK_ROWS))
+    n_blocks = blocks or max(1, math.isqrt(base.count()))
     base = base.withColumn(block, F.pmod(F.xxhash64(F.lit(1), order, salt), F.lit(n_blocks)).cast("int"))
     sums = base.select(F.col(sk).alias("sk"), F.col(sn).alias("sn"), F.col(block).alias("block"), F.col(size).alias("size")).groupBy("sk", "sn", "block").agg(F.sum("size").alias("size"))
     sums = materialize(sums, "block-sizes")
