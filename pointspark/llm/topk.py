@@ -1,11 +1,14 @@
 """Exact top-k search by inner product, with sorted lists and score bounds.
 
 The candidates of a block are sorted by each component. A query reads each list
-from the end that its own component favours. At a given depth a candidate's
-score is bounded from above by its read components and, for the unread, by the
-value where reading stopped; and from below by the smallest values of the lists.
-The k-th best known score rules out candidates whose upper bound is lower, also
-in later blocks; what is left is read to the end, which gives final scores.
+from the end that its own component favours, deeper and deeper. At a depth a
+candidate's score is bounded from above by its read components and, for the
+unread, by the value where reading stands; and from below by the far ends of the
+lists. The k-th best known score, or lower bound while there are fewer, rules
+out candidates whose upper bound is lower, also in later blocks: a block whose
+first entries already bound it too low is not read. Reading stops when few more
+than k can qualify, whose scores are then resolved, or where the lists end. From
+one block to the next it starts a step before the depth where it last stopped.
 
 Both bounds are sums over components of one factor of the query and one of the
 candidate, so they are computed for many queries at once as matrix products.
@@ -28,10 +31,12 @@ QUERY_EVERY = 20
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
 #: Candidates whose lists are read together, and queries that read them together.
-LISTS = 1024
+LISTS = 4096
 READERS = 512
-#: Parts of the lists that are read before what is left is read to the end.
-DEPTHS = (0.5, 0.75)
+#: Parts of the lists after which bounds are taken, one after the other; after the last, the lists are read to their ends.
+DEPTHS = (0.0625, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875)
+#: Reading stops when no more than so many times k candidates a query are left.
+FEW = 2
 
 
 def read_parts(x: np.ndarray, lists: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,49 +58,74 @@ def bounds(q: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1) @ parts.T
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, candidate index, score) of each query's k best candidates, ties to the smaller id; ids ascend.
+def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, candidate index, score, depth) of each query's k best candidates, ties to the smaller id; ids ascend.
 
-    Lists of LISTS candidates are read one after the other. The k-th best score
-    so far (from known scores, or while there are fewer than k from lower
-    bounds) rules out what cannot reach it.
+    depth is the part of its lists that was read when the candidate's score was
+    resolved.
     """
     lowest = -np.inf
     pool_score = np.full((len(q), k), lowest, np.float64 if x.dtype != object else object)
     pool_at = np.full((len(q), k), -1, np.int64)
+    pool_depth = np.zeros((len(q), k))
+    last = 0
     for begin in range(0, len(x), LISTS):
         part, part_ids = x[begin : begin + LISTS], ids[begin : begin + LISTS]
         n, lists = len(part), np.sort(part, axis=0)
-        read = [read_parts(part, lists, d) for d in (min(n - 1, int(n * p)) for p in depths) if d > 0]
+        steps = sorted({d for p in depths if 0 < (d := int(n * p)) < n})
+        read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        ends = np.concatenate([lists[-1], lists[0]])[None, :]
         for i in range(0, len(q), READERS):
-            some = slice(i, i + READERS)
-            alive = part_ids[None, :] != q_ids[some, None]
-            floor = pool_score[some, -1].copy()
-            for lower, upper in read:
+            rows = i + np.flatnonzero(bounds(q[i : i + READERS], ends)[:, 0] >= pool_score[i : i + READERS, -1])
+            if not len(rows):
+                continue
+            own, floor = q[rows], pool_score[rows, -1].copy()
+            alive = part_ids[None, :] != q_ids[rows, None]
+            step = max(0, last - 1)
+            while step < len(steps):
+                d = steps[step]
+                if d not in read:
+                    read[d] = read_parts(part, lists, d)
+                lower, upper = read[d]
                 if n > k and (floor == lowest).any():
-                    low = bounds(q[some], lower)
+                    low = bounds(own, lower)
                     low[~alive] = lowest
                     floor = np.maximum(floor, np.partition(low, n - k, axis=1)[:, n - k])
-                alive &= bounds(q[some], upper) >= floor[:, None]
-                if alive.sum() <= 2 * k * len(alive):
+                alive &= bounds(own, upper) >= floor[:, None]
+                if alive.sum() <= FEW * k * len(alive):
                     break
-            a, b = np.nonzero(alive)
-            scores = np.empty(len(a), x.dtype)
-            for j in range(0, len(a), 1 << 15):
-                s = slice(j, j + (1 << 15))
-                scores[s] = np.einsum("ij,ij->i", q[i + a[s]], part[b[s]]) if x.dtype != object else (q[i + a[s]] * part[b[s]]).sum(axis=1)
-            fit = scores >= floor[a]
-            a, b, scores = a[fit], b[fit], scores[fit]
-            # what was known comes first, so that equal scores stay in the order of ids
-            rows = np.concatenate([np.repeat(np.arange(len(alive)), k), a])
-            score = np.concatenate([pool_score[some].ravel(), scores])
-            at = np.concatenate([pool_at[some].ravel(), begin + b])
-            order = np.lexsort((at, -score, rows))
-            rows = rows[order]
-            keep = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
-            pool_score[some], pool_at[some] = score[keep].reshape(-1, k), at[keep].reshape(-1, k)
+                step += 1
+            last = step
+            if step < len(steps):
+                a, b = np.nonzero(alive)
+                scores = np.empty(len(a), x.dtype)
+                for j in range(0, len(a), 1 << 15):
+                    s = slice(j, j + (1 << 15))
+                    scores[s] = np.einsum("ij,ij->i", own[a[s]], part[b[s]]) if x.dtype != object else (own[a[s]] * part[b[s]]).sum(axis=1)
+                fit = scores >= floor[a]
+                a, b, scores = a[fit], b[fit], scores[fit]
+            else:  # all lists are read: what is known is final
+                whole = own @ part.T
+                if n > k:
+                    known = np.where(alive, whole, lowest)
+                    floor = np.maximum(floor, np.partition(known, n - k, axis=1)[:, n - k])
+                a, b = np.nonzero(alive & (whole >= floor[:, None]))
+                scores = whole[a, b]
+            if not len(a):
+                continue
+            # queries with something new; what was known comes first, so that equal scores stay in the order of ids
+            new, of = np.unique(a, return_inverse=True)
+            line = np.concatenate([np.repeat(np.arange(len(new)), k), of])
+            score = np.concatenate([pool_score[rows[new]].ravel(), scores])
+            at = np.concatenate([pool_at[rows[new]].ravel(), begin + b])
+            depth = np.concatenate([pool_depth[rows[new]].ravel(), np.full(len(a), steps[step] / n if step < len(steps) else 1.0)])
+            order = np.lexsort((at, -score, line))
+            line = line[order]
+            keep = order[np.arange(len(line)) - np.searchsorted(line, line) < k]
+            for pool, values in ((pool_score, score), (pool_at, at), (pool_depth, depth)):
+                pool[rows[new]] = values[keep].reshape(-1, k)
     a, b = np.nonzero(pool_at >= 0)
-    return a, pool_at[a, b], pool_score[a, b]
+    return a, pool_at[a, b], pool_score[a, b], pool_depth[a, b]
 
 
 def number_type(dim: int, largest: float) -> type:
@@ -114,14 +144,15 @@ def matrix(rows: list, dim: int, kind: type) -> np.ndarray:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries its k best rows of vectors, both (vec_id, embedding).
+    """(query_id, rank, vec_id, score, depth): for each row of queries its k best rows of vectors, both (vec_id, embedding).
 
     Components become floor(64 * x). Scores are whole inner products; ties go to
     the smaller vec_id; a candidate with the query's own id is left out. Rows
     with a null id, a null vector, or null or non-finite components take no
     part. A shorter vector counts as followed by zeros. Rows that share an id
     count as one, with their best score. Scores beyond 64 bits are cut to the
-    largest or smallest long. Empty tables give no rows.
+    largest or smallest long. depth is the part of its block's lists that was
+    read when a score was resolved. Empty tables give no rows.
 
     Queries and candidates are dealt into blocks by hash, every pair of blocks
     meets once, and each gives k rows a query, which are ranked at the end.
@@ -141,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     right = x.select("vec_id", "v", dealt(x, n_x).alias("xb"), every(n_q).alias("qb"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64), "depth": np.zeros(0)})
         if not len(a) or not len(b):
             return empty
         rows = [*a["v"], *b["v"]]
@@ -154,19 +185,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
         order = np.argsort(ids, kind="stable")
         most = int(np.unique(ids, return_counts=True)[1].max())
         xm, ids = xm[order], ids[order]
-        qa, xb, score = best_of(qm, q_ids, xm, ids, k * most)
+        qa, xb, score, depth = best_of(qm, q_ids, xm, ids, k * most)
         score = score.astype(np.int64) if kind is not object else np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in score], np.int64)
-        return pd.DataFrame({"query_id": q_ids[qa], "vec_id": ids[xb], "score": score})
+        return pd.DataFrame({"query_id": q_ids[qa], "vec_id": ids[xb], "score": score, "depth": depth})
 
-    found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(pair, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(pair, "query_id long, vec_id long, score long, depth double")
+    best = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "depth")).alias("b")).select("query_id", "vec_id", "b.score", "b.depth")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "depth")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0))
+    return search(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0)).drop("depth")
 
 
 QUERIES = {"op6_topk": op6_topk}
