@@ -5,12 +5,13 @@ The four base kinds are found by their patterns and checks. Further candidates
 disguised addresses, names after a title) are put before labelers: a stricter
 pattern, a gazetteer of words that stand near such data, the punctuation around
 them, how varied they are, and signs of something else. Expectation-maximisation
-over the counts of vote patterns estimates how reliable each labeler is and how
-likely each pattern is personal data; a logistic regression on votes and shape,
-trained on those estimates, decides on every candidate.
+over the counts of vote patterns estimates, for each kind, how reliable each
+labeler is and how likely each pattern is personal data; kinds with few
+candidates lean on what all kinds together say. A logistic regression on votes
+and shape, trained on those estimates, decides on every candidate.
 
-DataFrame operations only. What comes to the driver is one row for each
-combination of votes and shape.
+DataFrame operations only. Texts are searched once; what is found is written.
+What comes to the driver is one row for each combination of votes and shape.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointspark.llm.names import free_names
+from pointspark.session import materialize
 
 LOCAL = "A-Za-z0-9._%+-"
 #: kind, what a text must contain, pattern. The lookbehinds give the leftmost match without trying every character of a run: a match starts a run, or goes on where the last match ended.
@@ -32,7 +34,7 @@ BASE = (
 )
 KEY = "A-Za-z0-9+/_="
 CANDIDATES = (
-    ("secret", r"[0-9]", rf"(?<![{KEY}-])(?=[A-Za-z+/_]*+[0-9])(?=[0-9+/_]*+[A-Za-z])[A-Za-z0-9+/_]{{20,}}+=*+(?![{KEY}-])"),
+    ("secret", r"[0-9]", rf"(?<![{KEY[:-1]}-])(?=[A-Za-z+/_]*+[0-9])(?=[0-9+/_]*+[A-Za-z])[A-Za-z0-9+/_]{{20,}}+=*+(?![{KEY}-])"),
     ("identity", r"[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("local_phone", r"[0-9][\x20.-][0-9]", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("disguised", r"(?i)[\[(]\x20?at\x20?[\])]", rf"(?i)(?<![{LOCAL}])[{LOCAL}]++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"),
@@ -49,7 +51,7 @@ GAZETTEER = {
 }
 #: What a stricter pattern asks of a kind.
 STRICT = {
-    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[0-9]).*)$",
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[0-9]).*)$",
     "identity": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "local_phone": r"^\(?[2-9]",
     "disguised": r"(?i)(?:\.|dot\x20?[\])]\x20?)(?:com|net|org|edu|info|[a-z]{2})$",
@@ -59,6 +61,8 @@ LABELERS = ("strict", "gazetteer", "context", "variety", "other")
 SHAPES = ("length", "digits")
 BLOCK = 256
 LIMIT = 0.5
+#: How many candidates of a kind what all kinds say counts for, in the estimates of that kind.
+POOLED = 20.0
 
 
 def starts(df: DataFrame, lengths: str, gaps: str, out: str) -> DataFrame:
@@ -173,30 +177,36 @@ def with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return df.drop(text), base, cand
 
 
-def estimate(rows: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[dict[tuple[int, ...], float], list[dict]]:
-    """EM over (vote pattern, count): how likely each pattern is a hit, and each labeler's chances of a vote by class.
+def estimate(rows: list[tuple[tuple[int, ...], int]], rounds: int = 60, pooled: tuple[float, list[dict]] | None = None) -> tuple[dict[tuple[int, ...], float], float, list[dict]]:
+    """EM over (vote pattern, count): how likely each pattern is a hit, the share of hits, and each labeler's chances of a vote by class.
 
-    The first guess is the majority; counts are smoothed by one.
+    The first guess is the majority, or what the pooled share and chances say,
+    which then count as POOLED candidates; else counts are smoothed by one.
     """
-    post = {v: 1 / (1 + math.exp(-1.5 * sum(v))) for v, _ in rows}
-    chances: list[dict] = []
+    share, chances, weight = (*pooled, POOLED) if pooled else (0.5, [{(c, x): 1 / 3 for c in (0, 1) for x in (-1, 0, 1)} for _ in LABELERS], 2.0)
+    prior = {1: weight * share, 0: weight * (1 - share)}
+
+    def judge(total: dict[int, float], chances: list[dict], v: tuple[int, ...]) -> float:
+        p = [math.log(total[c] / (total[0] + total[1])) + sum(math.log(s[c, x]) for s, x in zip(chances, v, strict=True)) for c in (0, 1)]
+        return 1 / (1 + math.exp(min(50.0, max(-50.0, p[0] - p[1]))))
+
+    post = {v: judge(prior, chances, v) if pooled else 1 / (1 + math.exp(-1.5 * sum(v))) for v, _ in rows}
+    first = chances
     for _ in range(rounds):
-        total = {c: 1.0 for c in (0, 1)}
-        seen = [{(c, x): 1 / 3 for c in (0, 1) for x in (-1, 0, 1)} for _ in LABELERS]
+        total = dict(prior)
+        seen = [{(c, x): prior[c] * p for (c, x), p in s.items()} for s in first]
         for v, n in rows:
             for c, w in ((1, n * post[v]), (0, n * (1 - post[v]))):
                 total[c] += w
                 for s, x in zip(seen, v, strict=True):
                     s[c, x] += w
         chances = [{k: x / total[k[0]] for k, x in s.items()} for s in seen]
-        new = {}
-        for v, _ in rows:
-            p = [math.log(total[c] / (total[0] + total[1])) + sum(math.log(s[c, x]) for s, x in zip(chances, v, strict=True)) for c in (0, 1)]
-            new[v] = 1 / (1 + math.exp(min(50.0, max(-50.0, p[0] - p[1]))))
+        share = total[1] / (total[0] + total[1])
+        new = {v: judge(total, chances, v) for v, _ in rows}
         if max((abs(new[v] - post[v]) for v in new), default=0) < 1e-6:
             break
         post = new
-    return post, chances
+    return post, share, chances
 
 
 def features(kind: int, v: tuple[int, ...], shape: tuple[int, ...]) -> list[float]:
@@ -225,22 +235,33 @@ def train(df: DataFrame, cand: str) -> list[float]:
     if not counted:
         return []
     by_votes: dict[tuple[int, ...], int] = {}
+    by_kind: dict[int, dict[tuple[int, ...], int]] = {}
     for r in counted:
-        by_votes[tuple(r.x.votes)] = by_votes.get(tuple(r.x.votes), 0) + r.n
-    post, _ = estimate(sorted(by_votes.items()))
-    rows = sorted((features(r.x.ord, tuple(r.x.votes), tuple(r.x["shape"])), post[tuple(r.x.votes)], float(r.n)) for r in counted)
+        v = tuple(r.x.votes)
+        by_votes[v] = by_votes.get(v, 0) + r.n
+        own = by_kind.setdefault(r.x.ord, {})
+        own[v] = own.get(v, 0) + r.n
+    _, *pooled = estimate(sorted(by_votes.items()))
+    post = {k: estimate(sorted(own.items()), pooled=tuple(pooled))[0] for k, own in by_kind.items()}
+    rows = sorted((features(r.x.ord, tuple(r.x.votes), tuple(r.x["shape"])), post[r.x.ord][tuple(r.x.votes)], float(r.n)) for r in counted)
     return regress(rows)
 
 
-def find_pii(docs: DataFrame, weights: list[float] | None = None, limit: float = LIMIT) -> tuple[DataFrame, list[str]]:
-    """docs with base_spans and spans, arrays of (start, ord, end) by start and kind (ord is an index in KINDS), and those two names.
+def find_pii(docs: DataFrame, weights: list[float] | None = None, limit: float = LIMIT, carried: tuple[str, ...] | None = None) -> tuple[DataFrame, list[str]]:
+    """The carried columns of docs (all, unless named) with base_spans and spans, arrays of (start, ord, end) by start and kind (ord is an index in KINDS), and those two names.
 
     Positions count code points; ends are exclusive. The classifier is trained
-    on docs unless weights are given. Null and empty texts have no spans.
-    Repeated rows and null doc_ids are rows like any other; other columns stay.
+    on docs unless weights are given; what the texts hold is then written with
+    the carried columns and read twice. Null and empty texts have no spans;
+    texts are searched whole, however long. Repeated rows and null doc_ids are
+    rows like any other. An empty table gives no rows.
     """
     df, base, cand = with_spans(docs)
-    weights = train(df, cand) if weights is None else weights
+    if carried is not None:
+        df = df.select(*carried, base, cand)
+    if weights is None:
+        df = materialize(df, "spans")
+        weights = train(df, cand)
     slim = lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"))
 
     def hit(c: Column) -> Column:
@@ -263,12 +284,12 @@ def written(spans: str) -> Column:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    df, (base, spans) = find_pii(docs)
+    df, (base, spans) = find_pii(docs, carried=("doc_id",))
 
     def number(i: int) -> Column:
         return F.size(F.filter(base, lambda x: x["ord"] == i)).cast("long")
 
-    return df.select("doc_id", *[number(i).alias(f"n_{k}") for i, (k, _, _) in enumerate(BASE)], F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+    return df.select("doc_id", *[number(i).alias(f"n_{k}") for i, (k, _, _) in enumerate(BASE)], F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 QUERIES = {"op7_pii": op7_pii}

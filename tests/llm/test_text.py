@@ -204,12 +204,53 @@ def test_added_spans(spark):
 
 def test_em_tells_a_reliable_labeler():
     rows = [((1, 1, 0, 0, 0), 40), ((-1, 0, 0, 0, 0), 60), ((1, 0, -1, 0, 0), 5), ((-1, 0, 0, 0, -1), 30)]
-    post, chances = pii.estimate(rows)
+    post, share, chances = pii.estimate(rows)
+    assert 0.25 < share < 0.5
     assert post[1, 1, 0, 0, 0] > 0.9 and post[-1, 0, 0, 0, -1] < 0.1
     assert chances[0][1, 1] > chances[0][0, 1]
     assert pii.estimate([])[0] == {}
 
 
+def planted(rng):
+    """(kind, text with {} for the span, span, whether it is personal data): sought data, and what only looks like it."""
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghXYZUVW0123456789") for _ in range(n)) + "aX7"
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    first, last = ("Maria", "John", "Aiko", "Olga", "Samuel"), ("Keller", "Smith", "Tanaka", "Petrova", "Okafor")
+    yield "secret", rng.choice(('token = "{}" here', "api key: {} kept", "password={} in the file", "Bearer {} sent")), rng.choice((hexa(40), hexa(32), hexa(40).upper(), mixed(24))), True
+    yield "secret", rng.choice(("see https://x.org/{}/page", "the path /usr/lib/{} holds", "at /a/{}/b it")), "".join(rng.choice("ab") for _ in range(25)) + "1", False
+    yield "identity", rng.choice(("social security number {} on file", "SSN: {} was given", "ssn {} of the client")), f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", True
+    yield "identity", rng.choice(("part 0{} of the list", "code x{} stands")), f"000-{digit(2)}-0000", False
+    yield "local_phone", rng.choice(("please call {} today", "phone: {} at night", "fax {} still works")), f"({rng.randint(200, 989)}) {rng.randint(200, 989)}-{digit(4)}", True
+    yield "local_phone", rng.choice(("item {} in stock", "lot #{} sold")), f"1{digit(2)}.0{digit(2)}.{digit(4)}", False
+    yield "disguised", rng.choice(("write to {} now", "mail {} for more", "contact {} please")), f"{rng.choice(last).lower()} (at) mail{digit(1)} (dot) {rng.choice(('com', 'org'))}", True
+    yield "name", rng.choice(("signed {} there", "dear {} we write", "patient {} was seen")), f"{rng.choice(('Dr', 'Mrs', 'Prof'))}. {rng.choice(first)} {rng.choice(last)}", True
+
+
+def test_recall_of_added_spans_by_kind(spark):
+    rng = random.Random(13)
+    rows, truth = [], {}
+    for i in range(150):
+        for kind, frame, span, real in planted(rng):
+            before = common.prose(rng, rng.randint(3, 30)).lower().rstrip(".") + " "
+            k = len(rows)
+            at = len(before) + frame.index("{}")
+            truth[k] = (kind, at, at + len(span), real)
+            rows.append((k, before + frame.format(span) + ". " + common.prose(rng, 5), "en", "a", 1))
+    out, (_, spans) = pii.find_pii(spark.createDataFrame(rows, common.SCHEMA).repartition(4))
+    hit, false, all_ = Counter(), Counter(), Counter()
+    for r in out.select("doc_id", pii.written(spans).alias("s")).collect():
+        kind, a, b, real = truth[r.doc_id]
+        found = [x for x in r.s.split(",") if x]
+        all_[kind, real] += 1
+        hit[kind] += real and f"{kind}:{a}:{b}" in found
+        false[kind] += not real and bool(found)
+    recall = {k: hit[k] / all_[k, True] for k in pii.GAZETTEER}
+    wrong = {k: false[k] / all_[k, False] for k in pii.GAZETTEER if all_[k, False]}
+    print("recall", recall, "of the others taken", wrong)
+    assert min(recall.values()) >= 0.9 and max(wrong.values()) <= 0.1, (recall, wrong)
+
+
 # ---- quality classifier
 
 
