@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointspark.llm.urlfilter import host_and_path
 from pointspark.session import materialize
 
 #: Labelled documents, expected, on which the classifier is trained.
@@ -110,17 +111,24 @@ def strength(groups: DataFrame, n: str, total: str, mean: float) -> float:
     return STRENGTH[1] if between <= 0 else min(STRENGTH[1], max(STRENGTH[0], spread / between - 1))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", limit: float = LIMIT, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, list[str]]:
+def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", limit: float = LIMIT, train_docs: int = TRAIN_DOCS, url: str | None = None) -> tuple[DataFrame, list[str]]:
     """(doc_id, host, path, evidence, host_posterior, path_posterior, quality, keep) for every row of docs, and the last five names.
 
     labels: (doc_id, label), 1 for good. host and path name the columns of docs
-    that say where a document is from; a null is a place of its own. evidence is
+    that say where a document is from, or url the column from which both come
+    (of the path, its first part); a null is a place of its own. evidence is
     in log odds; the posteriors are probabilities; keep is quality >= limit.
-    Null and empty texts count by their features like any text. Repeated rows
-    and null doc_ids are rows like any other. An empty table gives no rows.
+    Null and empty texts count by their features like any text; texts are read
+    whole, however long. Repeated rows and null doc_ids are rows like any other.
+    An empty table gives no rows.
     """
     mean, dev, w, b = train(docs, labels, train_docs)
-    slim = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
+    if url is None:
+        from_host, from_path = F.col(host).cast("string"), F.col(path).cast("string")
+    else:
+        from_host, rest = host_and_path(F.col(url))
+        from_path = F.regexp_extract(rest, "^/[^/]*", 0)
+    slim = docs.select("doc_id", from_host.alias("host"), from_path.alias("path"), "text")
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

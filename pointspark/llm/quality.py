@@ -82,9 +82,10 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     """docs with counts and verdict, and the names of the added columns: n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept.
 
-    Null and empty texts have no words and fail. Repeated rows and null doc_ids
-    are rows like any other; other columns stay. Windows of three words are
-    compared by 64-bit hashes.
+    Null and empty texts have no words and fail; texts are read whole, however
+    long. Repeated rows and null doc_ids are rows like any other; other columns
+    stay. An empty table gives no rows. Windows of three words are compared by
+    64-bit hashes.
     """
     names = free_names(docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, ratio, kept = names

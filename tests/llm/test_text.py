@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -287,6 +288,39 @@ def test_hierarchical_posteriors(spark):
         assert r.host_posterior == pytest.approx(h, abs=1e-4) and r.path_posterior == pytest.approx(p, abs=1e-4)
 
 
+def test_classifier_on_unseen_documents(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("the test tables are not here")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source", "lang")
+    labels = spark.read.parquet(f"{d}/labels.parquet").selectExpr("doc_id", "quality as label")
+    taught = labels.where("crc32(cast(doc_id as string)) % 2 = 0")
+    rows = classifier.score_quality(docs, taught)[0].join(labels.subtract(taught), "doc_id").select("quality", "label", "keep").collect()
+    good, bad = [r.quality for r in rows if r.label], [r.quality for r in rows if not r.label]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(bad) > 20 and auc > 0.97 and np.mean([r.keep == bool(r.label) for r in rows]) > 0.95
+
+
+def test_hosts_and_paths_of_urls(spark):
+    rng = random.Random(17)
+    junk = lambda: " ".join("$$$" + w.upper() for w in common.prose(rng, 50).split())
+    rows = []
+    for i in range(300):
+        host, path = ("good.org", "mixed.net", "spam.com")[i % 3], ("blog", "shop")[i % 2]
+        bad = host == "spam.com" or host == "mixed.net" and path == "shop"
+        rows.append((i, junk() if bad else common.prose(rng, 50), f"https://{host}/{path}/{i}?x=1"))
+    rows += [(1000, "", "https://spam.com/blog/new"), (1001, "", "https://good.org/blog/new"), (1002, "", "https://rare.org/a"), (1003, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string")
+    labels = df.where("doc_id < 150").selectExpr("doc_id", "int(text not like '%$$$%') as label")
+    got = {r.doc_id: r for r in classifier.score_quality(df, labels, url="url")[0].collect()}
+    assert (got[0].host, got[0].path) == ("good.org", "/blog") and (got[1003].host, got[1003].path) == ("", "")
+    # of the same text, the place decides; a path of a mixed host more than the host
+    assert got[1000].path_posterior < 0.2 < 0.8 < got[1001].path_posterior
+    assert got[1000].quality < got[1001].quality
+    shop, blog = (next(r for r in got.values() if r.host == "mixed.net" and r.path == p) for p in ("/shop", "/blog"))
+    assert shop.path_posterior < shop.host_posterior < blog.path_posterior
+
+
 def test_classifier_edges(spark):
     docs = common.edge_docs(spark, clashes=True)
     labels = spark.createDataFrame([(4, 1), (8, 0), (8, 0)], "doc_id long, label int")
