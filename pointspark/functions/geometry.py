@@ -89,6 +89,117 @@ def rotation(axis: str, angle: Column) -> list[Column]:
     return [table[3 * r + k] if k < 3 else o for r in ROWS for k in COLS]
 
 
+def turn_about(axis: list[Column], angle: Column) -> list[Column]:
+    """Rotation by angle about an axis of any length, which must not be zero."""
+    a, c, s = normalize(axis), F.cos(angle), F.sin(angle)
+    skew = {(0, 1): -a[2], (0, 2): a[1], (1, 0): a[2], (1, 2): -a[0], (2, 0): -a[1], (2, 1): a[0]}
+    cell = lambda i, j: a[i] * a[j] * (F.lit(1.0) - c) + (c if i == j else skew[i, j] * s)
+    return [cell(i, j) if j < 3 else F.lit(0.0) for i in ROWS for j in COLS]
+
+
+def from_rotation_vector(v: list[Column]) -> list[Column]:
+    """The rotation about v by its length; none for a zero vector."""
+    return turn_about(v, length(v))
+
+
+def rotation_vector(m: list[Column]) -> list[Column]:
+    """The axis of a rotation, as long as its angle in [0, pi]."""
+    half = [(m[9] - m[6]) / 2, (m[2] - m[8]) / 2, (m[4] - m[1]) / 2]
+    sine, cosine = length(half), (m[0] + m[5] + m[10] - F.lit(1.0)) / 2
+    angle = F.atan2(sine, cosine)
+    # half a turn has no skew part: the axis then is the longest column of (m + 1) / 2
+    size = [F.sqrt(F.greatest((m[5 * i] + F.lit(1.0)) / 2, F.lit(0.0))) for i in ROWS]
+    longest = [(size[i] >= size[(i + 1) % 3]) & (size[i] >= size[(i + 2) % 3]) for i in ROWS]
+    columns_ = [[(m[4 * j + i] + m[4 * i + j]) / 4 / size[i] if i != j else size[i] for j in ROWS] for i in ROWS]
+    out = []
+    for j in ROWS:
+        axis = F.when(longest[0], columns_[0][j]).when(longest[1], columns_[1][j]).otherwise(columns_[2][j])
+        out.append(F.when(sine > 1e-9, half[j] / sine * angle).when(cosine > 0, half[j]).otherwise(axis * angle))
+    return out
+
+
+def from_euler(axes: str, angles: list[Column]) -> list[Column]:
+    """Turns about fixed axes one after the other: the first of axes is applied first."""
+    out = rotation(axes[0], angles[0])
+    for axis, angle in zip(axes[1:], angles[1:], strict=True):
+        out = multiply(rotation(axis, angle), out)
+    return out
+
+
+def yaw_pitch_roll(yaw: Column, pitch: Column, roll: Column, shift: list[Column], roll_first: bool = True) -> list[Column]:
+    """A pose by yaw about z, pitch about y and roll about x; roll is applied first, or else pitch."""
+    order = ("x", roll), ("y", pitch)
+    (a, first), (b, second) = order if roll_first else order[::-1]
+    m = from_euler(a + b + "z", [first, second, yaw])
+    return [shift[i // 4] if i % 4 == 3 else v for i, v in enumerate(m)]
+
+
+def look_at(eye: list[Column], target: list[Column], up: list[Column]) -> list[Column]:
+    """From the world to a camera at eye: z ahead, x to its left, y up."""
+    ahead = normalize([t - e for t, e in zip(target, eye, strict=True)])
+    left = normalize(cross(normalize(up), ahead))
+    above = cross(ahead, left)
+    return invert([v for i in ROWS for v in (left[i], above[i], ahead[i], eye[i])])
+
+
+# ---- transforms of sixteen columns, row by row
+
+
+def whole(m: list[Column]) -> list[Column]:
+    """A rigid transform with its last row."""
+    return [*m, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+
+
+def orthographic(near: Column, far: Column) -> list[Column]:
+    """Depths from near to far go to 0 to 1."""
+    o, i, d = F.lit(0.0), F.lit(1.0), far - near
+    return [i, o, o, o, o, i, o, o, o, o, i / d, -near / d, o, o, o, i]
+
+
+def perspective(degrees: Column, near: Column, far: Column) -> list[Column]:
+    """A field of view of so many degrees goes to -1 to 1, depths from near to far to 0 to 1, after the division by z."""
+    o, i = F.lit(0.0), F.lit(1.0)
+    wide, deep = i / F.tan(F.radians(degrees) / 2), far / (far - near)
+    return [wide, o, o, o, o, wide, o, o, o, o, deep, -near * deep, o, o, i, o]
+
+
+def multiply_whole(a: list[Column], b: list[Column]) -> list[Column]:
+    return [dot(a[4 * i : 4 * i + 4], [b[4 * k + j] for k in range(4)]) for i in range(4) for j in range(4)]
+
+
+def project(m: list[Column], x: Column, y: Column, z: Column) -> list[Column]:
+    """A point through sixteen columns, divided by its last coordinate; null where that is zero."""
+    point = [x, y, z, F.lit(1.0)]
+    h = [dot(m[4 * i : 4 * i + 4], point) for i in range(4)]
+    return [F.try_divide(v, h[3]) for v in h[:3]]
+
+
+def inverse_whole(m: list[Column]) -> list[Column]:
+    """The inverse by the minors of the upper and the lower two rows; null where there is none."""
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    minor = lambda r, p: m[4 * r + p[0]] * m[4 * r + 4 + p[1]] - m[4 * r + p[1]] * m[4 * r + 4 + p[0]]
+    high, low = {p: minor(0, p) for p in pairs}, {p: minor(2, p) for p in pairs}
+    sign = lambda p: F.lit(1.0 if sum(p) % 2 else -1.0)
+    rest = lambda p: tuple(k for k in range(4) if k not in p)
+    det = sum((sign(p) * high[p] * low[rest(p)] for p in pairs[1:]), sign(pairs[0]) * high[pairs[0]] * low[rest(pairs[0])])
+    out = []
+    for i in range(4):
+        a, b, c = [k for k in range(4) if k != i]
+        for j in range(4):
+            # without row j and column i: the other row of its half, and a minor of the other half
+            row, part = m[4 * (j ^ 1) : 4 * (j ^ 1) + 4], low if j < 2 else high
+            cofactor = row[a] * part[b, c] - row[b] * part[a, c] + row[c] * part[a, b]
+            out.append(F.try_divide(cofactor if (i + j) % 2 == 0 else -cofactor, det))
+    return out
+
+
+def solve_two(a: list[Column], b: list[Column]) -> list[Column]:
+    """x of a . x = b for a of four columns, row by row; null where the determinant is below 1e-10."""
+    det = a[0] * a[3] - a[1] * a[2]
+    found = a[3] * b[0] - a[1] * b[1], a[0] * b[1] - a[2] * b[0]
+    return [F.when(F.abs(det) >= 1e-10, v / det) for v in found]
+
+
 def translation(x: Column, y: Column, z: Column) -> list[Column]:
     m = identity()
     m[3], m[7], m[11] = x, y, z

@@ -150,24 +150,65 @@ def unpack_rgb(n: Column) -> tuple[Column, Column, Column]:
     return tuple(F.shiftright(n, s).bitwiseAND(F.lit(255)) / F.lit(255.0) for s in (0, 8, 16))
 
 
-def piecewise(t: Column, stops: tuple[tuple[float, float, float], ...]) -> tuple[Column, Column, Column]:
-    """A colour ramp through evenly spaced stops, straight between them."""
-    n = len(stops) - 1
-    t = clamp(t, F.lit(0.0), F.lit(1.0)) * n
-    out = []
-    for c in range(3):
-        v = F.lit(float(stops[n][c]))
-        for k in range(n - 1, -1, -1):
-            v = F.when(t < k + 1, F.lit(float(stops[k][c])) + (t - k) * F.lit(float(stops[k + 1][c] - stops[k][c]))).otherwise(v)
-        out.append(v)
-    return tuple(out)
-
-
-#: A ramp from blue over cyan, yellow to red.
-JET = ((0.0, 0.0, 0.5), (0.0, 0.0, 1.0), (0.0, 1.0, 1.0), (1.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.5, 0.0, 0.0))
-#: Five stops of the usual perceptual ramps.
-VIRIDIS = ((0.267, 0.005, 0.329), (0.229, 0.322, 0.546), (0.128, 0.567, 0.551), (0.369, 0.789, 0.383), (0.993, 0.906, 0.144))
-MAGMA = ((0.001, 0.0, 0.014), (0.317, 0.072, 0.485), (0.717, 0.215, 0.475), (0.987, 0.536, 0.382), (0.987, 0.991, 0.75))
+def ramp(v: Column, stops: tuple[tuple[float, float, float], ...], last: int) -> tuple[Column, Column, Column]:
+    """A colour ramp over evenly spaced stops that runs one stop behind v.
+
+    In the k-th of the even parts of [0, 1] (at most the last) the colour goes
+    from stop k - 1 to stop k; in the first it stays at the first stop.
+    """
+    t = clamp(v, F.lit(0.0), F.lit(1.0)) * (len(stops) - 1)
+    k = F.least(F.floor(t).cast("int"), F.lit(last))
+    way = t - k
+    at = lambda c, i: F.get(F.array(*[F.lit(float(x[c])) for x in stops]), i)
+    return tuple(at(c, F.greatest(k - 1, F.lit(0))) * (F.lit(1.0) - way) + at(c, k) * way for c in range(3))
+
+
+# The stops of the colour ramps.
+MAGMA = (
+    (0.001462, 0.000466, 0.013866),
+    (0.316654, 0.07169, 0.48538),
+    (0.716387, 0.214982, 0.47529),
+    (0.9867, 0.535582, 0.38221),
+    (0.987053, 0.991438, 0.749504),
+)
+VIRIDIS = (
+    (0.267004, 0.004874, 0.329415),
+    (0.229739, 0.322361, 0.545706),
+    (0.127568, 0.566949, 0.550556),
+    (0.369214, 0.788888, 0.382914),
+    (0.993248, 0.906157, 0.143936),
+)
+JET = (
+    (0.0, 0.0, 0.5),
+    (0.0, 0.0, 0.945632798573975),
+    (0.0, 0.3, 1.0),
+    (0.0, 0.692156862745098, 1.0),
+    (0.16129032258064513, 1.0, 0.8064516129032259),
+    (0.4901960784313725, 1.0, 0.4775458570524984),
+    (0.8064516129032256, 1.0, 0.16129032258064513),
+    (1.0, 0.7705156136528688, 0.0),
+    (1.0, 0.40740740740740755, 0.0),
+    (0.9456327985739753, 0.029774872912127992, 0.0),
+)
+
+
+def magma(v: Column) -> tuple[Column, Column, Column]:
+    return ramp(v, MAGMA, 3)
+
+
+def viridis(v: Column) -> tuple[Column, Column, Column]:
+    return ramp(v, VIRIDIS, 3)
+
+
+def jet(v: Column) -> tuple[Column, Column, Column]:
+    return ramp(v, JET, 9)
+
+
+def label_colour(label: Column) -> tuple[Column, Column, Column]:
+    """A colour in bytes for a label, the same in every run: black for 0; up to 1024 without bright greens."""
+    byte = lambda seed, n: F.pmod(F.xxhash64(label.cast("long"), F.lit(seed)), F.lit(n)).cast("int")
+    black = lambda c: F.when(label == 0, F.lit(0)).otherwise(c)
+    return black(byte(1, 256)), black(F.when(label <= 1024, byte(2, 180)).otherwise(byte(2, 256))), black(byte(3, 256))
 
 
 def gamma(v: Column, g: float) -> Column:

@@ -33,17 +33,17 @@ def bev_max(points: DataFrame, resolution: float, value: str = "intensity") -> D
 
 
 def quantile_edges(cells: DataFrame, value: str = "val", bins: int = 1000, edges: int = 10) -> DataFrame:
-    """(k, edge) for k from 0 to edges: where the cumulative histogram of [0, 1] reaches k / edges, between bins by straight lines; edge 0 is 0."""
+    """(k, edge) for k from 0 to edges: where the cumulative histogram of [0, 1] reaches k / edges, between bins by straight lines; edge 0 is 0; an empty table gives no rows."""
     bin_of = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int")
     counts = cells.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"))
     order = Window.orderBy("bin")
     full = cells.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(counts), "bin", "left").fillna(0, ["n"])
-    c = full.select("bin", (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy())).alias("c"))
+    c = full.select("bin", F.try_divide(F.sum("n").over(order), F.sum("n").over(Window.partitionBy())).alias("c"))
     seg = c.select(F.col("c").alias("c1"), ((F.col("bin") + 1) / F.lit(float(bins))).alias("x1"), F.lag("c").over(order).alias("c0"), (F.col("bin") / F.lit(float(bins))).alias("x0"))
     wanted = cells.sparkSession.range(edges + 1).select(F.col("id").cast("int").alias("k"), (F.col("id") / F.lit(float(edges))).alias("q"))
     # the first segment that reaches q; below the first bin's share its right edge holds
     hits = wanted.join(F.broadcast(seg), F.col("c1") >= F.col("q")).groupBy("k", "q").agg(F.min_by(F.struct("c0", "c1", "x0", "x1"), "x1").alias("s"))
-    between = F.col("s.x0") + (F.col("q") - F.col("s.c0")) / (F.col("s.c1") - F.col("s.c0")) * (F.col("s.x1") - F.col("s.x0"))
+    between = F.col("s.x0") + F.try_divide(F.col("q") - F.col("s.c0"), F.col("s.c1") - F.col("s.c0")) * (F.col("s.x1") - F.col("s.x0"))
     edge = F.when(F.col("k") == 0, F.lit(0.0)).when(F.col("s.c0").isNull() | (F.col("s.c0") >= F.col("q")), F.col("s.x1")).otherwise(between)
     return hits.select("k", edge.alias("edge"))
 
@@ -102,9 +102,9 @@ def majority(rows: DataFrame, value: str, *by: str, out: str = "major") -> DataF
 
 
 def labelled_ratio(points: DataFrame, *by: str, label: str = "label") -> DataFrame:
-    """The share of points with a class, as counts and a ratio."""
+    """The share of points with a class, as counts and a ratio; null for no points."""
     done = F.count_if(S.semantic(F.col(label)) != 0)
-    return points.groupBy(*by).agg(done.alias("labelled"), F.count("*").alias("n")).withColumn("ratio", F.col("labelled") / F.col("n"))
+    return points.groupBy(*by).agg(done.alias("labelled"), F.count("*").alias("n")).withColumn("ratio", F.try_divide("labelled", "n"))
 
 
 def heightmap(points: DataFrame, cell: float = 0.5, outlier: int = 1) -> DataFrame:

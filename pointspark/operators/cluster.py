@@ -88,7 +88,7 @@ def unified_ids(pairs: DataFrame) -> DataFrame:
 
 
 def pixel_components(pixels: DataFrame, by: tuple[str, ...] = ("frame", "cam")) -> DataFrame:
-    """(by, row, col, component, size): 8-connected parts of masks, component the smallest pixel key."""
+    """(by, row, col, component, first_row, first_col, size): 8-connected parts of masks, with a number, their first pixel by row and their size."""
     p = pixels.select(*by, "row", "col").distinct().withColumn("key", F.xxhash64(*by, "row", "col"))
     # each edge from one end only
     ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
@@ -96,8 +96,8 @@ def pixel_components(pixels: DataFrame, by: tuple[str, ...] = ("frame", "cam"))
     edges = sent.join(p, [*by, "row", "col"]).select(F.col("from").alias("a"), F.col("key").alias("b"))
     comps = connected_components(edges)
     found = p.join(comps, p["key"] == comps["node"], "left").withColumn("component", F.coalesce("component", "key"))
-    size = found.groupBy("component").agg(F.count("*").alias("size"))
-    return found.join(size, "component").select(*by, "row", "col", "component", "size")
+    size = found.groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct("row", "col")).alias("first"))
+    return found.join(size, "component").select(*by, "row", "col", "component", F.col("first.row").alias("first_row"), F.col("first.col").alias("first_col"), "size")
 
 
 def prompt_objects(voxels: DataFrame, scales: tuple[tuple[float, int], ...] = ((0.6, 30), (1.2, 50)), size: float = 1.0, negatives: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -137,6 +137,8 @@ def ground_textures(points: DataFrame, resolution: float, clusters: int, reach:
     scaled = points.withColumn("intensity", A.range_intensity(F.col("x"), F.col("y"), F.col("z"), F.col("intensity")))
     cells = materialize(A.bev_max(scaled, resolution), "cells")
     edges = [r.edge for r in A.quantile_edges(cells).orderBy("k").collect()]  # eleven rows
+    if not edges:  # no points
+        return cells.select("row", "col", F.lit(0).alias("class"))
     bins = len(edges) - 1
     shares = A.focal_histogram(cells, edges, reach)
     vector = F.array(*[F.coalesce(F.max(F.when(F.col("bin") == k, F.col("share"))), F.lit(0.0)) for k in range(bins)])
@@ -155,11 +157,14 @@ def fuzzy_cmeans(rows: DataFrame, vector: str, key: str, n: int, m: float = 2.0,
 
     The start is the n rows whose key hashes lowest, or the given centres. A
     round is one pass that sums weights and weighted vectors for each cluster;
-    n centres come to the driver.
+    n centres come to the driver. Rows without a vector get cluster 0, an empty
+    table has no centres.
     """
     if centres is None:
-        seeds = rows.orderBy(F.xxhash64(F.col(key), F.lit(42)), key).limit(n).select(vector).collect()
+        seeds = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(42)), key).limit(n).select(vector).collect()
         centres = np.array([r[0] for r in seeds], np.float64)
+    if not len(centres):
+        return rows.withColumn("cluster", F.lit(None).cast("int")), centres.reshape(0, 0)
 
     def distances(v: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.maximum(np.stack([((v - x) ** 2).sum(axis=1) for x in c], axis=1), 1e-12)
@@ -252,44 +257,77 @@ def nms(votes: DataFrame, by: tuple[str, ...] = ("frame", "region"), label: str
     return b.groupBy(*by).applyInPandas(fold, schema)
 
 
-def small_dbscan(p: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Cluster numbers of a few points, -1 for noise, in order of first member."""
-    d = ((p[:, None, :] - p[None, :, :]) ** 2).sum(-1) <= eps * eps
-    core, out, number = d.sum(1) >= least, np.full(len(p), -1), 0
+def layer_cells(p: np.ndarray, side: float) -> dict[tuple[int, int], np.ndarray]:
+    """Indexes of the points of a layer by square cells of the given side."""
+    keys = np.floor(p[:, :2] / side).astype(np.int64)
+    order = np.lexsort(keys.T)
+    cut = np.flatnonzero(np.any(np.diff(keys[order], axis=0), axis=1)) + 1
+    return {tuple(keys[i[0]].tolist()): i for i in np.split(order, cut)} if len(p) else {}
+
+
+def around(cells: dict[tuple[int, int], np.ndarray], key: tuple[int, int]) -> np.ndarray:
+    """Indexes in a cell and the eight about it."""
+    found = [cells[k] for i in (-1, 0, 1) for j in (-1, 0, 1) if (k := (key[0] + i, key[1] + j)) in cells]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def layer_dbscan(p: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Cluster numbers of the points of a layer, -1 for noise, in order of first core member; a border point joins the first cluster that reaches it."""
+    cells, near = layer_cells(p, eps), {}
+    for key, own in cells.items():
+        other = around(cells, key)
+        # a cell's points against those about it, some at a time
+        for at in range(0, len(own), 256):
+            some = own[at : at + 256]
+            hit = ((p[some, None, :2] - p[None, other, :2]) ** 2).sum(-1) <= eps * eps
+            near.update((int(i), other[h]) for i, h in zip(some, hit, strict=True))
+    out, number = np.full(len(p), -1), 0
     for i in range(len(p)):
-        if core[i] and out[i] < 0:
+        if out[i] < 0 and len(near[i]) >= least:
             out[i], queue = number, [i]
             while queue:
-                for k in np.flatnonzero(d[queue.pop()] & (out < 0)):
-                    out[k] = number
-                    if core[k]:
-                        queue.append(int(k))
+                for k in near[queue.pop()]:
+                    if out[k] < 0:
+                        out[k] = number
+                        if len(near[int(k)]) >= least:
+                            queue.append(int(k))
             number += 1
     return out
 
 
+def layer_reach(p: np.ndarray, own: np.ndarray, eps: float) -> np.ndarray:
+    """For each point of a layer, whether one of own is nearer than eps."""
+    cells, out = layer_cells(own, eps), np.zeros(len(p), bool)
+    for key, some in layer_cells(p, eps).items():
+        other = around(cells, key)
+        for at in range(0, len(some) if len(other) else 0, 256):
+            i = some[at : at + 256]
+            out[i] = (((p[i, None, :2] - own[None, other, :2]) ** 2).sum(-1) < eps * eps).any(axis=1)
+    return out
+
+
 def grow_layers(labels: dict[int, np.ndarray], free: np.ndarray, eps: float) -> list[tuple[tuple[int, int, int], int]]:
     """Free voxels that labels take: in each layer of a label, groups of free voxels nearer than eps to it.
 
-    Labels come by falling size, then id; noise is one group.
+    Labels come by falling size, then id; noise is one group. Distances are
+    taken between neighbouring cells of side eps only.
     """
     out = []
     pool: dict[int, np.ndarray] = {int(z): free[free[:, 2] == z] for z in np.unique(free[:, 2])} if len(free) else {}
+    groups: dict[int, np.ndarray] = {}
     for label in sorted(labels, key=lambda k: (-len(labels[k]), k)):
-        for z in np.unique(labels[label][:, 2]):
-            layer = pool.get(int(z))
+        for z in np.unique(labels[label][:, 2]).tolist():
+            layer = pool.get(z)
             if layer is None or not len(layer):
                 continue
+            if z not in groups:
+                groups[z] = layer_dbscan(layer, eps, 3)
             own = labels[label][labels[label][:, 2] == z]
-            groups, left = small_dbscan(layer, eps, 3), []
-            for g in np.unique(groups):
-                members = layer[groups == g]
-                d2 = ((members[:, None, :] - own[None, :, :]) ** 2).sum(-1).min()
-                if d2 < eps * eps:
-                    out += [(tuple(int(x) for x in m), label) for m in members]
-                else:
-                    left.append(members)
-            pool[int(z)] = np.concatenate(left) if left else layer[:0]
+            taken = np.isin(groups[z], np.unique(groups[z][layer_reach(layer, own, eps)]))
+            if taken.any():
+                out += [(tuple(m), label) for m in layer[taken].tolist()]
+                pool[z] = layer[~taken]
+                groups.pop(z)  # what stays is grouped anew
     return out
 
 
@@ -318,33 +356,44 @@ def grow(voxels: DataFrame, by: tuple[str, ...] = ("frame", "region"), label: st
 # ---- votes of overlapping segments into a shared grid
 
 
-def vote_segments(segments: list[tuple[int, list[tuple[int, int]]]], share: float = 0.5) -> tuple[dict[tuple[int, int], int], dict[int, int]]:
-    """(cell -> id, segment -> id): segments in order; one takes the id that most of its known cells have, if they are over share of it, else a new one."""
+def vote_segments(segments: list[tuple[int, list[tuple[int, int]]]], share: float = 0.7) -> tuple[dict[tuple[int, int], int], dict[int, int]]:
+    """(cell -> id, segment -> id): segments in order, each with the cells of its points, one for every point.
+
+    A segment takes the id that most of its points meet (ties: the one met
+    first), if that id counts for more than share of all its points; where no
+    point meets one, or none counts for so much, it takes a new id, from 1. Its
+    cells then have its id, whatever they had.
+    """
     grid: dict[tuple[int, int], int] = {}
     ids: dict[int, int] = {}
     number = 0
     for key, cells in segments:
-        counts: dict[int, int] = defaultdict(int)
+        counts: dict[int, int] = {}
         for c in cells:
             if c in grid:
-                counts[grid[c]] += 1
-        best = max(counts, key=lambda k: (counts[k], -k), default=None)
+                counts[grid[c]] = counts.get(grid[c], 0) + 1
+        best = max(counts, key=counts.get, default=None)
         if best is None or counts[best] <= share * len(cells):
             number += 1
             best = number
         ids[key] = best
-        for c in cells:
-            grid.setdefault(c, best)
+        grid.update(dict.fromkeys(cells, best))
     return grid, ids
 
 
-def vote_into_grid(rows: DataFrame, by: str, order: str, share: float = 0.5) -> DataFrame:
-    """(by, order, id) for segments (by, order, row, col), decided in order within each sequence."""
+def vote_into_grid(rows: DataFrame, by: str, order: str, share: float = 0.7) -> DataFrame:
+    """(by, order, id) for the points (by, order, row, col) of segments, decided in order within each sequence.
+
+    Points are counted by cell before they meet, so a task of a sequence holds a
+    row for each cell of a segment. Cells of a segment stand by row and column.
+    """
     kind = dict(rows.dtypes)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        segments = [(k, sorted(set(zip(g["row"], g["col"], strict=True)))) for k, g in pdf.sort_values(order).groupby(order)]
+        pdf = pdf.sort_values([order, "row", "col"])
+        segments = ((k, [c for c, n in zip(zip(g["row"].tolist(), g["col"].tolist(), strict=True), g["n"].tolist(), strict=True) for _ in range(n)]) for k, g in pdf.groupby(order))
         _, ids = vote_segments(segments, share)
         return pd.DataFrame({by: [pdf[by].iloc[0]] * len(ids), order: list(ids), "id": list(ids.values())})
 
-    return rows.select(by, order, "row", "col").distinct().groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, {order} {kind[order]}, id bigint")
+    counted = rows.groupBy(by, order, "row", "col").agg(F.count("*").alias("n"))
+    return counted.groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, {order} {kind[order]}, id bigint")

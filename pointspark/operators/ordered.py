@@ -110,6 +110,31 @@ def local_peak(rows: DataFrame, by: tuple[str, ...], order: str, value: str) ->
     return around.where((F.col(value) >= F.col("before")) & (F.col(value) >= F.col("after"))).withColumn("three", F.col("before") + F.col(value) + F.col("after")).drop("before", "after")
 
 
+def narrowed(height_at, low: float, high: float, target: tuple[float, float], start: float, rounds: int = 30) -> float:
+    """The angle between low and high at which height_at lies within target; start where it is there already.
+
+    height_at falls as the angle rises, and is None where nothing is seen. The
+    first try is the bound on the side of the target; each further one the
+    middle. Without a hit, or without anything to see, the answer is start.
+    """
+    height = height_at(start)
+    if height is None or target[0] <= height <= target[1]:
+        return start
+    angle = high if height > target[1] else low
+    for _ in range(rounds):
+        if height > target[1]:
+            low = angle if angle != high else low
+        else:
+            high = angle if angle != low else high
+        angle = (low + high) / 2
+        height = height_at(angle)
+        if height is None:
+            return start
+        if target[0] <= height <= target[1]:
+            return angle
+    return start
+
+
 def bisect(f, low: float, high: float, rounds: int = 40) -> float:
     """Where a rising function passes zero, between low and high."""
     for _ in range(rounds):
@@ -212,13 +237,14 @@ def segment_ends(path: DataFrame, lengths: tuple[float, ...], every: int = 10, b
     """(by, first, len, last): for each start and length the first frame that is further along than that.
 
     Distances never fall, so the frame is found by merging starts and frames by
-    distance in one sorted pass of each sequence.
+    distance in one sorted pass of each sequence, from its end: what is further
+    along is a running minimum.
     """
     start = path.where(F.col(frame) % every == 0).select(*by, F.col(frame).alias("first"), F.explode(F.array(*[F.lit(float(v)) for v in lengths])).alias("len"), F.col(dist).cast("double").alias("d0"))
     wants = start.select(*by, "first", "len", (F.col("d0") + F.col("len")).alias("d"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("f"))
     has = path.select(*by, F.lit(None).cast("int").alias("first"), F.lit(None).cast("double").alias("len"), F.col(dist).cast("double").alias("d"), F.lit(0).alias("kind"), F.col(frame).cast("int").alias("f"))
-    # strictly further: rows at the same distance stand before the wish, of what follows the smallest frame is the first
-    after = Window.partitionBy(*by).orderBy("d", "kind").rowsBetween(1, Window.unboundedFollowing)
+    # strictly further: rows at the same distance come after the wish
+    after = Window.partitionBy(*by).orderBy(F.desc("d"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     found = wants.unionByName(has).withColumn("last", F.min("f").over(after))
     return found.where("kind = 1 and last is not null").select(*by, "first", "len", "last")
 

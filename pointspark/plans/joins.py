@@ -13,7 +13,7 @@ from pointspark.plans.registry import query
 POINTS = X.POINTS
 
 
-@query(f"WITH {POINTS}, g AS (SELECT frame, point_idx FROM points WHERE z <= -1e0) SELECT p.frame, p.point_idx, x, y, z FROM points p LEFT JOIN g ON p.frame = g.frame AND p.point_idx = g.point_idx WHERE g.frame IS NULL")
+@query(f"WITH {POINTS.replace('points AS', 'points AS MATERIALIZED')}, g AS (SELECT CAST(frame AS BIGINT) * 100000000 + point_idx AS k FROM points WHERE z <= -1e0) SELECT frame, point_idx, x, y, z FROM points WHERE CAST(frame AS BIGINT) * 100000000 + point_idx NOT IN (SELECT k FROM g)")
 def ground_anti(spark, d):
     p = X.points(spark, d).select("frame", "point_idx", "x", "y", "z")
     return p.join(p.where("z <= -1").select("frame", "point_idx"), ["frame", "point_idx"], "left_anti")
@@ -58,10 +58,10 @@ PROMPTS = "prompts AS (SELECT 999 + row_number() OVER (ORDER BY p_size % 8, p_pa
 
 
 def prompts(spark, d):
-    from pyspark.sql import Window
+    from pointspark.operators.ordered import numbered
 
     p = X.table(spark, d, "part").select((F.col("p_size") % 8).alias("kf"), (F.col("p_partkey") % 2).alias("scale"), F.col("p_partkey").alias("j"))
-    return p.withColumn("obj_id", F.row_number().over(Window.orderBy("kf", "scale", "j")) + 999)
+    return numbered(p, ("kf", "scale", "j"), 1000, "obj_id")
 
 
 @query(f"WITH {PROMPTS} SELECT l_orderkey, l_linenumber, obj_id FROM lineitem JOIN prompts ON l_partkey = j AND l_partkey % 2 = scale AND l_quantity > 4e1")
@@ -128,13 +128,13 @@ def bleeding_cleanup(spark, d):
     return C.vote_sums(C.without_bleeding(v, where))
 
 
-@query(f"""WITH {POINTS}, s AS (SELECT frame AS kf, segment AS c, x, y, z FROM points WHERE sem = 2), p AS (SELECT frame AS kf, point_idx AS obj, x, y, z FROM points WHERE sem = 3 AND inst = 1),
+@query(f"""WITH {POINTS}, s AS (SELECT frame AS kf, segment AS c, x, y, z FROM points WHERE sem = 2), p AS (SELECT frame AS kf, point_idx AS obj, x, y, z FROM points WHERE sem = 3),
 m AS (SELECT p.kf, obj, c, min((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z)) AS d2 FROM p JOIN s ON p.kf = s.kf GROUP BY 1, 2, 3),
 r AS (SELECT kf, obj, c, d2, row_number() OVER (PARTITION BY kf, obj ORDER BY d2, c) AS rank FROM m WHERE d2 > 144e-2) SELECT kf, obj, c, rank FROM r WHERE rank <= 5""")
 def topk_negatives(spark, d):
     p = X.points(spark, d)
     s = p.where("sem = 2").select(F.col("frame").alias("kf"), F.col("segment").alias("c"), "x", "y", "z")
-    q = p.where("sem = 3 and inst = 1").select(F.col("frame").alias("kf"), F.col("point_idx").alias("obj"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    q = p.where("sem = 3").select(F.col("frame").alias("kf"), F.col("point_idx").alias("obj"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y")) + (F.col("pz") - F.col("z")) * (F.col("pz") - F.col("z"))
     far = q.join(s, "kf").groupBy("kf", "obj", "c").agg(F.min(d2).alias("d2")).where("d2 > 1.44")
     return J.top_within(far, ("kf", "obj"), ["d2", "c"], 5).select("kf", "obj", "c", "rank")
@@ -218,10 +218,10 @@ def camera_frame_cross(spark, d):
 # ---- set operations
 
 
-@query(f"WITH {POINTS} SELECT frame, segment FROM points WHERE sem < 5 EXCEPT SELECT frame, segment FROM points WHERE sem >= 5")
+@query(f"WITH {POINTS} SELECT frame, segment, sem, inst FROM points WHERE x < 0 EXCEPT SELECT frame, segment, sem, inst FROM points WHERE x >= 0")
 def set_difference(spark, d):
-    p = X.points(spark, d)
-    return p.where("sem < 5").select("frame", "segment").subtract(p.where("sem >= 5").select("frame", "segment"))
+    p = X.points(spark, d).select("x", "frame", "segment", "sem", "inst")
+    return p.where("x < 0").drop("x").subtract(p.where("x >= 0").drop("x"))
 
 
 @query(f"WITH {POINTS} SELECT frame, segment FROM points WHERE sem < 5 INTERSECT SELECT frame, segment FROM points WHERE sem >= 5")
@@ -247,10 +247,10 @@ def distinct_voxels(spark, d):
     return X.points(spark, d).select("frame", *P.voxel_keys(2.0)).distinct()
 
 
-@query(f"WITH {POINTS} SELECT frame, point_idx, segment FROM points WHERE sem = 1 AND segment NOT IN (SELECT segment FROM points WHERE sem = 2)")
+@query(f"WITH {POINTS.replace('points AS', 'points AS MATERIALIZED')}, o AS (SELECT DISTINCT frame * 100000 + segment AS k FROM points WHERE sem = 2) SELECT frame, point_idx, segment FROM points WHERE sem = 1 AND frame * 100000 + segment NOT IN (SELECT k FROM o)")
 def index_difference(spark, d):
-    p = X.points(spark, d)
-    return p.where("sem = 1").select("frame", "point_idx", "segment").join(p.where("sem = 2").select("segment"), "segment", "left_anti").select("frame", "point_idx", "segment")
+    p = X.points(spark, d).select("frame", "point_idx", "segment", "sem")
+    return p.where("sem = 1").join(p.where("sem = 2").select("frame", "segment").distinct(), ["frame", "segment"], "left_anti").select("frame", "point_idx", "segment")
 
 
 @query(f"WITH {POINTS}, s AS (SELECT frame, sem, count(*) AS cnt FROM points WHERE (x - 2e0) * (x - 2e0) + (y - 3e0) * (y - 3e0) < 1e2 AND sem % 2 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY cnt DESC, sem) AS k FROM s) SELECT frame, sem AS major, cnt FROM r WHERE k = 1")

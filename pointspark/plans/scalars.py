@@ -50,17 +50,20 @@ def pack_rgb(spark, d):
     return X.table(spark, d, "part").select("p_partkey", S.pack_rgb((F.col("p_size") % 11) / 10.0, (F.col("p_partkey") % 7) / 10.0, (F.col("p_partkey") % 5) / 10.0).alias("rgb"))
 
 
-def ramp_sql(stops, channel: int) -> str:
-    n = len(stops) - 1
-    parts = " ".join(f"WHEN t < {k + 1} THEN {float(stops[k][channel])!r} + (t - {k}) * ({float(stops[k + 1][channel] - stops[k][channel])!r})" for k in range(n))
-    return f"round(CASE {parts} ELSE {float(stops[n][channel])!r} END, 6)"
+RAMPS = """
+  r(name, stops, n, last) AS (VALUES
+    ('magma', [[0.001462e0, 0.000466e0, 0.013866e0], [0.316654e0, 0.07169e0, 0.48538e0], [0.716387e0, 0.214982e0, 0.47529e0], [0.9867e0, 0.535582e0, 0.38221e0], [0.987053e0, 0.991438e0, 0.749504e0]], 4, 3),
+    ('viridis', [[0.267004e0, 0.004874e0, 0.329415e0], [0.229739e0, 0.322361e0, 0.545706e0], [0.127568e0, 0.566949e0, 0.550556e0], [0.369214e0, 0.788888e0, 0.382914e0], [0.993248e0, 0.906157e0, 0.143936e0]], 4, 3),
+    ('jet', [[0e0, 0e0, 0.5e0], [0e0, 0e0, 0.945632798573975e0], [0e0, 0.3e0, 1e0], [0e0, 0.692156862745098e0, 1e0], [0.16129032258064513e0, 1e0, 0.8064516129032259e0], [0.4901960784313725e0, 1e0, 0.4775458570524984e0], [0.8064516129032256e0, 1e0, 0.16129032258064513e0], [1e0, 0.7705156136528688e0, 0e0], [1e0, 0.40740740740740755e0, 0e0], [0.9456327985739753e0, 0.029774872912127992e0, 0e0]], 9, 9))"""
 
 
-@query(f"WITH q AS (SELECT p_partkey, least(1e0, p_size / 5e1) AS u FROM part), j AS (SELECT p_partkey, u * 5 AS t FROM q), v AS (SELECT p_partkey, u * 4 AS t FROM q) SELECT j.p_partkey, {', '.join(f'jet{c} AS jet{c}' for c in range(3))}, {', '.join(f'viridis{c} AS viridis{c}' for c in range(3))} FROM (SELECT p_partkey, {', '.join(f'{ramp_sql(S.JET, c)} AS jet{c}' for c in range(3))} FROM j) j JOIN (SELECT p_partkey, {', '.join(f'{ramp_sql(S.VIRIDIS, c)} AS viridis{c}' for c in range(3))} FROM v) w ON j.p_partkey = w.p_partkey")
+@query(f"""WITH {RAMPS}, q AS (SELECT p_partkey, least(1e0, p_size / 5e1) AS u FROM part),
+k AS (SELECT p_partkey, name, stops, u * n AS t, CAST(least(floor(u * n), last) AS INTEGER) AS k FROM q CROSS JOIN r), e AS (SELECT p_partkey, name, t - k AS w, stops[greatest(k - 1, 0) + 1] AS a, stops[k + 1] AS b FROM k)
+SELECT p_partkey, name, round(a[1] + (b[1] - a[1]) * w, 6) AS red, round(a[2] + (b[2] - a[2]) * w, 6) AS green, round(a[3] + (b[3] - a[3]) * w, 6) AS blue FROM e""")
 def colour_ramps(spark, d):
     u = F.least(F.lit(1.0), F.col("p_size") / 50.0)
-    jet, viridis = S.piecewise(u, S.JET), S.piecewise(u, S.VIRIDIS)
-    return X.table(spark, d, "part").select("p_partkey", *[F.round(v, 6).alias(f"jet{i}") for i, v in enumerate(jet)], *[F.round(v, 6).alias(f"viridis{i}") for i, v in enumerate(viridis)])
+    each = [F.struct(F.lit(n).alias("name"), *[F.round(c, 6).alias(x) for c, x in zip(f(u), ("red", "green", "blue"), strict=True)]) for n, f in (("magma", S.magma), ("viridis", S.viridis), ("jet", S.jet))]
+    return X.table(spark, d, "part").select("p_partkey", F.explode(F.array(*each)).alias("c")).select("p_partkey", "c.*")
 
 
 @query("""WITH g AS (SELECT c_custkey, (c_custkey % 120) - 6e1 AS lat, (c_custkey % 360) - 18e1 AS lon FROM customer)
@@ -87,6 +90,37 @@ def matrix_functions(spark, d):
     return X.poses(spark, d).select("frame", F.round(i[0], 9).alias("i00"), (F.round(i[1], 9) + 0.0).alias("i01"), (F.round(i[3], 9) + 0.0).alias("i03"), F.round(G.rotation_angle(m), 9).alias("angle"), F.round(G.determinant(m), 9).alias("det"))
 
 
+@query(f"""WITH {X.POINTS}, l AS (SELECT frame, point_idx, 6e-1 * (y - 1e0) - 8e-1 * (x - 5e-1) AS cx, z - 25e-2 AS cy, 6e-1 * (x - 5e-1) + 8e-1 * (y - 1e0) AS cz FROM points)
+SELECT frame, point_idx, round(cx, 6) + 0e0 AS cx, round(cy, 6) + 0e0 AS cy, round(cz, 6) + 0e0 AS cz, round(cx / cz, 6) + 0e0 AS px, round(cy / cz, 6) + 0e0 AS py, round((cz - 5e-1) * 1e2 / 995e-1 / cz, 6) + 0e0 AS pz, round((cz - 5e-1) / 995e-1, 6) + 0e0 AS oz FROM l WHERE abs(cz) > 1e-6""")
+def camera_matrices(spark, d):
+    """Points seen from a camera at (0.5, 1, 0.25) that looks along (3, 4, 0), by perspective and straight."""
+    num = lambda *v: [F.lit(float(x)) for x in v]
+    named = lambda m, p: [v.alias(f"{p}{i}") for i, v in enumerate(m)]
+    # one row of matrices, step by step, so that no expression holds another many times
+    one = spark.range(1).select(*named(G.look_at(num(0.5, 1, 0.25), num(3.5, 5, 0.25), num(0, 0, 2)), "v"))
+    view = [F.col(f"v{i}") for i in range(12)]
+    both = G.multiply_whole(G.perspective(F.lit(90.0), F.lit(0.5), F.lit(100.0)), G.whole(view)), G.multiply_whole(G.orthographic(F.lit(0.5), F.lit(100.0)), G.whole(view))
+    one = one.select(*view, *named(both[0], "p"), *named(both[1], "o"))
+    seen = X.points(spark, d).crossJoin(F.broadcast(one))
+    c = G.apply(view, F.col("x"), F.col("y"), F.col("z"))
+    p, o = (G.project([F.col(f"{k}{i}") for i in range(16)], F.col("x"), F.col("y"), F.col("z")) for k in "po")
+    out = seen.select("frame", "point_idx", *[v.alias(n) for v, n in zip((*c, *p, o[2]), ("cx", "cy", "cz", "px", "py", "pz", "oz"), strict=True)])
+    return out.where(F.abs("cz") > 1e-6).select("frame", "point_idx", *[(F.round(n, 6) + 0.0).alias(n) for n in ("cx", "cy", "cz", "px", "py", "pz", "oz")])
+
+
+@query(f"""WITH {X.POINTS}, a AS (SELECT frame, point_idx, x, y, z, (point_idx % 30) / 1e1 AS t FROM points), d AS (SELECT *, (x + 2e0 * y + 2e0 * z) / 3e0 AS k FROM a)
+SELECT frame, point_idx, round(x * cos(t) + (2e0 * z - 2e0 * y) / 3e0 * sin(t) + k / 3e0 * (1e0 - cos(t)), 6) + 0e0 AS rx, round(y * cos(t) + (2e0 * x - z) / 3e0 * sin(t) + 2e0 * k / 3e0 * (1e0 - cos(t)), 6) + 0e0 AS ry,
+round(z * cos(t) + (y - 2e0 * x) / 3e0 * sin(t) + 2e0 * k / 3e0 * (1e0 - cos(t)), 6) + 0e0 AS rz, round(t / 3e0, 6) AS vx, round(2e0 * t / 3e0, 6) AS vy, round(x * cos(t) - y * sin(t), 6) + 0e0 AS ex FROM d""")
+def rotations(spark, d):
+    """Points turned about the axis (1, 2, 2), the turn as a vector again, and a turn about z by yaw alone."""
+    t = (F.col("point_idx") % 30) / 10.0
+    m = G.turn_about([F.lit(1.0), F.lit(2.0), F.lit(2.0)], t)
+    zero = F.lit(0.0)
+    turned, v = G.apply(m, F.col("x"), F.col("y"), F.col("z")), G.rotation_vector(m)
+    e = G.apply(G.yaw_pitch_roll(t, zero, zero, [zero] * 3), F.col("x"), F.col("y"), F.col("z"))
+    return X.points(spark, d).select("frame", "point_idx", *[(F.round(c, 6) + 0.0).alias(n) for c, n in zip((*turned, v[0], v[1], e[0]), ("rx", "ry", "rz", "vx", "vy", "ex"), strict=True)])
+
+
 # ---- tables of files
 
 
@@ -133,8 +167,7 @@ def most_recent_ten(spark, d):
 @query()
 def seeded_batches(spark, d):
     """Keyframes in an order that depends on a seed alone, in batches of ten."""
-    from pyspark.sql import Window
+    from pointspark.operators.ordered import numbered
 
-    f = X.points(spark, d).select("frame").distinct()
-    n = F.row_number().over(Window.orderBy(F.xxhash64("frame", F.lit(42)), "frame")) - 1
-    return f.withColumn("place", n).withColumn("batch", F.floor(F.col("place") / 10))
+    f = X.points(spark, d).select("frame").distinct().withColumn("h", F.xxhash64("frame", F.lit(42)))
+    return numbered(f, ("h", "frame"), 0, "place").select("frame", "place", F.floor(F.col("place") / 10).alias("batch"))

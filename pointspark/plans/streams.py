@@ -7,7 +7,6 @@ from pointspark.streaming import windows as S
 
 
 
-
 @query("SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     w = S.drained(S.tumbling(S.events(spark, d), "1 hour", "event_type"), "complete")
@@ -36,3 +35,13 @@ def stream_dedup(spark, d):
 def stream_keyframes(spark, d):
     e = S.events(spark, d).select(F.col("user_id").alias("seq"), "ts", "event_id", (F.col("value") / 10.0).alias("step"))
     return S.drained(S.stream_keyframes(e))
+
+
+@query()
+def stream_tracker(spark, d):
+    """The boxes of every frame through the stateful tracker; the tests hold it against the batch fold."""
+    from pointspark.plans.graphs import moving_boxes
+    from pointspark.session import materialize
+
+    boxes = materialize(moving_boxes(spark, d).withColumn("seq", F.col("seq").cast("bigint")), "boxes")
+    return S.drained(S.stream_tracks(spark.readStream.schema(boxes.schema).parquet(boxes.written_path)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,29 @@ from pointspark.schema import require
 from pointspark.sources import scans
 
 
+class TileCache:
+    """The tiles of a scene that were asked for last, kept in memory and on disk of the executors; the one asked for longest ago goes first."""
+
+    def __init__(self, scene: Scene, most: int = 4):
+        self.scene, self.most = scene, most
+        self.held: dict[tuple[float, float], Scene] = {}
+
+    def get(self, x: float, y: float) -> Scene:
+        found = self.held.pop((x, y), None)
+        if found is None:
+            tile = self.scene.tile(x, y)
+            found = dataclasses.replace(tile, points=tile.points.persist(StorageLevel.MEMORY_AND_DISK))
+        self.held[x, y] = found
+        while len(self.held) > self.most:
+            self.held.pop(next(iter(self.held))).points.unpersist()
+        return found
+
+    def clear(self) -> None:
+        for tile in self.held.values():
+            tile.points.unpersist()
+        self.held.clear()
+
+
 @dataclasses.dataclass(frozen=True)
 class Scene:
     """points: frame, point_idx, x, y, z, intensity, label. poses: frame, m00 .. m23. Every step gives a new scene."""
@@ -72,8 +96,9 @@ class Scene:
         return A.bounding_boxes(world, "label")
 
     def labelled_ratio(self) -> float:
+        """The share of points that have a class; 0 for no points."""
         r = A.labelled_ratio(self.points).first()
-        return r.ratio if r else 0.0
+        return r.ratio or 0.0
 
     def auto_instances(self, instanceable: list[int], segments: DataFrame, least: int = 30) -> Scene:
         """Instances from a table of segments (frame, point_idx, segment)."""
@@ -81,5 +106,5 @@ class Scene:
         return dataclasses.replace(self, points=fusion.auto_instances(p, instanceable, least).drop("sem", "segment"))
 
     def write(self, path: str) -> None:
-        """Label files of the scene's frames."""
+        """Label files of the scene's frames that are whole: a frame of which points were filtered away keeps the file it has."""
         scans.write_labels(self.points.withColumn("seq", F.lit(self.seq)), path)

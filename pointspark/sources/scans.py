@@ -55,12 +55,13 @@ def read_labels(spark: SparkSession, path: str, folder: str = "labels") -> DataF
     return _files(spark, path, folder, "label").mapInArrow(decode("labels"), LABEL_SCHEMA)
 
 
-def check_labels(labels: DataFrame, scans: DataFrame) -> DataFrame:
-    """Labels of the frames that may be written: as many as points, numbered from 0 without gaps."""
+def check_labels(labels: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Labels of the frames that may be written: numbered from 0 without gaps, and as many as the points of scans, where those are given."""
     n = labels.groupBy("seq", "frame").agg(F.count("*").alias("n"), F.countDistinct("point_idx").alias("k"), F.min("point_idx").alias("lo"), F.max("point_idx").alias("hi"))
-    size = scans.groupBy("seq", "frame").agg(F.count("*").alias("size"))
-    good = n.join(size, ["seq", "frame"]).where("n > 0 and n = size and k = n and lo = 0 and hi = n - 1").select("seq", "frame")
-    return labels.join(good, ["seq", "frame"], "left_semi")
+    good = n.where("n > 0 and k = n and lo = 0 and hi = n - 1")
+    if scans is not None:
+        good = good.join(scans.groupBy("seq", "frame").agg(F.count("*").alias("size")), ["seq", "frame"]).where("n = size")
+    return labels.join(good.select("seq", "frame"), ["seq", "frame"], "left_semi")
 
 
 class _Part(InputPartition):
@@ -98,13 +99,11 @@ class _ScanReader(DataSourceReader):
             raw = f.read()
         seq = os.path.basename(os.path.dirname(os.path.dirname(partition.path)))
         frame = int(os.path.splitext(os.path.basename(partition.path))[0])
-        v = np.frombuffer(raw, "<f4", len(raw) // 16 * 4).reshape(-1, 4)
-        for i, (x, y, z, w) in enumerate(v.tolist()):
-            yield seq, frame, i, x, y, z, w
+        yield from decode("points")([pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([frame], pa.int32()), pa.array([raw], pa.binary())], ["seq", "frame", "content"])])
 
 
 class LabelSink(DataSource):
-    """format("lidar_label"): writes label files; rows of a frame must be in one partition, in order of point_idx."""
+    """format("lidar_label"): writes label files under a path that all executors mount; rows of a frame must be in one partition, in order of point_idx."""
 
     @classmethod
     def name(cls) -> str:
@@ -142,9 +141,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LabelSink)
 
 
-def write_labels(labels: DataFrame, path: str) -> None:
-    """One file a frame, labels in order of their points."""
+def write_labels(labels: DataFrame, path: str, scans: DataFrame | None = None) -> None:
+    """One file a frame, labels in order of their points; frames that do not pass check_labels are left as they are."""
     register(labels.sparkSession)
+    labels = check_labels(labels, scans)
     n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = labels.select("seq", "frame", "point_idx", "label").repartition(n, "seq", "frame").sortWithinPartitions("seq", "frame", "point_idx")
     ordered.write.format("lidar_label").mode("append").option("path", path).save()

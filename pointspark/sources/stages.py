@@ -60,7 +60,8 @@ def write_errors(errors: DataFrame, path: str) -> None:
 
     fmt = lambda df: df.coalesce(1).write.mode("overwrite").option("sep", " ").csv
     errors.select("seq", "first", "r_err", "t_err", "len", "speed").write.mode("overwrite").option("sep", " ").csv(f"{path}/segments")
-    lengths = [float(r[0]) for r in errors.select("len").distinct().orderBy("len").limit(100).collect()]
-    fmt(errors_by(errors, lengths, "len", 1.0).orderBy("bucket"))(f"{path}/by_length")
+    # each segment's length is a bucket of its own, however many there are
+    by_length = errors.groupBy(F.col("len").cast("double").alias("bucket")).agg(F.count("*").alias("n"), F.avg("r_err").alias("r_err"), F.avg("t_err").alias("t_err"))
+    fmt(by_length.where("n >= 3").orderBy("bucket"))(f"{path}/by_length")
     fmt(errors_by(errors, [float(v) for v in range(2, 25, 2)], "speed", 2.0).orderBy("bucket"))(f"{path}/by_speed")
     fmt(errors.agg(F.avg("t_err").alias("t_err"), F.avg("r_err").alias("r_err")))(f"{path}/mean")

@@ -21,9 +21,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its files."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    # a table may be one file or a folder of files
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name[:6]}*")
+    # a table may be one file or a folder of files; a pattern that fits its name alone allows both
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{path[:-1]}[{path[-1]}]")
     # event time has to be an instant
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -209,8 +209,6 @@ def test_regions_and_dbscan(spark):
     for i in range(len(v)):
         reach = [(near[i, j], j) for j in np.flatnonzero(core & (near[i] <= 9))]
         assert got[i] == (find(parent, min(reach)[1]) if reach else None)
-    small = C.small_dbscan(v, 3.0, 5)
-    assert {i for i in range(len(v)) if small[i] < 0} == {k for k, c in got.items() if c is None}
 
 
 def test_suppression():
@@ -226,9 +224,96 @@ def test_growth():
     assert C.grow_layers(own, np.zeros((0, 3), int), 3.5) == []
 
 
+def brute_growth(labels, free, eps):
+    left, out = [tuple(v) for v in free.tolist()], []
+    close = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for label in sorted(labels, key=lambda k: (-len(labels[k]), k)):
+        for z in sorted({v[2] for v in labels[label].tolist()}):
+            layer, own = [v for v in left if v[2] == z], [v for v in labels[label].tolist() if v[2] == z]
+            near = {v: [w for w in layer if close(v, w) <= eps * eps] for v in layer}
+            group, number = dict.fromkeys(layer, -1), 0
+            for v in layer:
+                if group[v] < 0 and len(near[v]) >= 3:
+                    queue, group[v] = [v], number
+                    while queue:
+                        for w in near[queue.pop(0)]:
+                            if group[w] < 0:
+                                group[w] = number
+                                if len(near[w]) >= 3:
+                                    queue.append(w)
+                    number += 1
+            hit = {g for v, g in group.items() if any(close(v, o) < eps * eps for o in own)}
+            out += [(v, label) for v in layer if group[v] in hit]
+            left = [v for v in left if v[2] != z or group[v] not in hit]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_growth_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    free = np.unique(rng.integers(0, (40, 40, 3), (260, 3)), axis=0)
+    free = free[np.lexsort(free.T)]
+    labels = {k: np.unique(rng.integers(0, (40, 40, 3), (4 + k % 3, 3)), axis=0) for k in range(5)}
+    for eps in (1.0, 2.0, 3.5):
+        assert sorted(C.grow_layers(labels, free, eps)) == sorted(brute_growth(labels, free, eps))
+
+
 def test_grid_votes():
-    _, ids = C.vote_segments([(1, [(0, 0), (0, 1)]), (2, [(0, 1), (0, 0), (5, 5)]), (3, [(9, 9)])])
-    assert ids == {1: 1, 2: 1, 3: 2}
+    # two points of three meet 1, which is not over 0.7; the third segment meets 2 where 1 was before
+    grid, ids = C.vote_segments([(1, [(0, 0), (0, 1)]), (2, [(0, 1), (0, 0), (5, 5)]), (3, [(0, 0), (0, 0), (0, 0), (7, 7)]), (4, [(9, 9)])])
+    assert ids == {1: 1, 2: 2, 3: 2, 4: 3} and grid[0, 1] == 2 and grid[7, 7] == 2
+
+
+def test_empty_tables(spark):
+    from pointspark.operators import aggregates as A
+
+    p = spark.createDataFrame([], "frame int, point_idx int, x double, y double, z double, intensity double, label long")
+    assert C.ground_textures(p, 1.0, 3).count() == 0
+    assert A.quantile_edges(spark.createDataFrame([], "val double")).count() == 0
+    assert A.labelled_ratio(p).first().ratio is None
+    found, centres = C.fuzzy_cmeans(spark.createDataFrame([], "i long, v array<double>"), "v", "i", 3)
+    assert found.count() == 0 and centres.size == 0
+    found, _ = C.fuzzy_cmeans(spark.createDataFrame([(1, None), (2, [1.0, 2.0]), (3, [5.0, 6.0])], "i long, v array<double>"), "v", "i", 2)
+    assert found.count() == 3
+    v = spark.createDataFrame([], "frame int, vx long, vy long, vz long, region long, obj_id long")
+    assert C.grow(v).count() == 0 and C.nms(v).count() == 0 and C.vote_into_grid(v.selectExpr("frame", "obj_id", "int(vx) as row", "int(vy) as col"), "frame", "obj_id").count() == 0
+    assert C.pixel_components(v.selectExpr("frame", "0 as cam", "int(vx) as row", "int(vy) as col")).count() == 0
+
+
+def test_angle_search():
+    height = lambda a: 300 - 100 * a
+    assert ordered.narrowed(height, 0.0, 3.0, (90.0, 110.0), 1.95) == 1.95
+    assert 190 <= height(ordered.narrowed(height, 0.0, 3.0, (190.0, 210.0), 3.0)) <= 210
+    assert 90 <= height(ordered.narrowed(height, 0.0, 3.0, (90.0, 110.0), 0.1)) <= 110
+    assert ordered.narrowed(lambda a: None, 0.0, 3.0, (0.0, 1.0), 0.5) == 0.5
+    assert ordered.narrowed(height, 0.0, 3.0, (900.0, 910.0), 1.0) == 1.0
+
+
+def test_matrices(spark):
+    from pointspark.functions import geometry as G
+
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(20, 16))
+    m[0] = 0
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in m], [f"m{i}" for i in range(16)])
+    cols = [F.col(f"m{i}") for i in range(16)]
+    got = [list(r) for r in rows.select(*[c.alias(f"i{i}") for i, c in enumerate(G.inverse_whole(cols))]).collect()]
+    assert got[0] == [None] * 16
+    for a, b in zip(m[1:], got[1:], strict=True):
+        assert np.allclose(np.linalg.inv(a.reshape(4, 4)).ravel(), b)
+    two = [list(r) for r in rows.select(*G.solve_two(cols[:4], cols[4:6])).collect()]
+    assert two[0] == [None, None] and np.allclose(two[1:], [np.linalg.solve(a[:4].reshape(2, 2), a[4:6]) for a in m[1:]])
+    back = rows.select(*[c.alias(n) for c, n in zip(G.rotation_vector(G.from_rotation_vector(cols[:3])), "xyz", strict=True)]).collect()
+    for a, b in zip(m[1:, :3], back[1:], strict=True):
+        n = np.linalg.norm(a)
+        assert np.allclose(a if n <= np.pi else a / n * (n - 2 * np.pi), list(b))
+    half = spark.range(1).select(*G.rotation_vector(G.turn_about([F.lit(1.0), F.lit(-2.0), F.lit(2.0)], F.lit(np.pi)))).first()
+    assert np.allclose(np.abs(list(half)), np.pi * np.array([1, 2, 2]) / 3, atol=1e-6) and half[0] * half[1] < 0
+    for first in (True, False):
+        y, p, r = 0.3, -0.4, 0.5
+        z, yy, x = (np.array(a) for a in ([[np.cos(y), -np.sin(y), 0], [np.sin(y), np.cos(y), 0], [0, 0, 1]], [[np.cos(p), 0, np.sin(p)], [0, 1, 0], [-np.sin(p), 0, np.cos(p)]], [[1, 0, 0], [0, np.cos(r), -np.sin(r)], [0, np.sin(r), np.cos(r)]]))
+        got = spark.range(1).select(*G.yaw_pitch_roll(F.lit(y), F.lit(p), F.lit(r), [F.lit(1.0), F.lit(2.0), F.lit(3.0)], first)).first()
+        assert np.allclose(np.array(got).reshape(3, 4), np.column_stack([z @ yy @ x if first else z @ x @ yy, [1, 2, 3]]))
 
 
 def test_fusion_keeps_the_object_near_its_prompt(spark):

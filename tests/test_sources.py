@@ -43,6 +43,12 @@ def test_label_sink(spark, folder, tmp_path):
     bad = labels.where("frame <> 1 or point_idx <> 1")
     checked = scans.check_labels(bad, scans.read_scans(spark, f"{folder}/*"))
     assert {r.frame for r in checked.select("frame").distinct().collect()} == {0, 2}
+    # a frame with a gap, and one that is shorter than its scan, keep the files they have
+    written = lambda name: {r.frame for r in scans.read_labels(spark, str(tmp_path / f"{name}/*")).select("frame").distinct().collect()}
+    scans.write_labels(bad, str(tmp_path / "gap"))
+    assert written("gap") == {0, 2}
+    scans.write_labels(labels.where("frame <> 2 or point_idx = 0"), str(tmp_path / "short"), scans.read_scans(spark, f"{folder}/*"))
+    assert written("short") == {0, 1}
     scans.write_labels(labels, str(tmp_path / "out"))
     again = scans.read_labels(spark, str(tmp_path / "out/*"))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, labels.collect()))
@@ -91,6 +97,20 @@ def test_trajectory_writer(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/by_length", sep=" ").count() == 1 and spark.read.csv(f"{tmp_path}/segments", sep=" ").count() == 4
 
 
+def test_every_length_is_written(spark, tmp_path):
+    e = spark.createDataFrame([(0, 10 * i, 10.0 * k, 0.01, 0.1, 4.0) for i in range(3) for k in range(1, 251)], "seq int, first int, len double, r_err double, t_err double, speed double")
+    stages.write_errors(e, str(tmp_path))
+    assert spark.read.csv(f"{tmp_path}/by_length", sep=" ").count() == 250
+
+
+def test_stream_tracker_query(spark, data):
+    from pointspark.plans import catalog
+
+    q = catalog.queries()
+    key = lambda df: sorted((r.frame, r.label, r.new_label) for r in df.collect())
+    assert key(q["stream_tracker"](spark, data)) == key(q["track_labels"](spark, data))
+
+
 def test_zero_labels(spark):
     s = spark.createDataFrame([(0, 3), (1, 0)], "frame int, n_points int")
     assert tables.zero_labels(s).count() == 3
