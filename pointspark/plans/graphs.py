@@ -210,16 +210,20 @@ def pixel_components(spark, d):
     return C.pixel_components(X.masks(spark, d)).drop("component")
 
 
+def prompted(spark, d):
+    """Prompts and negatives of every frame's voxels of 2, at two scales."""
+    v = X.points(spark, d).select(F.col("frame").alias("kf"), *P.voxel_keys(2.0)).distinct()
+    return C.prompt_objects(v, ((1.0, 4), (1.5, 6)))
+
+
 @query()
 def prompt_objects(spark, d):
-    prompts, _ = C.prompt_objects(wide(spark, d).withColumnRenamed("frame", "kf"), ((1.5, 6), (2.0, 12)))
-    return prompts
+    return prompted(spark, d)[0]
 
 
 @query()
 def prompt_negatives(spark, d):
-    _, negatives = C.prompt_objects(wide(spark, d).withColumnRenamed("frame", "kf"), ((1.5, 6), (2.0, 12)))
-    return negatives
+    return prompted(spark, d)[1]
 
 
 @query()

@@ -55,3 +55,31 @@ def test_sets_are_those_of_fusion(spark):
     labels, sets = fusion.fuse_with_sets(cells, votes, prompts, radius=2.0)
     assert {(r.a, r.b, r.n) for r in A.pair_frames(sets).collect()} == {(1, 2, 1)}
     assert {r.label for r in labels.where("frame = 0").collect()} == {1, 3, 4}
+
+
+def block(x, y, more=()):
+    """The points of an object of three by three columns, and of the ground below."""
+    columns = [(x + i, y + j) for i in range(3) for j in range(3)] + list(more)
+    return [(a + 0.5, b + 0.5, z + 0.5) for a, b in columns for z in (1, 2, 3)], [(a + 0.5, b + 0.5, 0.0) for a, b in columns]
+
+
+def test_prelabel_gives_the_expected_labels(spark):
+    # a stands; b moves by one; c is in no mask; a column beside a is in no mask either
+    scenes, points, want = {0: 20, 1: 21}, [], {}
+    for frame, x in scenes.items():
+        objects = [block(5, 0, [(8, 3)]), block(x, 10), block(40, 40)]
+        own = [(p, label) for (body, _), label in zip(objects, (1025, 1026, 0), strict=True) for p in body] + [(p, 0) for _, ground in objects for p in ground]
+        for i, (p, label) in enumerate(own):
+            points.append((frame, i, *p, 0.5))
+            want[frame, i] = label
+    # camera 0 sees y and z, camera 1 x and z; each gave its objects numbers of its own
+    masks = [(f, 0, o, z, c + i) for f in scenes for o, c in ((1000, 0), (1001, 10)) for z in (1, 2, 3) for i in range(3)]
+    masks += [(f, 1, o, z, c + i) for f, x in scenes.items() for o, c in ((1010, 5), (1011, x)) for z in (1, 2, 3) for i in range(3)]
+    whole = lambda c: F.floor(c).cast("int")
+    views = [(F.lit(0), whole("z"), whole("y")), (F.lit(1), whole("z"), whole("x"))]
+    eye = [float(i // 4 == i % 4) for i in range(12)]
+    poses = spark.createDataFrame([(f, *eye) for f in scenes], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    p = spark.createDataFrame(points, "frame int, point_idx int, x double, y double, z double, intensity double")
+    m = spark.createDataFrame(masks, "frame int, cam int, obj_id long, row int, col int")
+    got = {(r.frame, r.point_idx): r.label for r in plan.prelabel(p, poses, m, voxel=1.0, pixel=views).collect()}
+    assert got == want
