@@ -69,12 +69,12 @@ def ground_split(points: DataFrame, model: Callable[[Iterator[pd.DataFrame]], It
 
 
 def masks_from(clicks: DataFrame, model: Callable | None, masks: DataFrame | None = None) -> DataFrame:
-    """Masks (frame, cam, obj_id, row, col) for clicks (U-B, U-C): a model's answer, or a table made elsewhere."""
+    """Masks (frame, cam, obj_id, row, col) for clicks (U-B, U-C): a model's answer for each frame and camera (each camera, where clicks have no frame), or a table made elsewhere."""
     if model is None:
         if masks is None:
             raise ValueError("there is no model; give a table of masks")
         return masks.join(clicks.select("obj_id").distinct(), "obj_id", "left_semi")
-    return clicks.groupBy("cam").applyInPandas(model, "frame int, cam int, obj_id bigint, row int, col int")
+    return clicks.groupBy(*[c for c in ("frame", "cam") if c in clicks.columns]).applyInPandas(model, "frame int, cam int, obj_id bigint, row int, col int")
 
 
 def spectrum(image: np.ndarray) -> np.ndarray:

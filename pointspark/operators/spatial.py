@@ -105,10 +105,10 @@ def zbuffer(pixels: DataFrame, *by: str, depth: str = "depth", order: str = "poi
     return pixels.groupBy(*by, "row", "col").agg(best).select(*by, "row", "col", f"b.{depth}", f"b.{order}", *[f"b.{k}" for k in keep])
 
 
-def occlusion(prompts: DataFrame, raster: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Projected prompts (cam, row, col, depth) that are not behind what the picture shows there."""
-    seen = raster.where("depth > 0").select("cam", "row", "col", F.col("depth").alias("seen_depth"))
-    return prompts.join(seen, ["cam", "row", "col"]).where(F.abs(F.col("depth") - F.col("seen_depth")) < tolerance)
+def occlusion(prompts: DataFrame, raster: DataFrame, tolerance: float = 2.0, by: tuple[str, ...] = ("cam",)) -> DataFrame:
+    """Projected prompts (by, row, col, depth) that are not behind what the picture shows there."""
+    seen = raster.where("depth > 0").select(*by, "row", "col", F.col("depth").alias("seen_depth"))
+    return prompts.join(seen, [*by, "row", "col"]).where(F.abs(F.col("depth") - F.col("seen_depth")) < tolerance)
 
 
 def camera_ring(spark: SparkSession, n: int, start: float, pitch: float, base: float) -> DataFrame:

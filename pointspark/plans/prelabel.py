@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import dataclasses
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.functions.udtf import ground_split
+from pointspark.functions import geometry as G
+from pointspark.functions.udtf import ground_split, masks_from
 from pointspark.operators import aggregates as A
 from pointspark.operators import cluster as C
 from pointspark.operators import fusion, ordered
@@ -38,6 +43,72 @@ def default_pixels() -> list[tuple]:
     return out
 
 
+@dataclasses.dataclass(frozen=True)
+class Views:
+    """Pictures from some places about a scan, all towards its middle; matrices go from the scan to each camera, row by row."""
+
+    matrices: tuple[tuple[float, ...], ...]
+    focal: float = 60.0
+    width: int = 96
+    height: int = 72
+
+    @classmethod
+    def ring(cls, spark: SparkSession, n: int = 4, pitch: float = math.pi / 4, base: float = 15.0) -> Views:
+        """n places on a circle; a row each comes to the driver, so that plans hold numbers."""
+        fixed = lambda *v: [F.lit(float(x)) for x in v]
+        found = P.camera_ring(spark, n, 0.0, pitch, base).select("cam", *G.look_at(P.xyz(), fixed(0, 0, 0), fixed(0, 0, 1))).orderBy("cam").collect()
+        return cls(tuple(tuple(r)[1:] for r in found))
+
+    def matrix(self, cam: int) -> list[Column]:
+        return [F.lit(v) for v in self.matrices[cam]]
+
+    def pixel(self, cam: int) -> tuple[Column, Column, Column, Column]:
+        """cam, row, col and depth of a point; row and col are null outside the picture."""
+        x, y, z = G.apply(self.matrix(cam), *P.xyz())
+        col, row = P.pinhole(x, y, z, self.focal, self.focal, self.width / 2, self.height / 2)
+        inside = (z > 0) & P.in_picture(col, row, self.width, self.height)
+        return F.lit(cam), F.when(inside, row), F.when(inside, col), z
+
+
+def keyframe_voxels(points: DataFrame, poses: DataFrame, width: int, voxel: float) -> DataFrame:
+    """(frame, vx, vy, vz, intensity) of the superframes of keyframes alone."""
+    keys = ordered.keyframes(poses.withColumn("seq", F.lit(0)), width).select(F.col("frame").alias("centre"))
+    pairs = P.relative_poses(P.frame_window(poses, width).join(keys, "centre", "left_semi"), poses)
+    moved = P.transform(points.join(pairs, "frame"), G.columns("m"))
+    return P.voxel_max(moved.drop("frame").withColumnRenamed("centre", "frame"), voxel, "frame")
+
+
+def clicks(cells: DataFrame, views: Views, voxel: float, scales: tuple[tuple[float, int], ...], tolerance: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(clicks, prompts): prompts of the keyframes' voxels, and where the pictures show them: frame, cam, obj_id, row, col, depth."""
+    prompts, _ = C.prompt_objects(cells.withColumnRenamed("frame", "kf"), scales, voxel)
+    prompts = materialize(prompts, "prompts")
+    half = {c: (F.col(f"v{c}") + 0.5) * F.lit(voxel) for c in P.XYZ}
+    placed = prompts.select(F.col("kf").alias("frame"), "obj_id", *[v.alias(c) for c, v in half.items()])
+    names = ("cam", "row", "col", "depth")
+    each = F.array(*[F.struct(*[v.cast("double" if n == "depth" else "int").alias(n) for v, n in zip(views.pixel(k), names, strict=True)]) for k in range(len(views.matrices))])
+    seen = placed.select("frame", "obj_id", F.explode(each).alias("p")).select("frame", "obj_id", "p.*").where("row is not null")
+    raster = None
+    for k in range(len(views.matrices)):
+        one = P.rasterise(cells, views.matrix(k), voxel, views.focal, views.focal, views.width / 2, views.height / 2, views.width, views.height)
+        one = one.select("frame", F.lit(k).alias("cam"), "row", "col", "depth")
+        raster = one if raster is None else raster.unionByName(one)
+    return P.occlusion(seen, raster, tolerance, ("frame", "cam")).select("frame", "cam", "obj_id", "row", "col", "depth"), prompts
+
+
+def prelabel_scans(points: DataFrame, poses: DataFrame, model: Callable, views: Views | None = None, width: int = 7, voxel: float = 0.2, scales: tuple[tuple[float, int], ...] = ((0.6, 30), (1.2, 50)), **how) -> DataFrame:
+    """(frame, point_idx, label) from scans and poses alone: ground apart, keyframes, prompts, pictures, clicks, masks from model, then prelabel.
+
+    model is an applyInPandas function from a picture's clicks to masks (frame,
+    cam, obj_id, row, col).
+    """
+    views = views or Views.ring(points.sparkSession)
+    rest = materialize(ground_split(points).where("part = 'other'").drop("part"), "rest")
+    cells = materialize(keyframe_voxels(rest, poses, width, voxel), "keyframe-voxels")
+    asked, _ = clicks(cells, views, voxel, scales)
+    masks = materialize(masks_from(asked, model), "masks")
+    return prelabel(points, poses, masks, width=width, voxel=voxel, pixel=[views.pixel(k)[:3] for k in range(len(views.matrices))], **how)
+
+
 def prelabel(points: DataFrame, poses: DataFrame, masks: DataFrame, width: int = 7, voxel: float = 0.2, pixel: tuple | list[tuple] | None = None, radius: float = 2.0, threshold: float = 0.7) -> DataFrame:
     """(frame, point_idx, label) for every point of a sequence.
 

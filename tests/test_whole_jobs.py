@@ -1,6 +1,7 @@
 """Queries and plans that once did a part of their job."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pointspark.operators import aggregates as A
@@ -83,3 +84,28 @@ def test_prelabel_gives_the_expected_labels(spark):
     m = spark.createDataFrame(masks, "frame int, cam int, obj_id long, row int, col int")
     got = {(r.frame, r.point_idx): r.label for r in plan.prelabel(p, poses, m, voxel=1.0, pixel=views).collect()}
     assert got == want
+
+
+def test_prelabel_from_scans(spark):
+    def squares(pdf):
+        out = [(r.frame, r.cam, r.obj_id, r.row + i, r.col + j) for r in pdf.itertuples() for i in range(-12, 13) for j in range(-12, 13)]
+        return pd.DataFrame(out, columns=["frame", "cam", "obj_id", "row", "col"])
+
+    points, mine = [], {}
+    for frame in range(2):
+        bodies = [(x, y, z) for x0 in (-6, 5) for x in range(x0, x0 + 3) for y in range(3) for z in (1, 2, 3)]
+        ground = sorted({(x, y, 0) for x, y, _ in bodies})
+        for i, (x, y, z) in enumerate(bodies + ground):
+            points.append((frame, i, x + 0.5, y + 0.5, z + 0.5 if z else 0.0, 0.5))
+            mine[frame, i] = "ground" if z == 0 else "left" if x < 0 else "right"
+    eye = [float(i // 4 == i % 4) for i in range(12)]
+    poses = spark.createDataFrame([(f, *eye) for f in range(2)], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    p = spark.createDataFrame(points, "frame int, point_idx int, x double, y double, z double, intensity double")
+    cells = plan.keyframe_voxels(p.where("z > 0"), poses, 7, 1.0)
+    assert {r.frame for r in cells.collect()} == {0} and cells.count() == 54  # one keyframe for both scans
+    asked, prompts = plan.clicks(cells, plan.Views.ring(spark), 1.0, ((1.5, 8),))
+    assert prompts.count() == 2 and {r.obj_id for r in asked.collect()} == {1000, 1001}
+    got = plan.prelabel_scans(p, poses, squares, voxel=1.0, scales=((1.5, 8),)).collect()
+    labels = {k: {r.label for r in got if mine[r.frame, r.point_idx] == k} for k in ("ground", "left", "right")}
+    assert labels["ground"] == {0} and len(got) == len(points)
+    assert len(labels["left"]) == len(labels["right"]) == 1 and {1025, 1026} == labels["left"] | labels["right"]
