@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from pointspark.llm import classifier, collocation, langid, linededup, mixing, packing, periodic, pii, quality, simhash, topk, urlfilter
+from pointspark.llm import classifier, collocation, langid, linededup, mixing, ngramjoin, packing, periodic, pii, quality, simhash, topk, urlfilter
 
-MODULES = (packing, mixing, classifier, simhash, urlfilter, topk, pii, langid, quality, linededup, periodic, collocation)
+MODULES = (packing, mixing, classifier, simhash, urlfilter, topk, pii, langid, quality, linededup, periodic, collocation, ngramjoin)
 
 
 def queries() -> dict:
