@@ -43,14 +43,20 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).replace(b".", b" . ").split()
 
 
-def packed(places: np.ndarray) -> bytes:
-    """Ascending places as steps, in two bytes each where all of them fit."""
+def packed(places: np.ndarray, start: np.ndarray) -> pa.ListArray:
+    """The lists of places that begin at start, each as its first place and the steps from there; small numbers take little room where they are written."""
     steps = np.diff(places, prepend=0)
-    return b"\x02" + steps.astype("<u2").tobytes() if not len(steps) or steps.max() < 1 << 16 else b"\x04" + steps.astype("<u4").tobytes()
+    steps[start] = places[start]
+    return pa.ListArray.from_arrays(pa.array(np.append(start, len(places)).astype(np.int32)), pa.array(steps.astype(np.int32)))
 
 
-def unpacked(data: memoryview) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data[1:], "<u2" if data[0] == 2 else "<u4"), dtype=np.int64)
+def unpacked(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in all lists, one list after the other, and the length of each list."""
+    size = np.diff(lists.offsets.to_numpy())
+    steps = lists.flatten().to_numpy().astype(np.int64)
+    sums = np.cumsum(steps)
+    first = np.cumsum(size) - size
+    return sums - np.repeat((sums - steps)[first], size), size
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -77,9 +83,9 @@ def postings(docs: DataFrame) -> DataFrame:
             block = (task << 32) + next(number)
             for i in range(1, len(words), 20_000):
                 to = min(i + 20_000, len(words))
-                lists = [packed(order[start[k] : start[k + 1]]) for k in range(i, to)]
+                lists = packed(order[start[i] : start[to]], start[i:to] - start[i])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * (to - i), pa.int64()), pa.array([lang] * (to - i), pa.string()), pa.array(names[i:to], pa.string()), pa.array(np.diff(start[i : to + 1])), pa.array(lists, pa.binary())],
+                    [pa.array([block] * (to - i), pa.int64()), pa.array([lang] * (to - i), pa.string()), pa.array(names[i:to], pa.string()), pa.array(np.diff(start[i : to + 1])), lists],
                     ["block", "lang", "word", "n", "places"],
                 )
 
@@ -97,12 +103,12 @@ def postings(docs: DataFrame) -> DataFrame:
         for lang in list(held):
             yield from closed(lang)
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(listed, "block long, lang string, word string, n long, places binary")
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(listed, "block long, lang string, word string, n long, places array<int>")
 
 
 def by_block(rows: DataFrame, each, schema: str) -> DataFrame:
     """each(columns) of the rows of every block, gathered in one task; columns: block, kind, id, places."""
-    names = schema.replace(",", "").split()[::2]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -129,7 +135,7 @@ def by_block(rows: DataFrame, each, schema: str) -> DataFrame:
     return dealt.mapInArrow(out, schema)
 
 
-def extended(lists: DataFrame, words: DataFrame, k: int, places: bool = True) -> DataFrame:
+def extended(lists: DataFrame, words: DataFrame, k: int, places_too: bool = True) -> DataFrame:
     """(block, id_, next, n, places): the phrases of lists (block, id, places), of k words each, with the word that follows.
 
     words has the postings (block, id, places) of the frequent words. A list of
@@ -139,21 +145,20 @@ def extended(lists: DataFrame, words: DataFrame, k: int, places: bool = True) ->
 
     def merged(t: pa.Table) -> Iterator[list[pa.Array]]:
         kind, ids = t.column("kind").to_numpy(), t.column("id").to_numpy()
-        lists = [unpacked(x.as_buffer()) for x in t.column("places").chunk(0)] if t.num_rows else []
         split = int(np.searchsorted(kind, 1))
         if split in (0, t.num_rows):
             return
+        places, size = unpacked(t.column("places").chunk(0))
+        row = np.repeat(np.arange(t.num_rows), size)
+        phrases = int(size[:split].sum())
         # the postings as a map from place to word, so that all merges of a block are one look-up
-        follow = np.full(max(int(p[-1]) for p in lists) + k + 1, -1, np.int64)
-        for i in range(split, t.num_rows):
-            follow[lists[i]] = i - split
-        row = np.repeat(np.arange(split), [len(p) for p in lists[:split]])
-        at = np.concatenate(lists[:split])
+        follow = np.full(int(places.max()) + k + 1, -1, np.int64)
+        follow[places[phrases:]] = row[phrases:] - split
+        row, at = row[:phrases], places[:phrases]
         after = follow[at + k]
         met = after >= 0
         row, at, after = row[met], at[met], after[met]
-        del lists
-        order = np.lexsort((after, row))  # stable: places stay ascending
+        order = np.argsort((row << 32) | after, kind="stable")  # places stay ascending
         row, at, after = row[order], at[order], after[order]
         start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(after, prepend=-1) != 0))
         size = np.diff(start, append=len(at))
@@ -161,11 +166,11 @@ def extended(lists: DataFrame, words: DataFrame, k: int, places: bool = True) ->
         first, second = ids[row[start]], ids[split + after[start]]
         for i in range(0, len(start), 50_000):
             s, z = start[i : i + 50_000], size[i : i + 50_000]
-            found = [packed(at[a : a + b]) for a, b in zip(s.tolist(), z.tolist(), strict=True)] if places else [None] * len(s)
-            yield [pa.array(np.full(len(s), block)), pa.array(first[i : i + 50_000]), pa.array(second[i : i + 50_000]), pa.array(z), pa.array(found, pa.binary())]
+            found = packed(at[s[0] : s[-1] + z[-1]], s - s[0]) if places_too else pa.nulls(len(s), pa.list_(pa.int32()))
+            yield [pa.array(np.full(len(s), block)), pa.array(first[i : i + 50_000]), pa.array(second[i : i + 50_000]), pa.array(z), found]
 
     both = lists.select("block", F.lit(0).alias("kind"), "id", "places").unionByName(words.select("block", F.lit(1).alias("kind"), "id", "places"))
-    return by_block(both, merged, "block long, id_ long, next long, n long, places binary")
+    return by_block(both, merged, "block long, id_ long, next long, n long, places array<int>")
 
 
 def frequent(rows: DataFrame, keys: list[str], min_count: int, label: str) -> DataFrame:
