@@ -193,23 +193,31 @@ def track_boxes(frames: Iterator[tuple[int, list[tuple]]], reach: float = 2.0, r
     """
     before: list[tuple[int, np.ndarray, np.ndarray]] = []
     for frame, boxes in frames:
-        merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for label, lo, hi in sorted(boxes, key=lambda b: b[0]):
-            new = label
-            if before:
-                d = [float(np.linalg.norm((lo + hi) / 2 - (a + b) / 2)) for _, a, b in before]
-                i = int(np.argmin(d))
-                one, two = hi - lo, before[i][2] - before[i][1]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    alike = np.minimum(one / two, two / one)
-                if d[i] < reach and (alike > ratio).all():
-                    new = before[i][0]
+        found, before = track_frame(boxes, before, reach, ratio)
+        for label, new in found:
             yield frame, label, new
-            if new in merged:
-                merged[new] = np.minimum(merged[new][0], lo), np.maximum(merged[new][1], hi)
-            else:
-                merged[new] = lo, hi
-        before = [(k, *v) for k, v in sorted(merged.items())]
+
+
+def track_frame(boxes: list[tuple], before: list[tuple], reach: float = 2.0, ratio: float = 0.8) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """(label, new label) of a frame's boxes (label, lo, hi), and its boxes by new label, from those of the frame before."""
+    found: list[tuple[int, int]] = []
+    merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for label, lo, hi in sorted(boxes, key=lambda b: b[0]):
+        new = label
+        if before:
+            d = [float(np.linalg.norm((lo + hi) / 2 - (a + b) / 2)) for _, a, b in before]
+            i = int(np.argmin(d))
+            one, two = hi - lo, before[i][2] - before[i][1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alike = np.minimum(one / two, two / one)
+            if d[i] < reach and (alike > ratio).all():
+                new = before[i][0]
+        found.append((label, new))
+        if new in merged:
+            merged[new] = np.minimum(merged[new][0], lo), np.maximum(merged[new][1], hi)
+        else:
+            merged[new] = lo, hi
+    return found, [(k, *v) for k, v in sorted(merged.items())]
 
 
 def track(boxes: DataFrame, by: str = "seq", least_label: int = 1000) -> DataFrame:

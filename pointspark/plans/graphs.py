@@ -108,7 +108,7 @@ def keyframes_by_turn(spark, d):
 
 
 def moving_boxes(spark, d):
-    p = X.points(spark, d).where("sem < 3").withColumn("label", 1000 + F.col("segment"))
+    p = X.points(spark, d).withColumn("label", 1000 + F.col("segment"))
     return A.bounding_boxes(p, "frame", "label").withColumn("seq", F.lit(0))
 
 

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from pointspark import fixtures as X
+from pointspark.plans.graphs import moving_boxes
 from pointspark.plans.registry import query
+from pointspark.session import materialize
 from pointspark.streaming import windows as S
 
 
@@ -31,17 +34,29 @@ def stream_dedup(spark, d):
     return S.drained(S.distinct_events(e.select("event_id", "ts"), "event_id")).select("event_id")
 
 
+def streamed(rows, label):
+    """A table as a stream of the files it was written to, with the row that ends it."""
+    table = materialize(S.ended(rows), label)
+    return rows.sparkSession.readStream.schema(table.schema).parquet(table.written_path)
+
+
 @query()
 def stream_keyframes(spark, d):
-    e = S.events(spark, d).select(F.col("user_id").alias("seq"), "ts", "event_id", (F.col("value") / 10.0).alias("step"))
-    return S.drained(S.stream_keyframes(e))
+    """Segment starts by event time; the tests hold them against a fold in order."""
+    e = X.table(spark, d, "events").select(F.col("user_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") / 10.0).alias("step"))
+    return S.drained(S.stream_keyframes(streamed(e, "events")))
 
 
 @query()
 def stream_tracker(spark, d):
     """The boxes of every frame through the stateful tracker; the tests hold it against the batch fold."""
-    from pointspark.plans.graphs import moving_boxes
-    from pointspark.session import materialize
+    boxes = moving_boxes(spark, d).withColumn("seq", F.col("seq").cast("bigint")).withColumn("ts", F.timestamp_seconds("frame"))
+    return S.drained(S.stream_tracks(streamed(boxes, "boxes")))
 
-    boxes = materialize(moving_boxes(spark, d).withColumn("seq", F.col("seq").cast("bigint")), "boxes")
-    return S.drained(S.stream_tracks(spark.readStream.schema(boxes.schema).parquet(boxes.written_path)))
+
+@query()
+def stream_superframes(spark, d):
+    """The superframe of every frame, from points as a stream; the tests hold it against the batch plan."""
+    p = X.points(spark, d).select(F.timestamp_seconds("frame").alias("ts"), "frame", "x", "y", "z", "intensity")
+    poses = X.poses(spark, d).withColumn("ts", F.timestamp_seconds("frame"))
+    return S.drained(S.stream_superframes(streamed(p, "points"), poses, 3, 2.0))

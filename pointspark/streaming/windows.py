@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from pointspark.operators.ordered import track_boxes
+from pointspark.operators import spatial
+from pointspark.operators.ordered import track_frame
 from pointspark.session import shared_dir
 
 
@@ -48,14 +50,15 @@ def distinct_events(stream: DataFrame, key: str, late: str = "1 hour", time: str
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
     """What a finite stream gives, run to its end in micro-batches and written to the shared folder.
 
     Batches are written with their number, so one that is run again after a
-    failure replaces what it wrote; the progress is kept beside them.
+    failure replaces what it wrote; the progress is kept beside them. Under the
+    root of an earlier run the stream goes on from where that one ended.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
@@ -77,72 +80,149 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return batches.drop("batch")
 
 
-class Keyframes(StatefulProcessor):
-    """Segment starts of a stream of shifts along a path: a new one after width rows or so long a way."""
+def ended(rows: DataFrame, *, after: str = "100 days", key: str = "seq") -> DataFrame:
+    """A finite table with one more row, that has no values and stands so long after the last: it moves a stream's time past all the others."""
+    last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr(f"interval {after}")).alias("ts"))
+    empty = {c: F.lit(None).cast(t) for c, t in rows.dtypes if c not in ("ts", key)}
+    return rows.unionByName(last.withColumns(empty | ({key: F.lit(0).cast(dict(rows.dtypes)[key])} if key in rows.columns else {})))
 
-    WIDTH, SHIFT = 7, 10.0
+
+# ---- folds over event time
+
+
+class InOrder(StatefulProcessor):
+    """A fold over the rows of a key in the order of their time, however they are dealt to micro-batches.
+
+    Rows wait in the state until the watermark has passed their time; a timer
+    then hands them on, all rows of a time at once, times ascending. A row that
+    is not newer than the watermark is late and left out, as in any operator on
+    event time; so is one without a time. A row without a value only moves the
+    time on: one such row, far enough ahead, ends a finite stream.
+    """
+
+    #: Columns of a waiting row besides its time, of which the first is null in rows that only move the time on.
+    KEPT: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("segment", "count int, way double")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "rows string")
+        self.state = handle.getValueState("state", "closed long, value string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        closed = self.state.get()[0] if self.state.exists() else None
+        new: dict[int, list] = {}
+        for pdf in rows:
+            pdf = pdf[pdf["ts"].notna() & pdf[self.KEPT[0]].notna()]
+            at = ((pdf["ts"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)).tolist()
+            for us, *values in zip(at, *[pdf[c].tolist() for c in self.KEPT], strict=True):
+                new.setdefault(us // 1000, []).append([us, *values])
+        for ms, found in new.items():
+            if closed is not None and ms <= closed:
+                continue
+            if self.waiting.containsKey((ms,)):
+                found = json.loads(self.waiting.getValue((ms,))[0]) + found
+            else:
+                self.handle.registerTimer(ms)
+            self.waiting.updateValue((ms,), (json.dumps(found),))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        value = json.loads(self.state.get()[1]) if self.state.exists() else None
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] <= until)
+        rows = sorted((r for ms in due for r in json.loads(self.waiting.getValue((ms,))[0])), key=lambda r: r[: self.ORDER])
+        value, out = self.fold(value, rows)
+        for ms in due:
+            self.waiting.removeKey((ms,))
+        self.state.update((until, json.dumps(value)))
+        if len(out):
+            out.insert(0, "seq", key[0])
+            yield out
+
+    #: How many of the time and the kept columns put rows in order.
+    ORDER = 2
+
+    def fold(self, value: Any, rows: list[list]) -> tuple[Any, pd.DataFrame]:
+        """The new value and what comes out, from the value so far (None at first) and rows [time, kept columns]."""
+        raise NotImplementedError
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any = None) -> Iterator[pd.DataFrame]:
-        found = self.state.get() if self.state.exists() else None
-        count, way = found if found else (0, 0.0)
-        all_ = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+    def close(self) -> None:
+        pass
+
+
+class Keyframes(InOrder):
+    """Segment starts of a stream of shifts along a path: a new one after width rows or so long a way."""
+
+    WIDTH, SHIFT = 7, 10.0
+    KEPT = ("event_id", "step")
+
+    def fold(self, value: Any, rows: list[list]) -> tuple[Any, pd.DataFrame]:
+        count, way = value or (0, 0.0)
         out = []
-        for r in all_.itertuples():
-            way += float(r.step)
+        for _, event, step in rows:
+            way += float(step)
             if count == 0 or count > self.WIDTH - 1 or way >= self.SHIFT:
-                out.append(r.event_id)
+                out.append(event)
                 count, way = 1, 0.0
             else:
                 count += 1
-        self.state.update((count, way))
-        yield pd.DataFrame({"seq": [key[0]] * len(out), "event_id": out})
+        return (count, way), pd.DataFrame({"event_id": out})
 
-    def close(self) -> None:
-        pass
 
+class Tracker(InOrder):
+    """The recurrent tracker with the boxes of the frame closed last as its state."""
 
-def stream_keyframes(stream: DataFrame) -> DataFrame:
-    """(seq, event_id) of the segment starts of each sequence (seq, ts, event_id, step)."""
-    return stream.groupBy("seq").transformWithStateInPandas(Keyframes(), "seq long, event_id long", "Append", "None")
+    KEPT = ("frame", "label", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
+    ORDER = 3
 
+    def fold(self, value: Any, rows: list[list]) -> tuple[Any, pd.DataFrame]:
+        before = [(k, np.array(lo), np.array(hi)) for k, lo, hi in value or ()]
+        out: list[tuple] = []
+        for frame, own in groupby(rows, key=lambda r: r[1]):
+            boxes = [(label, np.array(v[:3], float), np.array(v[3:], float)) for _, _, label, *v in own]
+            found, before = track_frame(boxes, before)
+            out += [(frame, label, new) for label, new in found]
+        return [[k, a.tolist(), b.tolist()] for k, a, b in before], pd.DataFrame(out, columns=["frame", "label", "new_label"])
 
-class Tracker(StatefulProcessor):
-    """The recurrent tracker with the boxes of the last frame as its state."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("boxes", "frame int, boxes string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any = None) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("frame")
-        frames = []
-        if self.state.exists():
-            frame, boxes = self.state.get()
-            frames.append((int(frame), [(k, np.array(lo), np.array(hi)) for k, lo, hi in json.loads(boxes)]))
-        old = len(frames)
-        lo, hi = ["min_x", "min_y", "min_z"], ["max_x", "max_y", "max_z"]
-        for f, g in pdf.groupby("frame"):
-            frames.append((int(f), [(int(k), a, b) for k, a, b in zip(g["label"], g[lo].to_numpy(float), g[hi].to_numpy(float), strict=True)]))
-        out = [r for r in track_boxes(iter(frames)) if not old or r[0] != frames[0][0]]
-        last = frames[-1][0]
-        new = {label: n for f, label, n in out if f == last}
-        merged: dict[int, list] = {}
-        for label, a, b in frames[-1][1]:
-            k = new.get(label, label)
-            was = merged.get(k)
-            merged[k] = [a, b] if was is None else [np.minimum(was[0], a), np.maximum(was[1], b)]
-        self.state.update((last, json.dumps([[k, a.tolist(), b.tolist()] for k, (a, b) in merged.items()])))
-        yield pd.DataFrame({"seq": [key[0]] * len(out), "frame": [r[0] for r in out], "label": [r[1] for r in out], "new_label": [r[2] for r in out]})
+def stream_keyframes(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(seq, event_id) of the segment starts of each sequence (seq, ts, event_id, step), by time and then event_id; see InOrder on what is late."""
+    return stream.withWatermark("ts", late).groupBy("seq").transformWithStateInPandas(Keyframes(), "seq long, event_id long", "Append", "EventTime")
+
+
+def stream_tracks(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(seq, frame, label, new_label) for a stream of boxes (seq, ts, frame, label, min_x .. max_z).
+
+    ts is the time of the frame. A frame is tracked when the watermark has
+    passed its time, so its boxes may come in any number of batches and frames
+    in any order within late; see InOrder on what comes later.
+    """
+    return stream.withWatermark("ts", late).groupBy("seq").transformWithStateInPandas(Tracker(), "seq long, frame int, label long, new_label long", "Append", "EventTime")
 
-    def close(self) -> None:
-        pass
 
+def stream_superframes(stream: DataFrame, poses: DataFrame, width: int, voxel: float, late: str = "1 hour", frame_time: str = "1 second") -> DataFrame:
+    """(centre, closes, vx, vy, vz, intensity) for a stream of points (ts, frame, x, y, z, intensity) and a table of poses (frame, ts, m00 .. m23).
 
-def stream_tracks(stream: DataFrame) -> DataFrame:
-    """(seq, frame, label, new_label) for a stream of boxes (seq, frame, label, min_x .. max_z)."""
-    return stream.groupBy("seq").transformWithStateInPandas(Tracker(), "seq long, frame int, label long, new_label long", "Append", "None")
+    A point goes to every centre whose window holds its frame. A centre's voxels
+    are held until the watermark passes the time of the last frame of its
+    window, and come out once, with their maximum. A point that comes after that
+    is left out of that centre alone. A point without a frame only moves the
+    time on. frame_time is the longest time between two frames that follow each
+    other: a frame opens centres whose windows end 2 (width // 2) frames later.
+    """
+    h = width // 2
+    last = poses.agg(F.max("frame").alias("last"))
+    ends = poses.select(F.col("frame").alias("centre")).crossJoin(F.broadcast(last)).select("centre", F.least(F.col("centre") + h, "last").alias("end"))  # last is one row
+    closes = ends.join(poses.select(F.col("frame").alias("end"), F.col("ts").alias("closes")), "end").select("centre", "closes")
+    pairs = spatial.relative_poses(spatial.frame_window(poses, width), poses).join(closes, "centre")
+    moved = spatial.transform(stream.join(pairs, "frame", "left"), [F.col(n) for n in spatial.G.names("m")])
+    keyed = moved.where("frame is null or centre is not null").select("centre", F.coalesce("closes", "ts").alias("closes"), *spatial.voxel_keys(voxel), "intensity")
+    # centres that are open end later than the frames that came so far
+    wait = F.expr(f"interval {late} + {2 * h} * interval {frame_time}")
+    seconds = stream.sparkSession.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + wait) / 1000).cast("long")).first()[0]
+    groups = keyed.withWatermark("closes", f"{seconds} milliseconds").groupBy("centre", "closes", "vx", "vy", "vz")
+    # told from what is aggregated: a filter on a key would take the rows that only move the time on before they do
+    return groups.agg(F.max("intensity").alias("intensity"), F.max(F.col("centre").isNotNull()).alias("placed")).where("placed").drop("placed")
 
 
 class Progress:

@@ -7,7 +7,6 @@ import pytest
 
 from pointspark.functions import geometry as G
 from pointspark.functions import udtf
-from pointspark.operators.ordered import track_boxes
 from pointspark.sources import scans, stages, tables
 
 
@@ -134,20 +133,6 @@ def test_hooks(spark):
         udtf.masks_from(px, None)
 
 
-def test_stream_tracker_equals_the_batch_fold(spark, tmp_path):
-    from pointspark.streaming import windows
-
-    rng = np.random.default_rng(3)
-    rows = [(0, f, 1000 + k, *map(float, np.array([k * 3 + f * 0.2, 0, 0]) + rng.normal(0, 0.05, 3)), *map(float, np.array([k * 3 + f * 0.2 + 1, 1, 1]))) for f in range(6) for k in range(3)]
-    schema = "seq long, frame int, label long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
-    for half in (0, 1):
-        spark.createDataFrame([r for r in rows if r[1] // 3 == half], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = sorted(map(tuple, windows.drained(windows.stream_tracks(stream)).select("frame", "label", "new_label").collect()))
-    frames = ((f, [(r[2], np.array(r[3:6]), np.array(r[6:9])) for r in rows if r[1] == f]) for f in range(6))
-    assert got == sorted(track_boxes(frames))
-
-
 def test_scene(spark, folder, tmp_path):
     from pointspark.operators.selection import Relabel
     from pointspark.scene import Scene
