@@ -70,6 +70,15 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select((F.col("l_orderkey") % FRAMES).cast("int").alias("frame"), (F.col("l_linenumber") % 4).cast("int").alias("cam"), (1000 + F.col("l_suppkey") % 30).alias("obj_id"), (F.col("l_partkey") % 48).cast("int").alias("row"), (F.col("l_quantity").cast("bigint") % 64).cast("int").alias("col")).distinct()
 
 
+def mask_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, obj_id, x, y, z: the points of the order lines that masks stand for."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_orderkey") % FRAMES).cast("int").alias("frame"), (1000 + F.col("l_suppkey") % 30).alias("obj_id"),
+        (F.col("l_quantity") - 25.5).alias("x"), (F.col("l_extendedprice") / 2000.0 - 26.0).alias("y"), (F.col("l_linenumber") * F.lit(0.5) - 2.0).alias("z"),
+    )
+
+
 MASKS = """masks AS (SELECT DISTINCT CAST(l_orderkey % 64 AS INTEGER) AS frame, CAST(l_linenumber % 4 AS INTEGER) AS cam, 1000 + l_suppkey % 30 AS obj_id,
  CAST(l_partkey % 48 AS INTEGER) AS row, CAST(CAST(trunc(l_quantity) AS BIGINT) % 64 AS INTEGER) AS col FROM lineitem)"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,53 @@ def masks_from(clicks: DataFrame, model: Callable | None, masks: DataFrame | Non
     return clicks.groupBy(*[c for c in ("frame", "cam") if c in clicks.columns]).applyInPandas(model, "frame int, cam int, obj_id bigint, row int, col int")
 
 
+class VideoSession(Protocol):
+    """What a model for pictures in sequence has to offer (U-B); made by start(cam, frames) for some frames of one camera."""
+
+    def click(self, index: int, obj_id: int, points: np.ndarray, labels: np.ndarray) -> None:
+        """Points (col, row) in the picture of frames[index] that belong to the object (label 1) or do not (0)."""
+
+    def propagate(self, reverse: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(index, mask of height by width) of pictures, from the first on, or from the last back."""
+
+
+def video_masks(clicks: DataFrame, negatives: DataFrame, start: Callable[[int, list[int]], VideoSession], batch: int = 200) -> DataFrame:
+    """Masks (frame, cam, obj_id, row, col) of objects followed through pictures (U-B, J08, J14).
+
+    clicks: frame, cam, obj_id, row, col. negatives: obj_id, rank, neg_obj_id;
+    the clicks of these objects in a frame where the object itself has one say
+    what does not belong to it, by rank. From an object's first to its last
+    frame in a camera its pictures are taken batch by batch, each a task of its
+    own: all clicks are given, then masks go forward and back, those from the way
+    back staying. What is kept are the masks of frames in which the object has
+    a click.
+    """
+    own = clicks.select("cam", "obj_id", "frame", "row", "col")
+    span = own.groupBy("cam", "obj_id").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    placed = own.join(span, ["cam", "obj_id"]).withColumn("batch", F.floor((F.col("frame") - F.col("first")) / batch).cast("int")).withColumn("rank", F.lit(0))
+    other = own.select("cam", "frame", F.col("obj_id").alias("neg_obj_id"), "row", "col")
+    asked = placed.drop("row", "col", "rank").distinct().join(negatives.select("obj_id", "neg_obj_id", F.col("rank").cast("int").alias("rank")), "obj_id")
+    rows = placed.unionByName(asked.join(other, ["cam", "frame", "neg_obj_id"]).drop("neg_obj_id"))
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        begin = int(one["first"]) + batch * int(one["batch"])
+        session = start(int(one.cam), list(range(begin, min(begin + batch - 1, int(one["last"])) + 1)))
+        pdf = pdf.sort_values(["frame", "rank", "row", "col"])
+        for frame, g in pdf.groupby("frame"):
+            session.click(int(frame) - begin, int(one.obj_id), g[["col", "row"]].to_numpy(np.int64), (g["rank"] == 0).to_numpy(np.int32))
+        masks = dict(session.propagate())
+        masks.update(session.propagate(reverse=True))
+        out = []
+        for frame in sorted(pdf["frame"].unique().tolist()):
+            if (mask := masks.get(frame - begin)) is not None and mask.any():
+                row, col = np.nonzero(mask)
+                out.append(pd.DataFrame({"frame": frame, "cam": one.cam, "obj_id": one.obj_id, "row": row, "col": col}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("frame", "cam", "obj_id", "row", "col")}, dtype="int64")
+
+    return rows.groupBy("cam", "obj_id", "batch").applyInPandas(follow, "frame int, cam int, obj_id bigint, row int, col int")
+
+
 def spectrum(image: np.ndarray) -> np.ndarray:
     """Logarithms of the magnitudes of a picture's two-dimensional spectrum, zero frequency in the middle."""
     return np.log(np.abs(np.fft.fftshift(np.fft.fft2(image))) + 1e-8)

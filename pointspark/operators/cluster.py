@@ -49,12 +49,13 @@ def representatives(members: DataFrame, by: tuple[str, ...], key: str, axes: tup
     return members.withColumn("d2", d2).groupBy(*by).agg(F.min_by(F.struct(key, *axes), F.struct("d2", key)).alias("r")).select(*by, f"r.{key}", *[f"r.{a}" for a in axes])
 
 
-def nearest_cluster(members: DataFrame, prompts: DataFrame, obj: str = "obj_id", cluster: str = "region", axes: tuple[str, ...] = VOXEL) -> DataFrame:
-    """(obj, cluster): of the clusters an object has, the one nearest to its prompt; ties to the smaller."""
-    p = prompts.select(obj, *[F.col(a).alias(f"p_{a}") for a in axes])
+def nearest_cluster(members: DataFrame, prompts: DataFrame, obj: str | tuple[str, ...] = "obj_id", cluster: str = "region", axes: tuple[str, ...] = VOXEL) -> DataFrame:
+    """(obj, cluster): of the clusters an object has, the one nearest to its prompt; ties to the smaller (J13). obj may be several columns."""
+    key = [obj] if isinstance(obj, str) else list(obj)
+    p = prompts.select(*key, *[F.col(a).alias(f"p_{a}") for a in axes])
     d2 = G.squared_distance([F.col(a) for a in axes], [F.col(f"p_{a}") for a in axes])
-    closest = members.join(p, obj).groupBy(obj, cluster).agg(F.min(d2).alias("d2"))
-    return closest.groupBy(obj).agg(F.min_by(cluster, F.struct("d2", cluster)).alias(cluster))
+    closest = members.join(p, key).groupBy(*key, cluster).agg(F.min(d2).alias("d2"))
+    return closest.groupBy(*key).agg(F.min_by(cluster, F.struct("d2", cluster)).alias(cluster))
 
 
 def without_bleeding(votes: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def unified_ids(pairs: DataFrame) -> DataFrame:
 
 
 def pixel_components(pixels: DataFrame, by: tuple[str, ...] = ("frame", "cam")) -> DataFrame:
-    """(by, row, col, component, first_row, first_col, size): 8-connected parts of masks, with a number, their first pixel by row and their size."""
-    p = pixels.select(*by, "row", "col").distinct().withColumn("key", F.xxhash64(*by, "row", "col"))
+    """(by, row, col, component, first_row, first_col, size): 8-connected parts of masks, with the pixel that names them, their first pixel by row and their size."""
+    p = pixels.select(*by, "row", "col").distinct().withColumn("key", F.struct(*by, "row", "col"))
     # each edge from one end only
     ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
     sent = p.withColumn("s", F.explode(ahead)).select(*by, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), F.col("key").alias("from"))
@@ -110,7 +111,7 @@ def prompt_objects(voxels: DataFrame, scales: tuple[tuple[float, int], ...] = ((
     """
     from pointspark.operators.ordered import numbered
 
-    keyed = voxels.select(F.col("kf"), *VOXEL).distinct().withColumn("key", F.xxhash64("kf", *VOXEL))
+    keyed = voxels.select(F.col("kf"), *VOXEL).distinct().withColumn("key", F.struct("kf", *VOXEL))
     found = None
     for i, (eps, least) in enumerate(scales):
         c = dbscan(keyed, eps / size, least, "key", by=("kf",)).where("cluster is not null")

@@ -36,27 +36,34 @@ def odometry_errors(truth: DataFrame, result: DataFrame, lengths: tuple[float, .
     return ordered.pose_errors(ordered.segment_ends(path, lengths), truth, result)
 
 
-def fuse_labels(voxels: DataFrame, votes: DataFrame, prompts: DataFrame, radius: float = 4.0, threshold: float = 0.5, z_grow: float = 3.5) -> DataFrame:
+def fuse_labels(voxels: DataFrame, votes: DataFrame, prompts: DataFrame | None, radius: float = 4.0, threshold: float = 0.5, z_grow: float = 3.5) -> DataFrame:
     """(frame, vx, vy, vz, label) for the voxels of scans, from the votes of masks.
 
     voxels: frame, vx, vy, vz. votes: frame, vx, vy, vz, obj_id, cam, sf, cnt.
-    prompts: obj_id and a voxel. Voxels are joined to regions; objects in several
-    regions of a frame keep the one nearest to their prompt; objects that overlap from
-    different cameras become one in that frame; then suppression, growth and painting. 0
+    prompts: frame, obj_id and the voxel at which the prompt stands in that
+    frame (spatial.prompt_voxels). Voxels are joined to regions; an object in
+    several regions of a frame keeps the one nearest to its prompt there, and
+    all of them where it has no prompt; objects that overlap from different
+    cameras become one in that frame; then suppression, growth and painting. 0
     stands for no object.
     """
     return fuse_with_sets(voxels, votes, prompts, radius, threshold, z_grow)[0]
 
 
-def fuse_with_sets(voxels: DataFrame, votes: DataFrame, prompts: DataFrame, radius: float = 4.0, threshold: float = 0.5, z_grow: float = 3.5) -> tuple[DataFrame, DataFrame]:
+def fuse_with_sets(voxels: DataFrame, votes: DataFrame, prompts: DataFrame | None, radius: float = 4.0, threshold: float = 0.5, z_grow: float = 3.5) -> tuple[DataFrame, DataFrame]:
     """fuse_labels, and (frame, root, member): the objects that became one in a frame, by equivalence or suppression."""
-    keyed = voxels.select("frame", *cluster.VOXEL).distinct().withColumn("key", F.xxhash64("frame", *cluster.VOXEL))
-    region = cluster.regions(keyed, radius, "key", ("frame",))
-    cells = materialize(keyed.join(region, "key").drop("key"), "regions")
-    # a region is of one frame, so an object has its nearest one in each
-    own = votes.join(cells, ["frame", *cluster.VOXEL]).withColumn("own", F.struct("frame", "obj_id"))
-    near = cluster.nearest_cluster(own, own.select("own", "obj_id").distinct().join(prompts, "obj_id"), "own")
-    placed = materialize(own.join(near, ["own", "region"], "left_semi").drop("own"), "votes")
+    keyed = voxels.select("frame", *cluster.VOXEL).distinct().withColumn("key", F.struct("frame", *cluster.VOXEL))
+    # regions are named by their first voxel, and numbered in that order
+    named = materialize(cluster.regions(keyed, radius, "key", ("frame",)).withColumnRenamed("region", "first"), "region-names")
+    numbers = ordered.numbered(named.select("first").distinct(), ("first",), 0, "region")
+    cells = materialize(keyed.join(named, "key").join(numbers, "first").select("frame", *cluster.VOXEL, "region"), "regions")
+    own = votes.join(cells, ["frame", *cluster.VOXEL])
+    if prompts is not None:
+        key = ["frame", "obj_id"]
+        own = materialize(own, "region-votes")
+        near = cluster.nearest_cluster(own, prompts, tuple(key)).withColumnRenamed("region", "near")
+        own = own.join(near, key, "left").where("near is null or near = region").drop("near")
+    placed = materialize(own, "votes")
     same = cluster.equivalence_sets(placed)
     rooted = placed.join(same, ["frame", "region", "obj_id"], "left").withColumn("member", F.col("obj_id")).withColumn("obj_id", F.coalesce("root", "obj_id")).drop("root")
     joined = materialize(rooted, "rooted")

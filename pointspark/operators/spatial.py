@@ -56,6 +56,34 @@ def relative_poses(pairs: DataFrame, poses: DataFrame, a: str = "centre", b: str
     return both.select(a, b, *[F.when(same, i).otherwise(v).alias(n) for n, v, i in zip(G.names("m"), m, G.identity(), strict=True)])
 
 
+def prompt_voxels(prompts: DataFrame, seen: DataFrame, poses: DataFrame, size: float) -> DataFrame:
+    """(frame, obj_id, vx, vy, vz): where each prompt (obj_id, keyframe, x, y, z) stands in the frames of seen (frame, obj_id).
+
+    A prompt is a place in its keyframe; it is moved to every frame by the poses
+    of both. Pairs of frames are few and get their transform once.
+    """
+    met = seen.select("frame", "obj_id").distinct().join(prompts.select("obj_id", "keyframe", *XYZ), "obj_id")
+    moves = relative_poses(met.select("frame", "keyframe").distinct(), poses, "frame", "keyframe")
+    return transform(met.join(moves, ["frame", "keyframe"]), G.columns("m")).select("frame", "obj_id", *voxel_keys(size))
+
+
+def shown_keyframes(frames: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(frame, keyframe): the keyframes whose prompts a frame's pictures show, those whose window meets its own.
+
+    frames and keys have a column frame. A frame's window ends before its last
+    frame, as a keyframe's does not. Both windows list their frames, and meet by
+    an equi-join.
+    """
+    h = width // 2
+    last = frames.agg(F.max("frame").alias("last"))
+    listed = frames.select("frame").distinct().crossJoin(F.broadcast(last))  # one row
+    end = F.greatest(F.col("frame"), F.least(F.col("frame") + h, "last") - 1)
+    own = listed.select("frame", F.explode(F.sequence(F.col("frame") - h, end)).alias("at"))
+    other = keys.select(F.col("frame").alias("keyframe"), F.explode(F.sequence(F.col("frame") - h, F.col("frame") + h)).alias("at"))
+    real = frames.select(F.col("frame").alias("at")).distinct()
+    return own.join(real, "at").join(other, "at").select("frame", "keyframe").distinct()
+
+
 def voxel_keys(size: float, prefix: str = "") -> list[Column]:
     """vx, vy, vz: floor(coordinate / size)."""
     return [F.floor(F.col(f"{prefix}{c}") / F.lit(size)).cast("bigint").alias(f"v{c}") for c in XYZ]

@@ -145,10 +145,16 @@ def grid_votes(spark, d):
 def label_fusion(spark, d):
     """Region growing, votes, suppression, growth and painting of whole scans."""
     v = votes(spark, d).join(wide(spark, d), ["frame", *C.VOXEL], "left_semi")
-    where = v.groupBy("obj_id").agg(F.min(F.struct("frame", *C.VOXEL)).alias("p")).select("obj_id", *[f"p.{a}" for a in C.VOXEL])
+    where = P.prompt_voxels(asked(X.points(spark, d).where("sem < 6").withColumn("obj_id", 1000 + F.col("segment") % 12)), v, X.poses(spark, d, turned=False), 4.0)
     return fusion.fuse_labels(wide(spark, d), v, where, radius=2.0)
 
 
+def asked(points):
+    """obj_id, keyframe, x, y, z: where each object is asked for, its first point (obj_id, frame, x, y, z)."""
+    first = points.groupBy("obj_id").agg(F.min(F.struct(F.col("frame").alias("keyframe"), *P.XYZ)).alias("p"))
+    return first.select("obj_id", "p.*")
+
+
 @query(f"""WITH {POINTS}, c AS (SELECT frame, sem, segment, count(*) AS cnt, min(point_idx) AS i FROM points WHERE sem IN (0, 3, 6) GROUP BY 1, 2, 3), b AS (SELECT * FROM c WHERE cnt >= 4),
 f AS (SELECT sem, segment, min(frame * 10000000 + i) AS first FROM b GROUP BY 1, 2), n AS (SELECT sem, segment, row_number() OVER (PARTITION BY sem ORDER BY first) AS inst FROM f)
 SELECT p.frame, p.point_idx, coalesce(n.inst, 0) * 65536 + p.sem AS label FROM points p LEFT JOIN b ON p.frame = b.frame AND p.sem = b.sem AND p.segment = b.segment LEFT JOIN n ON b.sem = n.sem AND b.segment = n.segment""")
@@ -237,4 +243,4 @@ def prelabel(spark, d):
     from pointspark.plans.prelabel import prelabel
 
     p = X.points(spark, d).select("frame", "point_idx", "x", "y", "z", "intensity")
-    return prelabel(p, X.poses(spark, d, turned=False), X.masks(spark, d).withColumn("obj_id", F.col("obj_id")), voxel=4.0)
+    return prelabel(p, X.poses(spark, d, turned=False), X.masks(spark, d), asked(X.mask_points(spark, d)), voxel=4.0)

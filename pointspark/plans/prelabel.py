@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointspark.functions import geometry as G
-from pointspark.functions.udtf import ground_split, masks_from
+from pointspark.functions.udtf import ground_split, masks_from, video_masks
 from pointspark.operators import aggregates as A
 from pointspark.operators import cluster as C
 from pointspark.operators import fusion, ordered
@@ -70,20 +70,24 @@ class Views:
         return F.lit(cam), F.when(inside, row), F.when(inside, col), z
 
 
-def keyframe_voxels(points: DataFrame, poses: DataFrame, width: int, voxel: float) -> DataFrame:
-    """(frame, vx, vy, vz, intensity) of the superframes of keyframes alone."""
-    keys = ordered.keyframes(poses.withColumn("seq", F.lit(0)), width).select(F.col("frame").alias("centre"))
-    pairs = P.relative_poses(P.frame_window(poses, width).join(keys, "centre", "left_semi"), poses)
-    moved = P.transform(points.join(pairs, "frame"), G.columns("m"))
-    return P.voxel_max(moved.drop("frame").withColumnRenamed("centre", "frame"), voxel, "frame")
+def prompt_places(cells: DataFrame, keys: DataFrame, voxel: float, scales: tuple[tuple[float, int], ...]) -> tuple[DataFrame, DataFrame]:
+    """(prompts, negatives): places (obj_id, scale, keyframe, x, y, z) in the voxels of keyframes, and the objects that are not a prompt's."""
+    prompts, negatives = C.prompt_objects(cells.join(keys, "frame", "left_semi").withColumnRenamed("frame", "kf"), scales, voxel)
+    middle = [((F.col(f"v{c}") + 0.5) * F.lit(voxel)).alias(c) for c in P.XYZ]
+    return materialize(prompts.select("obj_id", "scale", F.col("kf").alias("keyframe"), *middle), "prompts"), materialize(negatives, "negatives")
 
 
-def clicks(cells: DataFrame, views: Views, voxel: float, scales: tuple[tuple[float, int], ...], tolerance: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(clicks, prompts): prompts of the keyframes' voxels, and where the pictures show them: frame, cam, obj_id, row, col, depth."""
-    prompts, _ = C.prompt_objects(cells.withColumnRenamed("frame", "kf"), scales, voxel)
-    prompts = materialize(prompts, "prompts")
-    half = {c: (F.col(f"v{c}") + 0.5) * F.lit(voxel) for c in P.XYZ}
-    placed = prompts.select(F.col("kf").alias("frame"), "obj_id", *[v.alias(c) for c, v in half.items()])
+def clicks(cells: DataFrame, prompts: DataFrame, poses: DataFrame, views: Views, width: int, voxel: float, tolerance: float = 2.0) -> DataFrame:
+    """(frame, cam, obj_id, row, col, depth): where the pictures of every frame show the prompts.
+
+    cells: superframes (frame, vx, vy, vz, intensity) of all frames. prompts:
+    obj_id, keyframe, x, y, z. A frame shows the prompts of all keyframes whose
+    windows meet its own, moved by the poses, unless something stands before
+    them.
+    """
+    keys = prompts.select(F.col("keyframe").alias("frame")).distinct()
+    moves = P.relative_poses(P.shown_keyframes(poses, keys, width), poses, "frame", "keyframe")
+    placed = P.transform(prompts.select("obj_id", "keyframe", *P.XYZ).join(moves, "keyframe"), G.columns("m"))
     names = ("cam", "row", "col", "depth")
     each = F.array(*[F.struct(*[v.cast("double" if n == "depth" else "int").alias(n) for v, n in zip(views.pixel(k), names, strict=True)]) for k in range(len(views.matrices))])
     seen = placed.select("frame", "obj_id", F.explode(each).alias("p")).select("frame", "obj_id", "p.*").where("row is not null")
@@ -92,39 +96,56 @@ def clicks(cells: DataFrame, views: Views, voxel: float, scales: tuple[tuple[flo
         one = P.rasterise(cells, views.matrix(k), voxel, views.focal, views.focal, views.width / 2, views.height / 2, views.width, views.height)
         one = one.select("frame", F.lit(k).alias("cam"), "row", "col", "depth")
         raster = one if raster is None else raster.unionByName(one)
-    return P.occlusion(seen, raster, tolerance, ("frame", "cam")).select("frame", "cam", "obj_id", "row", "col", "depth"), prompts
+    return P.occlusion(seen, raster, tolerance, ("frame", "cam")).select("frame", "cam", "obj_id", "row", "col", "depth")
 
 
-def prelabel_scans(points: DataFrame, poses: DataFrame, model: Callable, views: Views | None = None, width: int = 7, voxel: float = 0.2, scales: tuple[tuple[float, int], ...] = ((0.6, 30), (1.2, 50)), **how) -> DataFrame:
-    """(frame, point_idx, label) from scans and poses alone: ground apart, keyframes, prompts, pictures, clicks, masks from model, then prelabel.
+def prelabel_scans(
+    points: DataFrame, poses: DataFrame, model: Callable | None = None, views: Views | None = None, width: int = 7, voxel: float = 0.2,
+    scales: tuple[tuple[float, int], ...] = ((0.6, 30), (1.2, 50)), video: Callable | None = None, **how,
+) -> DataFrame:
+    """(frame, point_idx, label) from scans and poses alone: ground apart, keyframes, prompts, pictures, clicks, masks, then prelabel.
 
     model is an applyInPandas function from a picture's clicks to masks (frame,
-    cam, obj_id, row, col).
+    cam, obj_id, row, col); video starts a session that follows an object
+    through pictures (udtf.video_masks), with the clicks of its negatives. One
+    of them is needed.
     """
+    if (model is None) == (video is None):
+        raise ValueError("give a model for single pictures or one for pictures in sequence")
     views = views or Views.ring(points.sparkSession)
-    rest = materialize(ground_split(points).where("part = 'other'").drop("part"), "rest")
-    cells = materialize(keyframe_voxels(rest, poses, width, voxel), "keyframe-voxels")
-    asked, _ = clicks(cells, views, voxel, scales)
-    masks = materialize(masks_from(asked, model), "masks")
-    return prelabel(points, poses, masks, width=width, voxel=voxel, pixel=[views.pixel(k)[:3] for k in range(len(views.matrices))], **how)
-
-
-def prelabel(points: DataFrame, poses: DataFrame, masks: DataFrame, width: int = 7, voxel: float = 0.2, pixel: tuple | list[tuple] | None = None, radius: float = 2.0, threshold: float = 0.7) -> DataFrame:
+    split = materialize(ground_split(points), "split")
+    cells = materialize(P.superframe_voxels(split.where("part = 'other'"), poses, width, voxel), "superframes")
+    keys = ordered.keyframes(poses.withColumn("seq", F.lit(0)), width).select("frame")
+    prompts, negatives = prompt_places(cells, keys, voxel, scales)
+    asked = materialize(clicks(cells, prompts, poses, views, width, voxel), "clicks")
+    masks = masks_from(asked, model) if model else video_masks(asked, negatives, video)
+    masks = materialize(masks, "masks")
+    return prelabel(points, poses, masks, prompts, width=width, voxel=voxel, pixel=[views.pixel(k)[:3] for k in range(len(views.matrices))], split=split, **how)
+
+
+def prelabel(
+    points: DataFrame, poses: DataFrame, masks: DataFrame, prompts: DataFrame | None = None, width: int = 7, voxel: float = 0.2,
+    pixel: tuple | list[tuple] | None = None, radius: float = 2.0, threshold: float = 0.7, split: DataFrame | None = None,
+) -> DataFrame:
     """(frame, point_idx, label) for every point of a sequence.
 
     Ground is split off and keeps 0; the rest is voxelised, masks vote, labels
     are fused in every frame, objects seen together most of their time become
     one, labels are tracked from frame to frame and numbered from 1025 by first
-    appearance. Stages are written, so a lost executor costs one of them.
+    appearance. prompts (obj_id, keyframe, x, y, z) say where an object was asked
+    for: of its parts that stand apart in a frame, the nearest to that place
+    stays; without prompts all do. split is points after ground_split, where
+    that was done before. Stages are written, so a lost executor costs one of
+    them.
     """
-    split = materialize(ground_split(points), "split")
+    split = split if split is not None else materialize(ground_split(points), "split")
     rest = split.where("part = 'other'").drop("part")
     cells = materialize(rest.select("frame", *P.voxel_keys(voxel)).distinct(), "voxels")
     pixels = [pixel] if isinstance(pixel, tuple) else pixel or default_pixels()
     votes = mask_votes(rest, masks, poses, pixels, width, voxel).join(cells, ["frame", *C.VOXEL], "left_semi")
     votes = materialize(votes, "mask-votes")
-    prompts = votes.groupBy("obj_id").agg(F.min(F.struct("frame", *C.VOXEL)).alias("p")).select("obj_id", *[f"p.{a}" for a in C.VOXEL])
-    fused, sets = fusion.fuse_with_sets(cells, votes, prompts, radius=radius)
+    placed = None if prompts is None else P.prompt_voxels(prompts, votes, poses, voxel)
+    fused, sets = fusion.fuse_with_sets(cells, votes, placed, radius=radius)
     fused = materialize(fused, "fused")
     pairs = A.temporal_jaccard(A.pair_frames(sets), A.lifetimes(masks.select("obj_id", "frame"), half=width // 2), threshold=threshold)
     unified = materialize(J.remap(fused, C.unified_ids(pairs.select("a", "b")), "label"), "unified")

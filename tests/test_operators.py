@@ -320,7 +320,7 @@ def test_fusion_keeps_the_object_near_its_prompt(spark):
     v = [(0, x, 0, 0) for x in (*range(5), *range(50, 55))]
     voxels = spark.createDataFrame(v, "frame int, vx long, vy long, vz long")
     votes = spark.createDataFrame([(0, x, 0, 0, 1000, 0, 0, 1) for x in (0, 1, 2, 50)], "frame int, vx long, vy long, vz long, obj_id long, cam int, sf int, cnt long")
-    prompts = spark.createDataFrame([(1000, 0, 0, 0)], "obj_id long, vx long, vy long, vz long")
+    prompts = spark.createDataFrame([(0, 1000, 0, 0, 0)], "frame int, obj_id long, vx long, vy long, vz long")
     got = {r.vx: r.label for r in fusion.fuse_labels(voxels, votes, prompts).collect()}
     assert [got[x] for x in range(5)] == [1000] * 5 and all(got[x] == 0 for x in range(50, 55))
 

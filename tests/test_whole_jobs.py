@@ -2,11 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from pointspark.functions import udtf
 from pointspark.operators import aggregates as A
 from pointspark.operators import cluster as C
 from pointspark.operators import fusion
+from pointspark.operators import spatial as P
 from pointspark.plans import catalog
 from pointspark.plans import prelabel as plan
 
@@ -51,7 +54,7 @@ def test_sets_are_those_of_fusion(spark):
     # 1 and 2 overlap from two cameras; 3 and 4 stand in the same slab of x, apart in y
     rows = box(1, 0, 0, 0) + box(2, 1, 0, 1) + box(3, 0, 0, 40) + box(4, 1, 0, 80) + box(1, 0, 0, 0, 1) + box(2, 1, 0, 30, 1)
     votes = spark.createDataFrame(rows, VOTES)
-    prompts = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 1, 0), (3, 0, 40, 0), (4, 0, 80, 0)], "obj_id long, vx long, vy long, vz long")
+    prompts = spark.createDataFrame([(f, *p) for f in (0, 1) for p in ((1, 0, 0, 0), (2, 0, 1, 0), (3, 0, 40, 0), (4, 0, 80, 0))], "frame int, obj_id long, vx long, vy long, vz long")
     cells = votes.select("frame", *C.VOXEL).distinct()
     labels, sets = fusion.fuse_with_sets(cells, votes, prompts, radius=2.0)
     assert {(r.a, r.b, r.n) for r in A.pair_frames(sets).collect()} == {(1, 2, 1)}
@@ -101,11 +104,184 @@ def test_prelabel_from_scans(spark):
     eye = [float(i // 4 == i % 4) for i in range(12)]
     poses = spark.createDataFrame([(f, *eye) for f in range(2)], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
     p = spark.createDataFrame(points, "frame int, point_idx int, x double, y double, z double, intensity double")
-    cells = plan.keyframe_voxels(p.where("z > 0"), poses, 7, 1.0)
-    assert {r.frame for r in cells.collect()} == {0} and cells.count() == 54  # one keyframe for both scans
-    asked, prompts = plan.clicks(cells, plan.Views.ring(spark), 1.0, ((1.5, 8),))
-    assert prompts.count() == 2 and {r.obj_id for r in asked.collect()} == {1000, 1001}
+    cells = P.superframe_voxels(p.where("z > 0"), poses, 7, 1.0)
+    keys = spark.createDataFrame([(0,)], "frame int")  # one keyframe for both scans
+    prompts, _ = plan.prompt_places(cells, keys, 1.0, ((1.5, 8),))
+    asked = plan.clicks(cells, prompts, poses, plan.Views.ring(spark), 7, 1.0)
+    assert prompts.count() == 2 and {(r.frame, r.obj_id) for r in asked.collect()} == {(f, o) for f in (0, 1) for o in (1000, 1001)}
     got = plan.prelabel_scans(p, poses, squares, voxel=1.0, scales=((1.5, 8),)).collect()
     labels = {k: {r.label for r in got if mine[r.frame, r.point_idx] == k} for k in ("ground", "left", "right")}
     assert labels["ground"] == {0} and len(got) == len(points)
     assert len(labels["left"]) == len(labels["right"]) == 1 and {1025, 1026} == labels["left"] | labels["right"]
+
+
+def moving_poses(spark, n):
+    """Poses that drive along x and turn by a quarter every frame, with their matrices."""
+    rows, mats = [], []
+    for f in range(n):
+        c, s = [(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0)][f % 4]
+        m = np.array([[c, -s, 0, 10.0 * f], [s, c, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
+        rows.append((f, *m[:3].ravel().tolist()))
+        mats.append(m)
+    return spark.createDataFrame(rows, "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12))), mats
+
+
+def test_prompts_stand_where_the_poses_put_them(spark):
+    poses, m = moving_poses(spark, 6)
+    prompts = spark.createDataFrame([(1, 2, 3.5, 4.5, 0.5), (2, 0, -1.5, 2.5, 1.5)], "obj_id long, keyframe int, x double, y double, z double")
+    seen = spark.createDataFrame([(f, o) for f in range(6) for o in (1, 2, 9)], "frame int, obj_id long")
+    got = {(r.frame, r.obj_id): (r.vx, r.vy, r.vz) for r in P.prompt_voxels(prompts, seen, poses, 1.0).collect()}
+    want = {}
+    for o, k, *p in ((1, 2, 3.5, 4.5, 0.5), (2, 0, -1.5, 2.5, 1.5)):
+        for f in range(6):
+            want[f, o] = tuple(np.floor(np.round(np.linalg.inv(m[f]) @ m[k] @ [*p, 1], 6))[:3].astype(int).tolist())
+    assert got == want
+
+
+def test_fusion_keeps_the_region_at_the_moved_prompt(spark):
+    """One object stands still in the world; what masks say of it bleeds onto another thing, in each frame elsewhere."""
+    poses, m = moving_poses(spark, 4)
+    world, wrong = np.array([20.0, 30.0, 0.0]), np.array([20.0, -30.0, 0.0])
+    rows, true = [], {}
+    for f in range(4):
+        for at, keep in ((world, True), (wrong, False)):
+            x, y, _ = np.round((np.linalg.inv(m[f]) @ [*at, 1])[:3]).astype(int).tolist()
+            cells = box(1, 0, x - 1, y - 1, f)
+            rows += cells
+            true.update({(f, *c[1:4]): 1 if keep else 0 for c in cells})
+    votes = spark.createDataFrame(rows, VOTES)
+    x, y, z = (np.linalg.inv(m[0]) @ [*world, 1])[:3].tolist()
+    prompts = spark.createDataFrame([(1, 0, x + 0.5, y + 0.5, z + 0.5)], "obj_id long, keyframe int, x double, y double, z double")
+    cells = votes.select("frame", *C.VOXEL).distinct()
+    placed = P.prompt_voxels(prompts, votes, poses, 1.0)
+    got = {(r.frame, r.vx, r.vy, r.vz): r.label for r in fusion.fuse_labels(cells, votes, placed, radius=2.0).collect()}
+    assert got == true
+    # without a prompt both stay
+    assert {r.label for r in fusion.fuse_labels(cells, votes, None, radius=2.0).collect()} == {1}
+    # an object that has no prompt keeps what it has, beside one that has
+    assert {r.label for r in fusion.fuse_labels(cells, votes, placed.where("frame > 0"), radius=2.0).where("frame = 0").collect()} == {1}
+
+
+@pytest.mark.parametrize("width", [3, 5, 7])
+def test_frames_show_the_keyframes_whose_windows_meet_theirs(spark, width):
+    n, keys, h = 17, (0, 6, 12, 16), width // 2
+    poses, _ = moving_poses(spark, n)
+    got = {(r.frame, r.keyframe) for r in P.shown_keyframes(poses, spark.createDataFrame([(k,) for k in keys], "frame int"), width).collect()}
+    want = set()
+    for f in range(n):
+        for at in range(max(0, f - h), min(n - 1, f + h)):
+            want |= {(f, k) for k in keys if max(0, k - h) <= at <= min(n - 1, k + h)}
+    assert got == want
+
+
+def test_clicks_in_every_frame_in_reach(spark):
+    """A cube is asked for in keyframe 0 and a wall hides it in frame 1; a camera looks along the world's y from each pose."""
+    eye = [[1.0, 0.0, 0.0, 2.0 * f, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0] for f in range(8)]
+    poses = spark.createDataFrame([(f, *e) for f, e in enumerate(eye)], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    cube = [(x, y, z) for x in range(3) for y in range(10, 13) for z in range(3)]
+    cells = []
+    for f in range(8):
+        cells += [(f, x - 2 * f, y, z, 0.5) for x, y, z in cube]
+        if f == 1:
+            cells += [(f, x - 2, 4, z, 0.5) for x in range(-3, 6) for z in range(-3, 6)]
+    cells = spark.createDataFrame(cells, "frame int, vx long, vy long, vz long, intensity double")
+    prompts = spark.createDataFrame([(1000, 0, 1.5, 10.5, 1.5)], "obj_id long, keyframe int, x double, y double, z double")
+    # right is x, down is -z, ahead is y
+    views = plan.Views(((1.0, 0, 0, 0, 0, 0, -1.0, 0, 0, 1.0, 0, 0),), focal=60.0, width=200, height=100)
+    got = {(r.frame, r.cam, r.obj_id, r.row, r.col) for r in plan.clicks(cells, prompts, poses, views, 5, 1.0).collect()}
+    # windows of two frames to each side: keyframe 0 shows in frames 0 to 3 by the end of the window before them, and 4; frame 1 is hidden
+    want = set()
+    for f in (0, 2, 3, 4):
+        x, y, z = 1.5 - 2 * f, 10.5, 1.5
+        col, row = int(60 * x / y + 100), int(60 * -z / y + 50)
+        if 0 <= col < 200:
+            want.add((f, 0, 1000, row, col))
+    assert got == want
+
+
+class Told:
+    """A session that writes down what it is asked, to a folder that the tasks share."""
+
+    def __init__(self, folder, cam, frames):
+        import json
+        import os
+
+        self.cam, self.frames, self.log, self.path, self.json = cam, frames, [], f"{folder}/{cam}-{frames[0]}-{os.getpid()}-{id(self)}.json", json
+
+    def say(self, *what):
+        self.log.append(what)
+        with open(self.path, "w") as f:
+            self.json.dump([self.cam, self.frames, self.log], f)
+
+    def click(self, index, obj_id, points, labels):
+        self.say("click", index, obj_id, points.tolist(), labels.tolist())
+
+    def propagate(self, reverse=False):
+        self.say("propagate", reverse)
+        for i in reversed(range(len(self.frames))) if reverse else range(len(self.frames)):
+            mask = np.zeros((4, 4), bool)
+            if self.frames[i] != 12:  # of frame 12 nothing is found
+                mask[int(reverse), i % 4] = True
+            if not (reverse and i == 0):  # the way back does not say anything of the first picture
+                yield i, mask
+
+
+def test_objects_are_followed_with_their_negatives(spark, tmp_path):
+    import json
+
+    rows = [(f, 0, 1, f, 1) for f in (3, 4, 9, 12)] + [(4, 0, 2, 7, 7), (9, 0, 3, 8, 8), (4, 0, 3, 5, 5), (5, 0, 3, 6, 6), (4, 1, 2, 9, 9)] + [(30, 1, 1, 2, 2)]
+    clicks = spark.createDataFrame(rows, "frame int, cam int, obj_id long, row int, col int")
+    negatives = spark.createDataFrame([(1, 1, 3), (1, 2, 2), (2, 1, 3)], "obj_id long, rank int, neg_obj_id long")
+    folder = str(tmp_path)
+    got = sorted(map(tuple, udtf.video_masks(clicks, negatives, lambda cam, frames: Told(folder, cam, frames), batch=5).collect()))
+    log = sorted(json.loads(p.read_text()) for p in tmp_path.glob("*.json"))
+    both = [["propagate", False], ["propagate", True]]
+    assert log == sorted([
+        # object 1 in camera 0: frames 3 to 12 by fives; negatives by rank, in frames where they have clicks
+        [0, [3, 4, 5, 6, 7], [["click", 0, 1, [[1, 3]], [1]], ["click", 1, 1, [[1, 4], [5, 5], [7, 7]], [1, 0, 0]], *both]],
+        [0, [8, 9, 10, 11, 12], [["click", 1, 1, [[1, 9], [8, 8]], [1, 0]], ["click", 4, 1, [[1, 12]], [1]], *both]],
+        [0, [4], [["click", 0, 2, [[7, 7], [5, 5]], [1, 0]], *both]],
+        [0, [4, 5, 6, 7, 8], [["click", 0, 3, [[5, 5]], [1]], ["click", 1, 3, [[6, 6]], [1]], *both]],
+        [0, [9], [["click", 0, 3, [[8, 8]], [1]], *both]],
+        [1, [4], [["click", 0, 2, [[9, 9]], [1]], *both]],
+        [1, [30], [["click", 0, 1, [[2, 2]], [1]], *both]],
+    ])
+    # of a frame the mask of the way back stays, but for first pictures, which it left; frame 12 has none
+    assert got == sorted([(3, 0, 1, 0, 0), (4, 0, 1, 1, 1), (9, 0, 1, 1, 1), (4, 0, 2, 0, 0), (4, 0, 3, 0, 0), (5, 0, 3, 1, 1), (9, 0, 3, 0, 0), (4, 1, 2, 0, 0), (30, 1, 1, 0, 0)])
+
+
+def test_prelabel_from_scans_with_a_video_model(spark):
+    """The same labels as with a model for single pictures, from poses that move and turn."""
+
+    class Squares:
+        def __init__(self, cam, frames):
+            self.clicks = {}
+
+        def click(self, index, obj_id, points, labels):
+            self.clicks[index] = points[labels == 1]
+
+        def propagate(self, reverse=False):
+            for i, points in self.clicks.items():
+                mask = np.zeros((72, 96), bool)
+                for col, row in points:
+                    mask[max(0, row - 12) : row + 13, max(0, col - 12) : col + 13] = True
+                yield i, mask
+
+    points, mine, poses = [], {}, []
+    bodies = [(x, y, z) for x0 in (-6, 5) for x in range(x0, x0 + 3) for y in range(3) for z in (1, 2, 3)]
+    for frame in range(3):
+        c, s = ((1.0, 0.0), (0.0, 1.0), (1.0, 0.0))[frame]
+        m = np.array([[c, -s, 0, 0.0], [s, c, 0, 1.0 * frame], [0, 0, 1, 0], [0, 0, 0, 1]])
+        poses.append((frame, *m[:3].ravel().tolist()))
+        for i, (x, y, z) in enumerate(bodies + sorted({(x, y, 0) for x, y, _ in bodies})):
+            p = np.linalg.inv(m) @ [x + 0.5, y + 0.5, z + 0.5 if z else 0.0, 1]
+            points.append((frame, i, *p[:3].tolist(), 0.5))
+            mine[frame, i] = "ground" if z == 0 else "left" if x < 0 else "right"
+    poses = spark.createDataFrame(poses, "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    p = spark.createDataFrame(points, "frame int, point_idx int, x double, y double, z double, intensity double")
+    got = plan.prelabel_scans(p, poses, video=Squares, voxel=1.0, scales=((1.5, 8),)).collect()
+    labels = {k: {r.label for r in got if mine[r.frame, r.point_idx] == k} for k in ("ground", "left", "right")}
+    assert labels["ground"] == {0} and len(got) == len(points)
+    assert len(labels["left"]) == len(labels["right"]) == 1 and {1025, 1026} == labels["left"] | labels["right"]
+    with pytest.raises(ValueError):
+        plan.prelabel_scans(p, poses)
