@@ -2,17 +2,19 @@
 
 The corpus is cut into blocks of one language. In a block each phrase has the
 ascending list of its places; the sum of the lengths of a phrase's lists is its
-exact frequency. Phrases grow by a word at a time: the places of a frequent
-phrase of k words are merged with the postings of the words that stand k places
-on. All lists of a block meet in one task, so that only list lengths cross the
-corpus.
+exact frequency. Phrases grow by a word at a time: the places of a frequent phrase of
+k words are merged with the postings of the words that stand k places on. All
+lists of a block meet in one task, so that only list lengths cross the corpus;
+a block is told which of its phrases are frequent, and makes their lists anew
+when they are to grow.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointspark.session import materialize
+from pointspark.operators.ordered import numbered
+from pointspark.session import discard, materialize
 
 MOST_WORDS = 3
 MIN_COUNT = 10
@@ -28,7 +31,9 @@ MIN_COUNT = 10
 INSIDE = 50
 TOP = 2000
 #: Words of a block, beyond which a further text starts a new one.
-BLOCK = 1_000_000
+BLOCK = 3_000_000
+#: Least number of parts in which what follows a phrase is counted.
+PARTS = 4
 #: Parts in which each language's best are looked for first.
 SALTS = 64
 
@@ -60,23 +65,21 @@ def unpacked(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(block, lang, word, n, places) for each word of each block of docs (text, lang).
+    """(block, lang, word, local, n, places) for each word of each block of docs (text, lang); local numbers the words of a block.
 
     A block holds texts of one language. A place is left free wherever a piece ends.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a language that stays open holds its tokens: at most BLOCK in all, of whichever languages
+        # blocks that are open hold a number for each word: at most BLOCK in all, of whichever languages
         task, number = TaskContext.get().partitionId(), count()
-        held: dict[str, list[bytes]] = defaultdict(list)
-        total = 0
+        open_: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+        held: Counter[str] = Counter()
 
         def closed(lang: str) -> Iterator[pa.RecordBatch]:
-            words: dict[bytes, int] = defaultdict(count(1).__next__)
-            words[b"."] = 0
-            own = held.pop(lang)
-            ids = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
-            del own
+            words, parts = open_.pop(lang)
+            held.pop(lang)
+            ids = np.concatenate(parts)
             order = np.argsort(ids, kind="stable")
             start = np.searchsorted(ids[order], np.arange(len(words) + 1))
             names = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -85,8 +88,8 @@ def postings(docs: DataFrame) -> DataFrame:
                 to = min(i + 20_000, len(words))
                 lists = packed(order[start[i] : start[to]], start[i:to] - start[i])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * (to - i), pa.int64()), pa.array([lang] * (to - i), pa.string()), pa.array(names[i:to], pa.string()), pa.array(np.diff(start[i : to + 1])), lists],
-                    ["block", "lang", "word", "n", "places"],
+                    [pa.array(np.full(to - i, block)), pa.array([lang] * (to - i), pa.string()), pa.array(names[i:to], pa.string()), pa.array(np.arange(i, to)), pa.array(np.diff(start[i : to + 1])), lists],
+                    ["block", "lang", "word", "local", "n", "places"],
                 )
 
         for b in batches:
@@ -94,20 +97,23 @@ def postings(docs: DataFrame) -> DataFrame:
                 found = tokens(text.as_py())
                 if not found:
                     continue
-                if total and total + len(found) > BLOCK:
-                    largest = max(held, key=lambda x: len(held[x]))
-                    total -= len(held[largest])
-                    yield from closed(largest)
-                held[lang] += [*found, b"."]
-                total += len(found) + 1
-        for lang in list(held):
+                if held and held.total() + len(found) > BLOCK:
+                    yield from closed(max(held, key=held.__getitem__))
+                if lang not in open_:
+                    words: dict[bytes, int] = defaultdict(count(1).__next__)
+                    words[b"."] = 0
+                    open_[lang] = words, []
+                words, parts = open_[lang]
+                parts.append(np.fromiter(map(words.__getitem__, [*found, b"."]), np.int32, len(found) + 1))
+                held[lang] += len(found) + 1
+        for lang in list(open_):
             yield from closed(lang)
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(listed, "block long, lang string, word string, n long, places array<int>")
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(listed, "block long, lang string, word string, local long, n long, places array<int>")
 
 
 def by_block(rows: DataFrame, each, schema: str) -> DataFrame:
-    """each(columns) of the rows of every block, gathered in one task; columns: block, kind, id, places."""
+    """each(table) of the rows of every block, gathered in one task and sorted by kind and a; each gives columns."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,59 +131,77 @@ def by_block(rows: DataFrame, each, schema: str) -> DataFrame:
         if rest:
             yield from each(pa.Table.from_batches(rest).combine_chunks())
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("block", "kind", "id", "places").repartition(n, "block").sortWithinPartitions("block", "kind", "id")
-
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in run(batches):
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return dealt.mapInArrow(out, schema)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "block").sortWithinPartitions("block", "kind", "a").mapInArrow(out, schema)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, -1 where it is not among the sorted keys."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, values[i], -1)
 
 
-def extended(lists: DataFrame, words: DataFrame, k: int, places_too: bool = True) -> DataFrame:
-    """(block, id_, next, n, places): the phrases of lists (block, id, places), of k words each, with the word that follows.
+def extended(index: DataFrame, names: DataFrame, longer: list[DataFrame], parts: int) -> DataFrame:
+    """(block, first, part, nexts, ns): the frequent phrases of each block, those of the most words, with the words that follow and how often.
 
-    words has the postings (block, id, places) of the frequent words. A list of
-    places p meets the postings at p + k; what a pair of lists has in common is
-    the list of the longer phrase; without places only its length is given.
+    index has the postings (block, local, places), names the frequent words
+    (block, local, id), longer for 2, 3 ... words the frequent phrases (block,
+    first, next, id). The places of a phrase of k words are merged with the
+    postings of the words k places on; what they share is the list of a longer
+    phrase, whose length is given. What follows a phrase is dealt to parts rows.
     """
+    k = len(longer) + 1
 
     def merged(t: pa.Table) -> Iterator[list[pa.Array]]:
-        kind, ids = t.column("kind").to_numpy(), t.column("id").to_numpy()
-        split = int(np.searchsorted(kind, 1))
-        if split in (0, t.num_rows):
+        kind, a = t.column("kind").to_numpy(), t.column("a").to_numpy()
+        cut = np.searchsorted(kind, np.arange(k + 2))
+        named, ids = (t.column(c).slice(cut[1], cut[2] - cut[1]).to_numpy() for c in "ab")
+        places, size = unpacked(t.column("places").slice(0, cut[1]).combine_chunks())
+        # the lists of frequent words, as a map from place to word, so that all merges of a block are one look-up
+        local = looked_up(named, np.arange(len(ids)), a[: cut[1]])
+        word = np.full(int(places.max(initial=0)) + k + 1, -1, np.int32)
+        word[places] = np.repeat(local, size)
+        at = np.flatnonzero(word >= 0)
+        own, of = word[at].astype(np.int64), ids  # the phrase at each place, by a number in the block, and its id
+        for j in range(1, k):
+            first, follows, names = (t.column(c).slice(cut[j + 1], cut[j + 2] - cut[j + 1]).to_numpy() for c in "abc")
+            by_of, by_id = np.argsort(of), np.argsort(ids)
+            key = (looked_up(of[by_of], by_of, first) << 32) | looked_up(ids[by_id], by_id, follows)
+            order = np.argsort(key)
+            found = looked_up(key[order], order, (own << 32) | word[at + j])
+            at, own, of = at[found >= 0], found[found >= 0], names
+        after = word[at + k].astype(np.int64)
+        key, n = np.unique((own[after >= 0] << 32) | after[after >= 0], return_counts=True)
+        if not len(key):
             return
-        places, size = unpacked(t.column("places").chunk(0))
-        row = np.repeat(np.arange(t.num_rows), size)
-        phrases = int(size[:split].sum())
-        # the postings as a map from place to word, so that all merges of a block are one look-up
-        follow = np.full(int(places.max()) + k + 1, -1, np.int64)
-        follow[places[phrases:]] = row[phrases:] - split
-        row, at = row[:phrases], places[:phrases]
-        after = follow[at + k]
-        met = after >= 0
-        row, at, after = row[met], at[met], after[met]
-        order = np.argsort((row << 32) | after, kind="stable")  # places stay ascending
-        row, at, after = row[order], at[order], after[order]
-        start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(after, prepend=-1) != 0))
-        size = np.diff(start, append=len(at))
+        first, after = of[key >> 32], ids[key & 0xFFFFFFFF]
+        part = after % parts
+        order = np.lexsort((after, part, first))
+        first, after, part, n = first[order], after[order], part[order], n[order]
+        start = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
         block = t.column("block")[0].as_py()
-        first, second = ids[row[start]], ids[split + after[start]]
-        for i in range(0, len(start), 50_000):
-            s, z = start[i : i + 50_000], size[i : i + 50_000]
-            found = packed(at[s[0] : s[-1] + z[-1]], s - s[0]) if places_too else pa.nulls(len(s), pa.list_(pa.int32()))
-            yield [pa.array(np.full(len(s), block)), pa.array(first[i : i + 50_000]), pa.array(second[i : i + 50_000]), pa.array(z), found]
+        for i in range(0, len(start), 20_000):
+            s = start[i : i + 20_000]
+            end = start[i + 20_000] if i + 20_000 < len(start) else len(first)
+            offsets = pa.array(np.append(s, end).astype(np.int32) - np.int32(s[0]))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[s[0] : end].astype(kind))) for v, kind in ((after, np.int64), (n, np.int32))]
+            yield [pa.array(np.full(len(s), block)), pa.array(first[s]), pa.array(part[s].astype(np.int32)), *lists]
 
-    both = lists.select("block", F.lit(0).alias("kind"), "id", "places").unionByName(words.select("block", F.lit(1).alias("kind"), "id", "places"))
-    return by_block(both, merged, "block long, id_ long, next long, n long, places array<int>")
+    none = {"b": "long", "c": "long", "places": "array<int>"}
 
+    def rows(df: DataFrame, kind: int, **columns: str) -> DataFrame:
+        return df.select("block", F.lit(kind).alias("kind"), F.col(columns.pop("a")).alias("a"), *[F.col(columns[c]).alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
 
-def frequent(rows: DataFrame, keys: list[str], min_count: int, label: str) -> DataFrame:
-    """(id, keys, f) for the keys whose lists in rows hold min_count places or more; ids are new."""
-    found = rows.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    # the numbers are fixed by writing them
-    return materialize(found.withColumn("id", F.monotonically_increasing_id()), label)
+    whole = rows(index, 0, a="local", places="places").unionByName(rows(names, 1, a="local", b="id"))
+    for j, d in enumerate(longer, 2):
+        whole = whole.unionByName(rows(d, j, a="first", b="next", c="id"))
+    return by_block(whole, merged, "block long, first long, part int, nexts array<long>, ns array<int>")
 
 
 def score(a: str, l: str, r: str) -> str:  # noqa: E741
@@ -193,31 +217,43 @@ def phrases(docs: DataFrame, most_words: int = MOST_WORDS, min_count: int = MIN_
     without its first word.
     """
     slim = docs.select("lang", "text")
-    # as many parts as there are blocks at least, so that small files do not make small blocks
+    # no more parts than there are blocks, so that small files do not make small blocks
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    index = materialize(postings(slim.coalesce(1 + size // (6 * BLOCK))), "postings")
+    blocks = 1 + size // (6 * BLOCK)
+    # as the data grow, what follows a frequent word is counted in more parts and stands in more rows
+    parts = max(PARTS, isqrt(blocks))
+    index = materialize(postings(slim.coalesce(blocks)), "postings")
     totals = index.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = frequent(index, ["lang", "word"], min_count, "frequent-words")
+    words = index.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    words = materialize(numbered(words, ("lang", "word"), 0, "id"), "frequent-words")
     none, empty = F.lit(None).cast("long"), F.array().cast("array<long>")
     levels = [words.select("id", none.alias("first"), none.alias("suffix"), none.alias("next"), "lang", F.col("word").alias("phrase"), "f", empty.alias("ls"), empty.alias("rs"))]
-    lists = own = materialize(index.join(words, ["lang", "word"]).select("block", "id", "places"), "word-lists")
+    names = materialize(index.select("block", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "local", "id"), "word-names")
+    longer: list[DataFrame] = []
     for k in range(1, most_words):
-        last = k == most_words - 1
-        longer = materialize(extended(lists, own, k, not last), f"lists-{k + 1}")
-        found = frequent(longer, ["id_", "next"], min_count, f"frequent-{k + 1}")
-        p = levels[-1].select(F.col("id").alias("id_"), F.col("suffix").alias("p_suffix"), "lang", F.col("phrase").alias("p_phrase"), F.col("f").alias("p_f"), F.col("ls").alias("p_ls"))
+        lists = materialize(extended(index.select("block", "local", "places"), names, longer, parts), f"lists-{k + 1}")
+        # a phrase's words are dealt to parts before they are counted, so a frequent phrase is not one task's
+        counted = lists.select("first", "part", "nexts", "ns").repartition("first", "part").select("first", "part", F.explode(F.arrays_zip("nexts", "ns")).alias("x"))
+        found = counted.groupBy("first", "part", F.col("x.nexts").alias("next")).agg(F.sum("x.ns").alias("f")).where(F.col("f") >= min_count)
+        # the numbers are fixed by writing them
+        found = materialize(found.withColumn("id", F.monotonically_increasing_id()), f"frequent-{k + 1}")
+        p = levels[-1].select(F.col("id").alias("first"), F.col("suffix").alias("p_suffix"), "lang", F.col("phrase").alias("p_phrase"), F.col("f").alias("p_f"), F.col("ls").alias("p_ls"))
         # the phrase without its first word, which is as frequent at least
         s = levels[-1].select(F.col("id").alias("suffix"), F.col("first").alias("s_first"), F.col("next").alias("s_next"), F.col("f").alias("s_f"), F.col("rs").alias("s_rs"))
         w = levels[0].select(F.col("id").alias("next"), F.col("phrase").alias("word"))
         same = F.col("suffix") == F.col("next") if k == 1 else (F.col("s_first") == F.col("p_suffix")) & (F.col("s_next") == F.col("next"))
-        rows = found.join(p, "id_").join(w, "next").join(s, same)
+        rows = found.join(p, "first").join(w, "next").join(s, same)
         rows = rows.select(
-            "id", F.col("id_").alias("first"), "suffix", "next", "lang", F.concat_ws(" ", "p_phrase", "word").alias("phrase"), "f",
+            "id", "first", "suffix", "next", "lang", F.concat_ws(" ", "p_phrase", "word").alias("phrase"), "f",
             F.concat("p_ls", F.array("p_f")).alias("ls"), F.concat(F.array("s_f"), "s_rs").alias("rs"),
         )
         levels.append(materialize(rows, f"phrases-{k + 1}"))
-        if not last:
-            lists = longer.join(found, ["id_", "next"]).select("block", "id", "places")
+        if k + 1 < most_words:
+            # each block learns which of its phrases are frequent
+            known = found.groupBy("first", "part").agg(F.collect_list("next").alias("good"))
+            here = lists.select("block", "first", "part", "nexts").join(known, ["first", "part"]).select("block", "first", F.explode(F.array_intersect("nexts", "good")).alias("next"))
+            longer.append(materialize(here.join(found.select("first", "next", "id"), ["first", "next"]).select("block", "first", "next", "id"), f"names-{k + 1}"))
+        discard(lists)
     return levels, totals
 
 
