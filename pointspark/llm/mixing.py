@@ -92,16 +92,20 @@ def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, bloc
     Null and empty texts have size 0 and are never taken; texts are counted
     whole, however long, and once. Null doc_ids and repeated rows are rows like
     any other. The order inside a source comes from a hash of doc_id and text,
-    so reruns agree; rows without an id are dealt by the part of the input they
-    stand in too. An empty table gives no rows. There are as many blocks as the
+    so reruns agree, however the input is split; rows without an id that are
+    equal in all that is carried have a number each besides. An empty table gives no rows. There are as many blocks as the
     square root of the number of rows, unless told, so neither the rows of a
     block nor the blocks of a source are many.
     """
     kept = list(docs.columns if carried is None else carried)
     size, source_size, target, taken, positions, sk, sn, order, block, before, copies, salt = free_names(kept, "size", "source_size", "target", "taken", "positions", "sk", "sn", "mix_order", "mix_block", "mix_before", "mix_copies", "mix_salt")
-    dealt = F.when(F.col("doc_id").isNull(), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
-    base = docs.select(*kept, word_count(F.col("text")).alias(size), F.coalesce("source", F.lit("")).alias(sk), F.col("source").isNull().alias(sn), F.xxhash64("doc_id", "text").alias(order), dealt.alias(salt))
+    unnamed = free_names(docs.columns, "mix_unnamed")[0]
+    base = docs.select(*kept, word_count(F.col("text")).alias(size), F.coalesce("source", F.lit("")).alias(sk), F.col("source").isNull().alias(sn), F.xxhash64("doc_id", "text").alias(order), F.col("doc_id").isNull().alias(unnamed))
     base = materialize(base, "sizes")
+    # rows without an id that are equal in all that is carried are counted and numbered, so that many of them do not meet in one block
+    same = base.where(unnamed).groupBy(*base.columns).agg(F.count("*").alias(salt))
+    same = same.withColumn(salt, F.explode(F.sequence(F.lit(1).cast("long"), F.col(salt))))
+    base = base.where(~F.col(unnamed)).withColumn(salt, F.lit(0).cast("long")).unionByName(same).drop(unnamed)
     n_blocks = blocks or max(1, math.isqrt(base.count()))
     base = base.withColumn(block, F.pmod(F.xxhash64(F.lit(1), order, salt), F.lit(n_blocks)).cast("int"))
     sums = base.select(F.col(sk).alias("sk"), F.col(sn).alias("sn"), F.col(block).alias("block"), F.col(size).alias("size")).groupBy("sk", "sn", "block").agg(F.sum("size").alias("size"))
@@ -111,7 +115,7 @@ def mixing_plan(docs: DataFrame, schedule=SCHEDULE, repeats: int = REPEATS, bloc
     ready = starts.drop("size").join(by_source, ["sk", "sn"])
     ready = ready.select(F.col("sk").alias(sk), F.col("sn").alias(sn), F.col("block").alias(block), F.col("before").alias(before), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("cycle").alias(copies))
     joined = base.join(ready, [sk, sn, block])
-    within = Window.partitionBy(sk, sn, block).orderBy(order, salt, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(sk, sn, block).orderBy(order, salt, size, F.xxhash64(*kept)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn(before, F.col(before) + F.sum(size).over(within) - F.col(size))
     goal = F.round(F.col(target)).cast("long")
     each = []

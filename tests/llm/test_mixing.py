@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -109,3 +110,17 @@ def test_many_blocks_agree_with_one(spark):
     df = spark.createDataFrame(rows, common.SCHEMA)
     for blocks in (1, 97):
         check(*mixing.mixing_plan(df, blocks=blocks))
+
+
+def test_rows_without_an_id_do_not_depend_on_the_split(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 else i, common.prose(rng, rng.randint(1, 40)) if i % 5 else "the same text", "en", "abc"[i % 3], i % 7) for i in range(300)]
+    seen = []
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, common.SCHEMA).repartition(parts)
+        plan, (size, _, _, taken, _) = mixing.mixing_plan(docs, blocks=5)
+        seen.append(sorted((r.doc_id or -1, r.text, r.source, r.n_chars, r[size], r[taken]) for r in plan.collect()))
+        mixed = mixing.mix(docs, blocks=5)
+        seen.append(sorted(map(repr, mixed.groupBy(*mixed.columns).agg(F.count("*").alias("n")).collect())))
+    assert seen[0] == seen[2] == seen[4] and seen[1] == seen[3] == seen[5]
+    assert len(seen[0]) == 300
