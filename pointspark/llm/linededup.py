@@ -44,7 +44,13 @@ def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
 
 
 def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, n_docs) for the line keys found in at least min_docs rows of docs."""
+    """(key, n_docs) for the line keys found in at least min_docs documents of docs (doc_id, text).
+
+    Rows with one doc_id are one document; a row without one is a document of
+    its own. Null and empty texts are one empty line. An empty table has no
+    frequent lines.
+    """
+    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,15 +59,27 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
                 found.update({k for k in line_keys(text.as_py(), min_chars) if k is not None})
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["key", "n"])
 
-    return docs.select("text").mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {(i, k) for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for k in line_keys(text.as_py(), min_chars) if k is not None}
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())], ["doc_id", "key"])
+
+    alone, repeated = docs.select("doc_id", "text"), None
+    if twice.limit(1).count():
+        repeated = alone.join(twice, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pairs, "doc_id long, key binary").distinct()
+        alone = alone.join(twice, "doc_id", "left_anti")
+    counts = alone.select("text").mapInArrow(count, "key binary, n long")
+    if repeated is not None:
+        counts = counts.unionByName(repeated.groupBy("key").agg(F.count("*").alias("n")))
+    return counts.groupBy("key").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_limit: int = BROADCAST_LIMIT) -> tuple[DataFrame, list[str]]:
     """docs with shared lines taken out of text, and the names of two added columns: lines before, and dropped.
 
-    Keys of at least min_chars code points found in at least min_docs rows lose
-    all their lines. Each row counts as a document, repeated rows and rows with
-    a null doc_id too; a line that a row repeats counts once. Null and empty
+    Keys of at least min_chars code points found in at least min_docs documents
+    lose all their lines. Rows with one doc_id are one document and a row with a
+    null doc_id is one of its own; a line that a document repeats counts once. Null and empty
     texts are one empty line and come out empty. Other columns stay; the added
     names change where docs has them. An empty table gives an empty one.
 
