@@ -88,11 +88,14 @@ def occlusion_prompts(spark, d):
     return P.occlusion(p.where("sem = 0").select("cam", "point_idx", "row", "col", "depth"), seen).select("cam", "point_idx", "row", "col", "depth")
 
 
-@query("""SELECT CAST(i AS INTEGER) AS cam, round(i * 7853981633974483e-16, 9) AS yaw, round(cos(6283185307179586e-15 - i * 7853981633974483e-16) * (-tan(5e-1 + 3141592653589793e-15 - 3e-1) * 4e0), 6) + 0e0 AS x,
-round(sin(6283185307179586e-15 - i * 7853981633974483e-16) * (-tan(5e-1 + 3141592653589793e-15 - 3e-1) * 4e0), 6) + 0e0 AS y, 4e0 AS z FROM (SELECT n_nationkey AS i FROM nation WHERE n_nationkey < 8) t""")
+@query(f"""WITH {X.POSES}, r AS (SELECT CAST(i AS INTEGER) AS cam, i * 7853981633974483e-16 AS yaw, cos(6283185307179586e-15 - i * 7853981633974483e-16) * (-tan(5e-1 + 3141592653589793e-15 - 3e-1) * 4e0) AS x,
+sin(6283185307179586e-15 - i * 7853981633974483e-16) * (-tan(5e-1 + 3141592653589793e-15 - 3e-1) * 4e0) AS y FROM (SELECT n_nationkey AS i FROM nation WHERE n_nationkey < 8) t)
+SELECT frame, cam, round(yaw, 9) AS yaw, round(c * x - s * y + tx, 6) + 0e0 AS x, round(s * x + c * y, 6) + 0e0 AS y, 4e0 AS z FROM poses CROSS JOIN r""")
 def camera_ring(spark, d):
-    ring = P.camera_ring(spark, 8, 0.5, 0.3, 4.0)
-    return ring.select("cam", F.round("yaw", 9).alias("yaw"), (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"), "z")
+    """A ring of cameras about every pose, in the world."""
+    placed = X.poses(spark, d).crossJoin(F.broadcast(P.camera_ring(spark, 8, 0.5, 0.3, 4.0)))  # eight rows
+    moved = P.transform(placed, P.G.columns("m"))
+    return moved.select("frame", "cam", F.round("yaw", 9).alias("yaw"), (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"), "z")
 
 
 @query(f"""WITH {X.POINTS}, b AS (SELECT frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0 FROM points GROUP BY frame), n AS (SELECT n_nationkey AS k FROM nation)

@@ -13,7 +13,7 @@ from pointspark.plans.registry import query
 POINTS = X.POINTS
 
 
-@query(f"WITH {POINTS.replace('points AS', 'points AS MATERIALIZED')}, g AS (SELECT CAST(frame AS BIGINT) * 100000000 + point_idx AS k FROM points WHERE z <= -1e0) SELECT frame, point_idx, x, y, z FROM points WHERE CAST(frame AS BIGINT) * 100000000 + point_idx NOT IN (SELECT k FROM g)")
+@query(f"WITH {POINTS}, f AS (SELECT *, max(CASE WHEN z <= -1e0 THEN 1 ELSE 0 END) OVER (PARTITION BY frame, point_idx) AS ground FROM points) SELECT frame, point_idx, x, y, z FROM f WHERE ground = 0")
 def ground_anti(spark, d):
     p = X.points(spark, d).select("frame", "point_idx", "x", "y", "z")
     return p.join(p.where("z <= -1").select("frame", "point_idx"), ["frame", "point_idx"], "left_anti")

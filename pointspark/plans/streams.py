@@ -50,13 +50,13 @@ def stream_keyframes(spark, d):
 @query()
 def stream_tracker(spark, d):
     """The boxes of every frame through the stateful tracker; the tests hold it against the batch fold."""
-    boxes = moving_boxes(spark, d).withColumn("seq", F.col("seq").cast("bigint")).withColumn("ts", F.timestamp_seconds("frame"))
+    boxes = moving_boxes(spark, d).withColumn("seq", F.col("seq").cast("bigint")).withColumn("ts", F.timestamp_seconds(F.col("frame") + 1))
     return S.drained(S.stream_tracks(streamed(boxes, "boxes")))
 
 
 @query()
 def stream_superframes(spark, d):
     """The superframe of every frame, from points as a stream; the tests hold it against the batch plan."""
-    p = X.points(spark, d).select(F.timestamp_seconds("frame").alias("ts"), "frame", "x", "y", "z", "intensity")
-    poses = X.poses(spark, d).withColumn("ts", F.timestamp_seconds("frame"))
+    p = X.points(spark, d).select(F.timestamp_seconds(F.col("frame") + 1).alias("ts"), "frame", "x", "y", "z", "intensity")
+    poses = X.poses(spark, d).withColumn("ts", F.timestamp_seconds(F.col("frame") + 1))
     return S.drained(S.stream_superframes(streamed(p, "points"), poses, 3, 2.0))

@@ -8,6 +8,12 @@ that Spark knows will do.
 
 from __future__ import annotations
 
+import glob
+import itertools
+import os
+import shutil
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,12 +24,21 @@ from pointspark.functions import geometry as G
 
 POINT_SCHEMA = "seq string, frame int, point_idx int, x double, y double, z double, intensity double"
 LABEL_SCHEMA = "seq string, frame int, point_idx int, label bigint"
+#: Bytes of files that one task of the scan source reads.
+PART_BYTES = 64 << 20
+#: Where label files stay that the last write replaced.
+FORMER = ".former"
 NUMBERED = r"([^/]+)/[^/]+/([0-9]+)\.[a-z]+$"
 
 
-def _files(spark: SparkSession, path: str, folder: str, suffix: str) -> DataFrame:
-    """(seq, frame, content) of a sequence's or several sequences' files; path may hold a pattern."""
+def _files(spark: SparkSession, path: str, folder: str, suffix: str, frames: tuple[int, int] | None = None) -> DataFrame:
+    """(seq, frame, content) of a sequence's or several sequences' files; path may hold a pattern, frames is a first and a last one.
+
+    Frames are chosen by the names of files, which Spark knows before it opens any.
+    """
     df = spark.read.format("binaryFile").load(f"{path}/{folder}/*.{suffix}")
+    if frames is not None:
+        df = df.where(F.regexp_extract("_metadata.file_name", r"^([0-9]+)\.", 1).cast("int").between(*frames))
     return df.select(F.regexp_extract("path", NUMBERED, 1).alias("seq"), F.regexp_extract("path", NUMBERED, 2).cast("int").alias("frame"), "content")
 
 
@@ -45,14 +60,14 @@ def decode(kind: str):
     return run
 
 
-def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Points of every scan."""
-    return _files(spark, path, "velodyne", "bin").mapInArrow(decode("points"), POINT_SCHEMA)
+def read_scans(spark: SparkSession, path: str, frames: tuple[int, int] | None = None) -> DataFrame:
+    """Points of every scan, or of those from a first to a last frame, whose files alone are opened."""
+    return _files(spark, path, "velodyne", "bin", frames).mapInArrow(decode("points"), POINT_SCHEMA)
 
 
-def read_labels(spark: SparkSession, path: str, folder: str = "labels") -> DataFrame:
-    """Labels of every scan."""
-    return _files(spark, path, folder, "label").mapInArrow(decode("labels"), LABEL_SCHEMA)
+def read_labels(spark: SparkSession, path: str, folder: str = "labels", frames: tuple[int, int] | None = None) -> DataFrame:
+    """Labels of every scan, or of those from a first to a last frame."""
+    return _files(spark, path, folder, "label", frames).mapInArrow(decode("labels"), LABEL_SCHEMA)
 
 
 def check_labels(labels: DataFrame, scans: DataFrame | None = None) -> DataFrame:
@@ -65,12 +80,18 @@ def check_labels(labels: DataFrame, scans: DataFrame | None = None) -> DataFrame
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class ScanSource(DataSource):
-    """format("lidar_scan"): points of .bin files under a local or mounted path."""
+    """format("lidar_scan"): points of .bin files under a local or mounted path, which may be a pattern.
+
+    The options first_frame and last_frame choose the files that are opened.
+    (Conditions that Spark hands to a Python source stay with the loaded table
+    and would hold in its later queries too, so they are not taken.) A part
+    holds files of part_bytes (an option) together, or one larger file.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -80,26 +101,41 @@ class ScanSource(DataSource):
         return POINT_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _ScanReader(self.options["path"])
+        last = self.options.get("last_frame")
+        return _ScanReader(self.options["path"], int(self.options.get("part_bytes", PART_BYTES)), int(self.options.get("first_frame", 0)), int(last) if last is not None else None)
 
 
 class _ScanReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, part_bytes: int = PART_BYTES, first: int = 0, last: int | None = None):
+        self.path, self.part_bytes, self.first, self.last = path, part_bytes, first, last
 
-    def partitions(self):
-        import glob
+    def wanted(self, name: str) -> bool:
+        stem, kind = os.path.splitext(name)
+        if kind != ".bin" or not stem.isdigit():
+            return False
+        return self.first <= int(stem) and (self.last is None or int(stem) <= self.last)
 
-        return [_Part(p) for p in sorted(glob.glob(f"{self.path}/velodyne/*.bin"))]
+    def partitions(self):
+        """Files in the order of their names, several to a part."""
+        parts, paths, size = [], [], 0
+        for folder in sorted(glob.glob(f"{self.path}/velodyne")):
+            with os.scandir(folder) as found:
+                for e in sorted((e for e in found if self.wanted(e.name)), key=lambda e: e.name):
+                    own = e.stat().st_size
+                    if paths and size + own > self.part_bytes:
+                        parts.append(_Part(paths))
+                        paths, size = [], 0
+                    paths.append(e.path)
+                    size += own
+        return [*parts, _Part(paths)]
 
     def read(self, partition):
-        import os
-
-        with open(partition.path, "rb") as f:
-            raw = f.read()
-        seq = os.path.basename(os.path.dirname(os.path.dirname(partition.path)))
-        frame = int(os.path.splitext(os.path.basename(partition.path))[0])
-        yield from decode("points")([pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([frame], pa.int32()), pa.array([raw], pa.binary())], ["seq", "frame", "content"])])
+        for path in partition.paths:
+            with open(path, "rb") as f:
+                raw = f.read()
+            seq = os.path.basename(os.path.dirname(os.path.dirname(path)))
+            frame = int(os.path.splitext(os.path.basename(path))[0])
+            yield from decode("points")([pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([frame], pa.int32()), pa.array([raw], pa.binary())], ["seq", "frame", "content"])])
 
 
 class LabelSink(DataSource):
@@ -116,24 +152,61 @@ class LabelSink(DataSource):
         return _LabelWriter(self.options["path"], schema.names)
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
 class _LabelWriter(DataSourceWriter):
+    """Files are staged by the tasks and take their places when all tasks have ended well; what they replace is kept."""
+
     def __init__(self, path: str, names: list[str]):
-        self.path, self.at = path, {n: i for i, n in enumerate(names)}
+        self.path, self.at, self.job = path, {n: i for i, n in enumerate(names)}, uuid.uuid4().hex
+        self.staged = f"{path}/.staged-{self.job}"
 
     def write(self, rows) -> WriterCommitMessage:
-        import itertools
-        import os
-
         seq, frame, label = (self.at[n] for n in ("seq", "frame", "label"))
+        files = []
         for (s, f), group in itertools.groupby(rows, key=lambda r: (r[seq], r[frame])):
-            folder = f"{self.path}/{s}/labels"
-            os.makedirs(folder, exist_ok=True)
-            values = np.array([r[label] for r in group], np.int64).astype("<u4")
-            # a finished file takes the name, so a task that is run again leaves no half of one
-            with open(f"{folder}/.{f:06d}.{os.getpid()}", "wb") as out:
-                out.write(values.tobytes())
-            os.replace(out.name, f"{folder}/{f:06d}.label")
-        return WriterCommitMessage()
+            # a name of the attempt's own: a task that runs twice leaves two files, of which one is committed
+            staged = f"{self.staged}/{s}/{f:06d}.{uuid.uuid4().hex}"
+            os.makedirs(os.path.dirname(staged), exist_ok=True)
+            with open(staged, "wb") as out:
+                out.write(np.array([r[label] for r in group], np.int64).astype("<u4").tobytes())
+            files.append((staged, f"{s}/labels/{f:06d}.label"))
+        return _Written(files)
+
+    def commit(self, messages) -> None:
+        files = [x for m in messages if m is not None for x in m.files]
+        if len({to for _, to in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("rows of one frame were in several partitions")
+        former = f"{self.path}/{FORMER}"
+        if os.path.isdir(former):
+            shutil.rmtree(former)
+        # first the old version is complete in its new place, then the new one comes
+        for _, to in files:
+            if os.path.exists(f"{self.path}/{to}"):
+                os.makedirs(os.path.dirname(f"{former}/{to}"), exist_ok=True)
+                os.link(f"{self.path}/{to}", f"{former}/{to}")
+        for staged, to in files:
+            os.makedirs(os.path.dirname(f"{self.path}/{to}"), exist_ok=True)
+            os.replace(staged, f"{self.path}/{to}")
+        shutil.rmtree(self.staged, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.staged, ignore_errors=True)
+
+
+def restore_labels(path: str) -> int:
+    """Puts back the label files that the last write replaced, and says how many; files that were new then stay."""
+    former, n = f"{path}/{FORMER}", 0
+    for folder, _, names in os.walk(former):
+        for name in names:
+            os.replace(f"{folder}/{name}", f"{path}/{os.path.relpath(folder, former)}/{name}")
+            n += 1
+    shutil.rmtree(former, ignore_errors=True)
+    return n
 
 
 def register(spark: SparkSession) -> None:

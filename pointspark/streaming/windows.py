@@ -96,7 +96,8 @@ class InOrder(StatefulProcessor):
     Rows wait in the state until the watermark has passed their time; a timer
     then hands them on, all rows of a time at once, times ascending. A row that
     is not newer than the watermark is late and left out, as in any operator on
-    event time; so is one without a time. A row without a value only moves the
+    event time; so is one without a time, or of 1970 or before, where every
+    watermark begins. A row without a value only moves the
     time on: one such row, far enough ahead, ends a finite stream.
     """
 

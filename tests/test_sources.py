@@ -90,6 +90,84 @@ def test_stages(spark, tmp_path):
     assert stages.progress(1, 4) == "Progress: 25%"
 
 
+@pytest.fixture
+def long_drive(tmp_path):
+    folder = tmp_path / "drives/07/velodyne"
+    os.makedirs(folder)
+    for f in range(30):
+        np.full(4 * (1 + f % 3), f, "<f4").tofile(folder / f"{f:06d}.bin")
+    return str(tmp_path / "drives/07")
+
+
+def test_frames_choose_files(spark, long_drive):
+    scans.register(spark)
+    whole = spark.read.format("lidar_scan").option("path", long_drive)
+    some = whole.load(), spark.read.format("lidar_scan").option("path", long_drive).option("first_frame", 10).option("last_frame", 20).load()
+    assert [df.count() for df in some] == [60, sum(1 + f % 3 for f in range(10, 21))]
+    for f in range(30):
+        if not 10 <= f <= 20:  # a folder cannot be opened as a file
+            os.remove(f"{long_drive}/velodyne/{f:06d}.bin")
+            os.mkdir(f"{long_drive}/velodyne/{f:06d}.bin")
+    assert {r.frame for r in some[1].collect()} == set(range(10, 21))
+
+
+def test_eleven_files_are_opened_for_eleven_frames(spark, long_drive):
+    df = scans.read_scans(spark, long_drive, (10, 20))
+    assert sorted((r.frame, r.point_idx) for r in df.collect()) == [(f, i) for f in range(10, 21) for i in range(1 + f % 3)]
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.metrics().get("numFiles").isEmpty():
+        plan = plan.children().head()
+    plan.execute()
+    assert plan.metrics().apply("numFiles").value() == 11
+    assert scans.read_scans(spark, long_drive).count() == 60
+
+
+def test_parts_hold_several_files(long_drive):
+    reader = scans._ScanReader(long_drive, 100)
+    parts = [[os.path.getsize(p) for p in part.paths] for part in reader.partitions()]
+    assert sum(map(len, parts)) == 30 and all(sum(p) <= 100 for p in parts) and len(parts) < 15
+    assert [len(p.paths) for p in scans._ScanReader(os.path.dirname(long_drive) + "/*", 10**9).partitions()] == [30]
+
+
+def labels_of(spark, path):
+    return {(r.frame, r.point_idx): r.label for r in scans.read_labels(spark, f"{path}/00").collect()}
+
+
+def test_a_failed_write_leaves_the_old_labels(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path)
+    old = spark.createDataFrame([("00", f, i, 7) for f in range(8) for i in range(3)], scans.LABEL_SCHEMA)
+    scans.write_labels(old, path)
+    before = labels_of(spark, path)
+    assert len(before) == 24
+    scans.register(spark)
+    # one task fails after others have written all their frames
+    bad = old.repartition(4, "frame").sortWithinPartitions("frame", "point_idx").withColumn("label", F.when(F.col("frame") == 5, F.assert_true(F.lit(False), "no").cast("long")).otherwise(F.lit(9)).cast("long"))
+    with pytest.raises(Exception):
+        bad.write.format("lidar_label").mode("append").option("path", path).save()
+    assert labels_of(spark, path) == before and not [n for n in os.listdir(path) if n.startswith(".staged")]
+
+
+def test_the_version_before_can_be_put_back(spark, tmp_path):
+    path = str(tmp_path)
+    rows = lambda v, frames: spark.createDataFrame([("00", f, i, v) for f in frames for i in range(2)], scans.LABEL_SCHEMA)
+    scans.write_labels(rows(1, range(4)), path)
+    scans.write_labels(rows(2, range(2, 6)), path)
+    assert labels_of(spark, path) == {(f, i): 1 if f < 2 else 2 for f in range(6) for i in range(2)}
+    assert scans.restore_labels(path) == 2
+    assert labels_of(spark, path) == {(f, i): 1 if f < 4 else 2 for f in range(6) for i in range(2)}
+    assert scans.restore_labels(path) == 0
+
+
+def test_a_frame_in_two_partitions_is_refused(spark, tmp_path):
+    scans.register(spark)
+    rows = spark.createDataFrame([("00", 0, i, 1) for i in range(4)], scans.LABEL_SCHEMA).repartition(2, "point_idx")
+    with pytest.raises(Exception, match="several partitions"):
+        rows.write.format("lidar_label").mode("append").option("path", str(tmp_path)).save()
+    assert not os.path.exists(tmp_path / "00/labels/000000.label")
+
+
 def test_trajectory_writer(spark, tmp_path):
     e = spark.createDataFrame([(0, 10 * i, 100.0, 0.01, 0.1, 4.0) for i in range(4)], "seq int, first int, len double, r_err double, t_err double, speed double")
     stages.write_errors(e, str(tmp_path))
