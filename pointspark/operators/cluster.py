@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pointspark.functions import geometry as G
 from pointspark.operators.graph import connected_components
-from pointspark.operators.joins import box_pairs, boxes, radius_join
+from pointspark.operators.joins import box_pairs, boxes, neighbour_cells, radius_join
 from pointspark.session import materialize
 
 VOXEL = ("vx", "vy", "vz")
@@ -24,15 +25,77 @@ def dbscan(points: DataFrame, eps: float, min_points: int, key: str, axes: tuple
 
     key identifies a point over all groups. A point counts itself; a border
     point goes to the nearest core point, then the smaller key.
+
+    Cells have a diagonal of eps, so the points of a cell with min_points or
+    more are all core, and one node; only points of emptier cells are compared
+    with those around them, of which each cell has less than min_points. Full
+    cells are linked where a pair of theirs is within eps, which their boxes
+    tell for most.
+    """
+    # as many cells each way as eps reaches; a hair smaller, so that rounding cannot make a diagonal longer
+    side = eps / math.sqrt(len(axes)) * (1 - 1e-12)
+    cell = [f"cell_{a}" for a in axes]
+    p = points.select(key, *by, *axes, *[F.floor(F.col(a) / F.lit(side)).cast("bigint").alias(c) for a, c in zip(axes, cell, strict=True)])
+    box = [f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    full = materialize(p.groupBy(*by, *cell).agg(F.count("*").alias("n"), F.min(key).alias("node"), *box).where(F.col("n") >= min_points), "full-cells")
+    # the node of a point in a full cell, null elsewhere
+    p = materialize(p.join(full.select(*by, *cell, "node"), [*by, *cell], "left"), "points")
+    thin = p.where("node is null").select(key, *by, *axes)
+    pairs = radius_join(thin, p.select(key, *by, *axes, "node"), axes, eps, by, spread="left")
+    pairs = materialize(pairs.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), F.col("r_node").alias("b_node"), "d2"), "neighbours")
+    core = materialize(pairs.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("c"), "core")
+    # core neighbours by their node: a full cell's, or a core point itself
+    in_full = pairs.where("b_node is not null").withColumn("to", F.col("b_node"))
+    in_thin = pairs.where("b_node is null").join(core.withColumnRenamed("c", "b"), "b", "left_semi").withColumn("to", F.col("b"))
+    near = materialize(in_full.unionByName(in_thin.select(*in_full.columns)), "core-neighbours")
+    edges = near.join(core.withColumnRenamed("c", "a"), "a", "left_semi").select("a", F.col("to").alias("b"))
+    alone = full.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    groups = materialize(connected_components(edges.unionByName(full_cell_links(p, full, eps, axes, cell, by)).unionByName(alone)), "groups")
+    best = near.join(groups, near["to"] == groups["node"]).groupBy("a").agg(F.min_by("component", F.struct("d2", "b")).alias("cluster"))
+    thin_found = thin.select(key, *by).join(best, F.col(key) == F.col("a"), "left").select(key, *by, "cluster")
+    full_found = p.where("node is not null").select(key, *by, F.col("node").alias("of")).join(groups, F.col("of") == F.col("node")).select(key, *by, F.col("component").alias("cluster"))
+    return thin_found.unionByName(full_found)
+
+
+def full_cell_links(points: DataFrame, full: DataFrame, eps: float, axes: tuple[str, ...], cell: list[str], by: tuple[str, ...]) -> DataFrame:
+    """(a, b): nodes of full cells with points at most eps apart.
+
+    Cells whose boxes lie within eps whole, or beyond it, need no points. Of the
+    others the points within eps of the other cell's box meet in one group for a
+    pair of cells, and are compared block by block until one pair is near; no
+    pair of points is written.
     """
-    p = points.select(key, *by, *axes)
-    pairs = materialize(radius_join(p, p, axes, eps, by).select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), "d2"), "neighbours")
-    core = pairs.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("c")
-    core = materialize(core, "core")
-    linked = pairs.join(core.withColumnRenamed("c", "a"), "a", "left_semi").join(core.withColumnRenamed("c", "b"), "b", "left_semi")
-    comps = connected_components(linked.select("a", "b"))
-    near = pairs.join(comps, pairs["b"] == comps["node"]).groupBy("a").agg(F.min_by("component", F.struct("d2", "b")).alias("cluster"))
-    return p.select(key, *by).join(near, F.col(key) == F.col("a"), "left").select(key, *by, "cluster")
+    reach = math.ceil(math.sqrt(len(axes)))
+    spans = [f"{n}_{a}" for a in axes for n in ("lo", "hi")]
+    own = full.select(*by, *cell, "node", *spans)
+    moved = [F.col(c).alias(f"at_{c}") for c in cell]
+    here = own.select(*by, *moved, "node", *spans).withColumn("g", F.explode(neighbour_cells([F.col(f"at_{c}") for c in cell], reach)))
+    here = here.select(*by, "node", *spans, *[F.col(f"g.g{i}").alias(c) for i, c in enumerate(cell)])
+    met = here.join(own.select(*by, *cell, F.col("node").alias("other"), *[F.col(c).alias(f"o_{c}") for c in spans]), [*by, *cell]).where("node < other")
+    col = F.col
+    least = sum((F.pow(F.greatest(col(f"lo_{a}") - col(f"o_hi_{a}"), col(f"o_lo_{a}") - col(f"hi_{a}"), F.lit(0)), 2) for a in axes), F.lit(0.0))
+    most = sum((F.pow(F.greatest(col(f"hi_{a}") - col(f"o_lo_{a}"), col(f"o_hi_{a}") - col(f"lo_{a}")), 2) for a in axes), F.lit(0.0))
+    met = materialize(met.withColumns({"least": least, "most": most}).where(col("least") <= eps * eps), "cell-pairs")
+    sure, open_ = met.where(col("most") <= eps * eps).select(col("node").alias("a"), col("other").alias("b")), met.where(col("most") > eps * eps)
+    placed = points.where("node is not null").select("node", *axes)
+
+    def reaching(mine: str, prefix: str, side: int) -> DataFrame:
+        """Points of one cell of each open pair that the other's box has within eps."""
+        to_box = sum((F.pow(F.greatest(col(f"b_lo_{a}") - col(a), col(a) - col(f"b_hi_{a}"), F.lit(0)), 2) for a in axes), F.lit(0.0))
+        want = open_.select(col("node").alias("a"), col("other").alias("b"), col(mine).alias("node"), *[col(prefix + c).alias(f"b_{c}") for c in spans])
+        return placed.join(want, "node").where(to_box <= eps * eps).select("a", "b", F.lit(side).alias("side"), *[col(a).cast("double").alias(a) for a in axes])
+
+    def any_near(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, side = pdf[list(axes)].to_numpy(np.float64), pdf["side"].to_numpy()
+        x, y = v[side == 0], v[side == 1]
+        hit = any((((x[i : i + 256, None] - y[None, j : j + 256]) ** 2).sum(-1) <= eps * eps).any() for i in range(0, len(x), 256) for j in range(0, len(y), 256))
+        return pdf[["pair"]].iloc[: int(hit)]
+
+    both = reaching("node", "o_", 0).unionByName(reaching("other", "", 1))
+    # a pair of cells goes by a number of its own, as nodes may be of any kind
+    numbers = materialize(open_.select(col("node").alias("a"), col("other").alias("b")).withColumn("pair", F.monotonically_increasing_id()), "open-pairs")
+    hits = both.join(numbers, ["a", "b"]).select("pair", "side", *axes).groupBy("pair").applyInPandas(any_near, "pair long")
+    return sure.unionByName(numbers.join(hits, "pair", "left_semi").select("a", "b"))
 
 
 def regions(voxels: DataFrame, radius: float, key: str, by: tuple[str, ...] = ()) -> DataFrame:

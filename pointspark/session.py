@@ -69,11 +69,12 @@ _written: dict[str, list[str]] = {}
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove the files of tables that materialize gave; nothing may read them any more."""
+    """Remove the files of tables that materialize gave, if release has not done so; nothing may read them any more."""
     for df in tables:
-        path = df.written_path
-        _remove(df.sparkSession, path)
-        _written[df.sparkSession.sparkContext.applicationId].remove(path)
+        known = _written.get(df.sparkSession.sparkContext.applicationId, [])
+        if df.written_path in known:
+            _remove(df.sparkSession, df.written_path)
+            known.remove(df.written_path)
 
 
 def release(spark: SparkSession) -> int:

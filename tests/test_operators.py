@@ -430,3 +430,58 @@ def test_hulls_together():
     for i in range(300):
         assert sorted(set(zip(x[at == i].tolist(), y[at == i].tolist(), strict=True))) == sorted(P.hull_fill(list(zip(xs[i].tolist(), ys[i].tolist(), strict=True))))
     assert [len(v) for v in P.hull_runs(xs[:0], ys[:0])] == [0, 0, 0]
+
+
+def dense_clusters(rows, eps, least):
+    """Density clusters by their definition: rows (key, place)."""
+    near = {a: [b for b, q in rows if sum((x - y) ** 2 for x, y in zip(p, q, strict=True)) <= eps * eps] for a, p in rows}
+    place, core = dict(rows), {a for a in near if len(near[a]) >= least}
+    root = {a: a for a in core}
+    changed = True
+    while changed:
+        changed = False
+        for a in core:
+            low = min(root[b] for b in near[a] if b in core)
+            if low < root[a]:
+                root[a], changed = low, True
+    out = {}
+    for a in near:
+        d = [(sum((x - y) ** 2 for x, y in zip(place[a], place[b], strict=True)), b) for b in near[a] if b in core]
+        out[a] = root[min(d)[1]] if d else None
+    return out
+
+
+@pytest.mark.parametrize("seed,axes", [(1, ("x", "y")), (2, ("x", "y", "z")), (3, ("x", "y", "z"))])
+def test_full_cells_are_one_node(spark, seed, axes):
+    rng = np.random.default_rng(seed)
+    middles = rng.uniform(-6, 6, (5, len(axes)))
+    spread = rng.choice([0.15, 0.5, 1.2], 5)
+    v = np.concatenate([rng.normal(m, s, (45, len(axes))) for m, s in zip(middles, spread, strict=True)] + [rng.uniform(-8, 8, (40, len(axes)))])
+    v[:20] = np.round(v[:20])
+    rows = [(i, tuple(x)) for i, x in enumerate(v.tolist())]
+    df = spark.createDataFrame([(i, i % 2, *x) for i, x in rows], "key long, part long, " + ", ".join(f"{a} double" for a in axes))
+    for eps, least in ((0.6, 4), (1.0, 12)):
+        assert {r.key: r.cluster for r in C.dbscan(df, eps, least, "key", axes).collect()} == dense_clusters(rows, eps, least)
+    halves = {}
+    for half in (0, 1):
+        halves |= dense_clusters([r for r in rows if r[0] % 2 == half], 0.8, 5)
+    assert {r.key: r.cluster for r in C.dbscan(df, 0.8, 5, "key", axes, ("part",)).collect()} == halves
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_cell(spark, monkeypatch):
+    """A thousand points in one place and some around them: no pair within the place is made."""
+    made = {}
+    keep = C.materialize
+
+    def counted(df, label):
+        out = keep(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(C, "materialize", counted)
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.uniform(0, 0.2, (1000, 3)), rng.uniform(0.2, 1.5, (10, 3)), rng.uniform(5, 9, (5, 3))])
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(v.tolist())], "key long, x double, y double, z double")
+    got = {r.key: r.cluster for r in C.dbscan(df, 1.0, 8, "key", ("x", "y", "z")).collect()}
+    assert all(got[i] == 0 for i in range(1000)) and made["neighbours"] <= 15 * 1015
+    assert got == dense_clusters([(i, tuple(x)) for i, x in enumerate(v.tolist())], 1.0, 8)
