@@ -17,6 +17,7 @@ from pointspark.operators import fusion, ordered
 from pointspark.operators import joins as J
 from pointspark.operators import spatial as P
 from pointspark.session import materialize
+from pointspark.sources.stages import Manifest, Stages
 
 
 def mask_votes(points: DataFrame, masks: DataFrame, poses: DataFrame, pixels: list[tuple], width: int, voxel: float) -> DataFrame:
@@ -101,7 +102,7 @@ def clicks(cells: DataFrame, prompts: DataFrame, poses: DataFrame, views: Views,
 
 def prelabel_scans(
     points: DataFrame, poses: DataFrame, model: Callable | None = None, views: Views | None = None, width: int = 7, voxel: float = 0.2,
-    scales: tuple[tuple[float, int], ...] = ((0.6, 30), (1.2, 50)), video: Callable | None = None, **how,
+    scales: tuple[tuple[float, int], ...] = ((0.6, 30), (1.2, 50)), video: Callable | None = None, stages: Stages | None = None, **how,
 ) -> DataFrame:
     """(frame, point_idx, label) from scans and poses alone: ground apart, keyframes, prompts, pictures, clicks, masks, then prelabel.
 
@@ -109,23 +110,45 @@ def prelabel_scans(
     cam, obj_id, row, col); video starts a session that follows an object
     through pictures (udtf.video_masks), with the clicks of its negatives. One
     of them is needed.
+
+    With stages, what an earlier run made of the same rows and parameters is
+    read: stage by stage, and the masks of single pictures frame by frame. A
+    model is known by its name, so a changed one needs another.
     """
     if (model is None) == (video is None):
         raise ValueError("give a model for single pictures or one for pictures in sequence")
     views = views or Views.ring(points.sparkSession)
-    split = materialize(ground_split(points), "split")
-    cells = materialize(P.superframe_voxels(split.where("part = 'other'"), poses, width, voxel), "superframes")
+    done = None if stages is None else Manifest(stages, points=points, poses=poses)
+    split = step(done, "split", lambda: ground_split(points), ("points",))
+    cells = step(done, "superframes", lambda: P.superframe_voxels(split.where("part = 'other'"), poses, width, voxel), ("split", "poses"), width=width, voxel=voxel)
     keys = ordered.keyframes(poses.withColumn("seq", F.lit(0)), width).select("frame")
-    prompts, negatives = prompt_places(cells, keys, voxel, scales)
-    asked = materialize(clicks(cells, prompts, poses, views, width, voxel), "clicks")
-    masks = masks_from(asked, model) if model else video_masks(asked, negatives, video)
-    masks = materialize(masks, "masks")
-    return prelabel(points, poses, masks, prompts, width=width, voxel=voxel, pixel=[views.pixel(k)[:3] for k in range(len(views.matrices))], split=split, **how)
+    found: list[DataFrame] = []
+
+    def places(i: int) -> DataFrame:
+        if not found:
+            found.extend(prompt_places(cells, keys, voxel, scales))
+        return found[i]
+
+    prompts, negatives = (step(done, name, lambda i=i: places(i), ("superframes",), scales=scales) for i, name in enumerate(("prompts", "negatives")))
+    asked = step(done, "clicks", lambda: clicks(cells, prompts, poses, views, width, voxel), ("superframes", "prompts", "poses"), views=views)
+    name = getattr(model or video, "__qualname__", str(model or video))
+    if model is None:
+        masks = step(done, "masks", lambda: video_masks(asked, negatives, video), ("clicks", "negatives"), model=name)
+    elif done is None:
+        masks = materialize(masks_from(asked, model), "masks")
+    else:
+        masks = done.by_frame("masks", asked, lambda rows: masks_from(rows, model), model=name)
+    return prelabel(points, poses, masks, prompts, width=width, voxel=voxel, pixel=[views.pixel(k)[:3] for k in range(len(views.matrices))], split=split, done=done, **how)
+
+
+def step(done: Manifest | None, name: str, make: Callable[[], DataFrame], after: tuple[str, ...], **parameters) -> DataFrame:
+    """A written stage: by the manifest, or for this run alone."""
+    return materialize(make(), name) if done is None else done.get(name, make, after, **parameters)
 
 
 def prelabel(
     points: DataFrame, poses: DataFrame, masks: DataFrame, prompts: DataFrame | None = None, width: int = 7, voxel: float = 0.2,
-    pixel: tuple | list[tuple] | None = None, radius: float = 2.0, threshold: float = 0.7, split: DataFrame | None = None,
+    pixel: tuple | list[tuple] | None = None, radius: float = 2.0, threshold: float = 0.7, split: DataFrame | None = None, done: Manifest | None = None,
 ) -> DataFrame:
     """(frame, point_idx, label) for every point of a sequence.
 
@@ -138,23 +161,37 @@ def prelabel(
     that was done before. Stages are written, so a lost executor costs one of
     them.
     """
-    split = split if split is not None else materialize(ground_split(points), "split")
+    if done is not None:
+        for given, df in (("points", points), ("poses", poses), ("masks", masks), ("prompts", prompts), ("split", split)):
+            if given not in done.known and df is not None:
+                done.add(given, df)
+    asked = () if prompts is None else ("prompts",)
+    split = split if split is not None else step(done, "split", lambda: ground_split(points), ("points",))
     rest = split.where("part = 'other'").drop("part")
-    cells = materialize(rest.select("frame", *P.voxel_keys(voxel)).distinct(), "voxels")
+    cells = step(done, "voxels", lambda: rest.select("frame", *P.voxel_keys(voxel)).distinct(), ("split",), voxel=voxel)
     pixels = [pixel] if isinstance(pixel, tuple) else pixel or default_pixels()
-    votes = mask_votes(rest, masks, poses, pixels, width, voxel).join(cells, ["frame", *C.VOXEL], "left_semi")
-    votes = materialize(votes, "mask-votes")
-    placed = None if prompts is None else P.prompt_voxels(prompts, votes, poses, voxel)
-    fused, sets = fusion.fuse_with_sets(cells, votes, placed, radius=radius)
-    fused = materialize(fused, "fused")
-    pairs = A.temporal_jaccard(A.pair_frames(sets), A.lifetimes(masks.select("obj_id", "frame"), half=width // 2), threshold=threshold)
-    unified = materialize(J.remap(fused, C.unified_ids(pairs.select("a", "b")), "label"), "unified")
-    labelled = materialize(fusion.point_labels(rest, unified, voxel), "labelled")
+    votes = step(done, "mask-votes", lambda: mask_votes(rest, masks, poses, pixels, width, voxel).join(cells, ["frame", *C.VOXEL], "left_semi"), ("voxels", "split", "masks", "poses"), width=width, pixels=pixels)
+    found: list[DataFrame] = []
+
+    def fuse(i: int) -> DataFrame:
+        if not found:
+            placed = None if prompts is None else P.prompt_voxels(prompts, votes, poses, voxel)
+            found.extend(fusion.fuse_with_sets(cells, votes, placed, radius=radius))
+        return found[i]
+
+    fused, sets = (step(done, name, lambda i=i: fuse(i), ("voxels", "mask-votes", "poses", *asked), radius=radius) for i, name in enumerate(("fused", "sets")))
+
+    def unify() -> DataFrame:
+        pairs = A.temporal_jaccard(A.pair_frames(sets), A.lifetimes(masks.select("obj_id", "frame"), half=width // 2), threshold=threshold)
+        return J.remap(fused, C.unified_ids(pairs.select("a", "b")), "label")
+
+    unified = step(done, "unified", unify, ("fused", "sets", "masks"), width=width, threshold=threshold)
+    labelled = step(done, "labelled", lambda: fusion.point_labels(rest, unified, voxel), ("split", "unified"), voxel=voxel)
     world = P.to_world(labelled.where("label >= 1000"), poses)
     boxes = A.bounding_boxes(world, "frame", "label").withColumn("seq", F.lit(0))
     tracks = ordered.track(boxes).select("frame", "label", "new_label")
     final = labelled.join(tracks, ["frame", "label"], "left").select("frame", "point_idx", F.coalesce("new_label", "label").alias("label"))
     ground = split.where("part <> 'other'").select("frame", "point_idx", F.lit(0).cast("bigint").alias("label"))
-    whole = materialize(final.unionByName(ground), "tracked")
+    whole = step(done, "tracked", lambda: final.unionByName(ground), ("labelled", "split", "poses"))
     dense = ordered.dense_ids(whole, "label", ("frame", "point_idx"), 1025)
     return whole.join(dense, "label").select("frame", "point_idx", F.col("dense").alias("label"))

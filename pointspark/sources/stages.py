@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +53,72 @@ class Stages:
         return kept
 
 
+def content(df: DataFrame) -> list:
+    """Aggregates that tell what rows df has, in whatever order: their number and two sums of hashes."""
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(38,0)")).cast("string")
+    return [F.count("*").cast("string").alias("n"), total(1).alias("h1"), total(2).alias("h2")]
+
+
+def named(*what: Any) -> str:
+    return hashlib.sha256(json.dumps(what, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+class Manifest:
+    """Stages whose tables are named after what they are made from, so that a run reads what an earlier one has made of the same.
+
+    A stage depends on its parameters and on inputs and stages before it. An
+    input is known by its content, a stage by its own dependencies, so a changed
+    parameter makes anew its stage and those after it, and no others.
+    """
+
+    def __init__(self, stages: Stages, **inputs: DataFrame):
+        self.stages, self.known = stages, {}
+        for name, df in inputs.items():
+            self.add(name, df)
+
+    def add(self, name: str, df: DataFrame) -> None:
+        self.known[name] = named(df.dtypes, list(df.agg(*content(df)).first()))
+
+    def get(self, name: str, make: Callable[[], DataFrame], after: tuple[str, ...], **parameters: Any) -> DataFrame:
+        """The stage's table, made if there is none of these dependencies that is complete."""
+        self.known[name] = named(name, [self.known[a] for a in after], parameters)
+        return self.stages.get(f"{name}-{self.known[name]}", make)
+
+    def by_frame(self, name: str, rows: DataFrame, make: Callable[[DataFrame], DataFrame], **parameters: Any) -> DataFrame:
+        """make(rows) for rows with a column frame, frame by frame: what was made of equal rows of a frame is read, the rest is made and kept.
+
+        Rows of a frame that no longer are as they were are made anew. Each run
+        writes a part of its own and then which frames it holds, so one that was
+        broken off counts for nothing and is written over.
+        """
+        spark, folder = self.stages.spark, f"{name}-{named(name, parameters)}"
+        prints = rows.groupBy("frame").agg(*content(rows)).select("frame", F.concat_ws(":", "n", "h1", "h2").alias("print"))
+        run = 0
+        while self.stages.complete(f"{folder}/done/run={run}"):
+            run += 1
+        done = None
+        for k in range(run):
+            part = spark.read.parquet(self.stages.path(f"{folder}/done/run={k}")).withColumn("run", F.lit(k))
+            done = part if done is None else done.unionByName(part)
+        wanted = prints if done is None else prints.join(done, ["frame", "print"], "left_anti")
+        if done is None or wanted.limit(1).count():
+            wanted.write.mode("overwrite").parquet(self.stages.path(f"{folder}/wanted"))
+            wanted = spark.read.schema(prints.schema).parquet(self.stages.path(f"{folder}/wanted"))
+            make(rows.join(wanted.select("frame"), "frame", "left_semi")).write.mode("overwrite").parquet(self.stages.path(f"{folder}/rows/run={run}"))
+            wanted.write.mode("overwrite").parquet(self.stages.path(f"{folder}/done/run={run}"))
+            new = wanted.withColumn("run", F.lit(run))
+            done = new if done is None else done.unionByName(new)
+        else:
+            run -= 1
+        last = prints.join(done, ["frame", "print"]).groupBy("frame").agg(F.max("run").alias("run"))
+        out = None
+        for k in range(run + 1):
+            part = spark.read.parquet(self.stages.path(f"{folder}/rows/run={k}")).join(last.where(F.col("run") == k).select("frame"), "frame", "left_semi")
+            out = part if out is None else out.unionByName(part)
+        self.known[name] = named(name, parameters, list(prints.agg(*content(prints)).first()))
+        return out
+
+
 def progress(done: int, total: int, info: str = "") -> str:
     """A line of the progress protocol."""
     return f"Info: {info}" if info else f"Progress: {100 * done // max(1, total)}%"

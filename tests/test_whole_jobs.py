@@ -285,3 +285,66 @@ def test_prelabel_from_scans_with_a_video_model(spark):
     assert len(labels["left"]) == len(labels["right"]) == 1 and {1025, 1026} == labels["left"] | labels["right"]
     with pytest.raises(ValueError):
         plan.prelabel_scans(p, poses)
+
+
+def test_a_second_run_reads_what_is_done(spark, tmp_path):
+    """Labels are the same; a changed parameter makes its stage and later ones anew; masks are asked for by frame."""
+    from pointspark.sources.stages import Stages
+
+    folder = str(tmp_path / "asked")
+
+    def squares(pdf):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/{os.getpid()}", "a") as f:
+            f.write(f"{pdf['frame'].iloc[0]}\n")
+        out = [(r.frame, r.cam, r.obj_id, r.row + i, r.col + j) for r in pdf.itertuples() for i in range(-12, 13) for j in range(-12, 13)]
+        return pd.DataFrame(out, columns=["frame", "cam", "obj_id", "row", "col"])
+
+    def asked():
+        lines = [x for p in (tmp_path / "asked").glob("*") for x in p.read_text().split()]
+        for p in (tmp_path / "asked").glob("*"):
+            p.unlink()
+        return set(map(int, lines))
+
+    def tables():
+        return {p.name.rsplit("-", 1)[0]: p.stat().st_mtime_ns for p in sorted((tmp_path / "stages").iterdir(), key=lambda p: p.stat().st_mtime_ns)}
+
+    points = []
+    for frame in range(2):
+        bodies = [(x, y, z) for x0 in (-6, 5) for x in range(x0, x0 + 3) for y in range(3) for z in (1, 2, 3)]
+        points += [(frame, i, x + 0.5, y + 0.5, z + 0.5 if z else 0.0, 0.5) for i, (x, y, z) in enumerate(bodies + sorted({(x, y, 0) for x, y, _ in bodies}))]
+    eye = [float(i // 4 == i % 4) for i in range(12)]
+    poses = spark.createDataFrame([(f, *eye) for f in range(2)], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    p = spark.createDataFrame(points, "frame int, point_idx int, x double, y double, z double, intensity double")
+    run = lambda points=p, **how: {(r.frame, r.point_idx): r.label for r in plan.prelabel_scans(points, poses, squares, voxel=1.0, scales=((1.5, 8),), stages=Stages(spark, str(tmp_path / "stages")), **how).collect()}
+    first = run()
+    made = tables()
+    assert asked() == {0, 1} and {"split", "superframes", "prompts", "clicks", "masks", "mask-votes", "fused", "sets", "unified", "labelled", "tracked"} <= set(made)
+    assert run() == first and tables() == made and asked() == set()
+    # another radius: labels are fused anew from the votes that are there
+    assert run(radius=3.0) == first
+    again = tables()
+    assert asked() == set() and {n for n in made if again[n] != made[n]} == {"fused", "sets", "unified", "labelled", "tracked"}
+
+
+def test_frames_are_made_once_and_anew_when_they_change(spark, tmp_path):
+    from pointspark.sources.stages import Manifest, Stages
+
+    calls = []
+
+    def make(rows):
+        calls.append(sorted({r.frame for r in rows.collect()}))
+        return rows.select("frame", (F.col("v") * 10).alias("w"))
+
+    def run(rows, **how):
+        done = Manifest(Stages(spark, str(tmp_path)))
+        return sorted(map(tuple, done.by_frame("s", spark.createDataFrame(rows, "frame int, v int"), make, **how).collect()))
+
+    assert run([(0, 1), (1, 2), (1, 3)]) == [(0, 10), (1, 20), (1, 30)]
+    assert run([(1, 3), (1, 2), (2, 5)]) == [(1, 20), (1, 30), (2, 50)]
+    assert run([(0, 1), (1, 2), (2, 6)]) == [(0, 10), (1, 20), (2, 60)]
+    assert run([(0, 1), (2, 5)]) == [(0, 10), (2, 50)]
+    assert run([(0, 1)], model="b") == [(0, 10)]
+    assert calls == [[0, 1], [2], [1, 2], [0]]
