@@ -113,7 +113,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def by_block(rows: DataFrame, each, schema: str) -> DataFrame:
-    """each(table) of the rows of every block, gathered in one task and sorted by kind and a; each gives columns."""
+    """each(table) of the rows of every block, gathered in one task; each gives columns."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,83 +125,99 @@ def by_block(rows: DataFrame, each, schema: str) -> DataFrame:
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), b.num_rows]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if rest and rest[0].column(0)[0].as_py() != int(block[i]):
-                    yield from each(pa.Table.from_batches(rest).combine_chunks())
+                    yield from each(pa.Table.from_batches(rest))
                     rest = []
                 rest.append(b.slice(i, j - i))
         if rest:
-            yield from each(pa.Table.from_batches(rest).combine_chunks())
+            yield from each(pa.Table.from_batches(rest))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in run(batches):
             yield pa.RecordBatch.from_arrays(cols, names)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "block").sortWithinPartitions("block", "kind", "a").mapInArrow(out, schema)
+    # by one number, which Spark sorts without comparing rows; what is in order inside a block is put so where it is needed
+    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(out, schema)
 
 
-def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The value of each wanted key, -1 where it is not among the sorted keys."""
+def looked_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among the keys, -1 where it is not there."""
     if not len(keys):
         return np.full(len(wanted), -1, np.int64)
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[i] == wanted, values[i], -1)
+    order = np.argsort(keys)
+    i = np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)
+    return np.where(keys[order[i]] == wanted, order[i], -1)
 
 
 def extended(index: DataFrame, names: DataFrame, longer: list[DataFrame], parts: int) -> DataFrame:
-    """(block, first, part, nexts, ns): the frequent phrases of each block, those of the most words, with the words that follow and how often.
+    """(block, head, part, nexts, ns): the frequent phrases of each block, those of the most words, with the words that follow and how often.
 
     index has the postings (block, local, places), names the frequent words
     (block, local, id), longer for 2, 3 ... words the frequent phrases (block,
-    first, next, id). The places of a phrase of k words are merged with the
-    postings of the words k places on; what they share is the list of a longer
-    phrase, whose length is given. What follows a phrase is dealt to parts rows.
+    head, nexts), a phrase being the ids of its words. The places of a phrase of
+    k words are merged with the postings of the words k places on; what they
+    share is the list of a longer phrase, whose length is given. What follows a
+    phrase is dealt to parts rows.
     """
     k = len(longer) + 1
 
     def merged(t: pa.Table) -> Iterator[list[pa.Array]]:
-        kind, a = t.column("kind").to_numpy(), t.column("a").to_numpy()
-        cut = np.searchsorted(kind, np.arange(k + 2))
-        named, ids = (t.column(c).slice(cut[1], cut[2] - cut[1]).to_numpy() for c in "ab")
-        places, size = unpacked(t.column("places").slice(0, cut[1]).combine_chunks())
+        kind = t.column("kind").to_numpy()
+        block = t.column("block")[0].as_py()
+
+        def of_kind(j: int, *columns: str) -> list[pa.Array]:
+            rows = pa.array(np.flatnonzero(kind == j))
+            return [t.column(c).take(rows).combine_chunks() for c in columns]
+
+        def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+        named, ids = (x.to_numpy() for x in of_kind(1, "a", "b"))
+        local, lists = of_kind(0, "a", "places")
+        places, size = unpacked(lists)
         # the lists of frequent words, as a map from place to word, so that all merges of a block are one look-up
-        local = looked_up(named, np.arange(len(ids)), a[: cut[1]])
         word = np.full(int(places.max(initial=0)) + k + 1, -1, np.int32)
-        word[places] = np.repeat(local, size)
+        word[places] = np.repeat(looked_up(named, local.to_numpy()), size)
+        del lists, places
         at = np.flatnonzero(word >= 0)
-        own, of = word[at].astype(np.int64), ids  # the phrase at each place, by a number in the block, and its id
+        own, phrases = word[at].astype(np.int64), ids[:, None]  # the phrase at each place, and what words it has
+        known: list[np.ndarray] = []
         for j in range(1, k):
-            first, follows, names = (t.column(c).slice(cut[j + 1], cut[j + 2] - cut[j + 1]).to_numpy() for c in "abc")
-            by_of, by_id = np.argsort(of), np.argsort(ids)
-            key = (looked_up(of[by_of], by_of, first) << 32) | looked_up(ids[by_id], by_id, follows)
-            order = np.argsort(key)
-            found = looked_up(key[order], order, (own << 32) | word[at + j])
-            at, own, of = at[found >= 0], found[found >= 0], names
+            heads, nexts = of_kind(j + 1, "head", "nexts")
+            heads, (nexts, size) = flat(heads)[0].reshape(-1, j), flat(nexts)
+            first = looked_up(ids, heads[:, 0])
+            for i in range(1, j):
+                first = looked_up(known[i - 1], (first << 32) | looked_up(ids, heads[:, i]))
+            first = np.repeat(first, size)
+            known.append((first << 32) | looked_up(ids, nexts))
+            found = looked_up(known[-1], (own << 32) | word[at + j])
+            at, own, phrases = at[found >= 0], found[found >= 0], np.column_stack([np.repeat(heads, size, axis=0), nexts])
         after = word[at + k].astype(np.int64)
         key, n = np.unique((own[after >= 0] << 32) | after[after >= 0], return_counts=True)
         if not len(key):
             return
-        first, after = of[key >> 32], ids[key & 0xFFFFFFFF]
+        first, after = key >> 32, ids[key & 0xFFFFFFFF]
         part = after % parts
-        order = np.lexsort((after, part, first))
+        order = np.lexsort((part, first))
         first, after, part, n = first[order], after[order], part[order], n[order]
         start = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-        block = t.column("block")[0].as_py()
         for i in range(0, len(start), 20_000):
             s = start[i : i + 20_000]
             end = start[i + 20_000] if i + 20_000 < len(start) else len(first)
             offsets = pa.array(np.append(s, end).astype(np.int32) - np.int32(s[0]))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(v[s[0] : end].astype(kind))) for v, kind in ((after, np.int64), (n, np.int32))]
-            yield [pa.array(np.full(len(s), block)), pa.array(first[s]), pa.array(part[s].astype(np.int32)), *lists]
+            heads = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * k), pa.array(phrases[first[s]].ravel()))
+            yield [pa.array(np.full(len(s), block)), heads, pa.array(part[s].astype(np.int32)), *lists]
 
-    none = {"b": "long", "c": "long", "places": "array<int>"}
+    none = {"a": "long", "b": "long", "places": "array<int>", "head": "array<long>", "nexts": "array<long>"}
 
     def rows(df: DataFrame, kind: int, **columns: str) -> DataFrame:
-        return df.select("block", F.lit(kind).alias("kind"), F.col(columns.pop("a")).alias("a"), *[F.col(columns[c]).alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        return df.select("block", F.lit(kind).alias("kind"), *[F.col(columns[c]).alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
 
     whole = rows(index, 0, a="local", places="places").unionByName(rows(names, 1, a="local", b="id"))
     for j, d in enumerate(longer, 2):
-        whole = whole.unionByName(rows(d, j, a="first", b="next", c="id"))
-    return by_block(whole, merged, "block long, first long, part int, nexts array<long>, ns array<int>")
+        whole = whole.unionByName(rows(d, j, head="head", nexts="nexts"))
+    return by_block(whole, merged, "block long, head array<long>, part int, nexts array<long>, ns array<int>")
 
 
 def score(a: str, l: str, r: str) -> str:  # noqa: E741
@@ -210,11 +226,10 @@ def score(a: str, l: str, r: str) -> str:  # noqa: E741
 
 
 def phrases(docs: DataFrame, most_words: int = MOST_WORDS, min_count: int = MIN_COUNT) -> tuple[list[DataFrame], DataFrame]:
-    """For 1, 2 ... most_words words: (id, first, suffix, next, lang, phrase, f, ls, rs) of the phrases found min_count times; and (lang, n).
+    """For 1, 2 ... most_words words: (words, lang, phrase, f, ls, rs) of the phrases found min_count times; and (lang, n).
 
-    ls and rs have the frequencies of both sides of each cut, after one word,
-    two and so on. first and suffix are the ids of a phrase without its last and
-    without its first word.
+    words are the ids of a phrase's words. ls and rs have the frequencies of both
+    sides of each cut, after one word, two and so on.
     """
     slim = docs.select("lang", "text")
     # no more parts than there are blocks, so that small files do not make small blocks
@@ -226,33 +241,29 @@ def phrases(docs: DataFrame, most_words: int = MOST_WORDS, min_count: int = MIN_
     totals = index.groupBy("lang").agg(F.sum("n").alias("n"))
     words = index.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     words = materialize(numbered(words, ("lang", "word"), 0, "id"), "frequent-words")
-    none, empty = F.lit(None).cast("long"), F.array().cast("array<long>")
-    levels = [words.select("id", none.alias("first"), none.alias("suffix"), none.alias("next"), "lang", F.col("word").alias("phrase"), "f", empty.alias("ls"), empty.alias("rs"))]
+    empty = F.array().cast("array<long>")
+    levels = [words.select(F.array("id").alias("words"), "lang", F.col("word").alias("phrase"), "f", empty.alias("ls"), empty.alias("rs"))]
     names = materialize(index.select("block", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "local", "id"), "word-names")
     longer: list[DataFrame] = []
     for k in range(1, most_words):
         lists = materialize(extended(index.select("block", "local", "places"), names, longer, parts), f"lists-{k + 1}")
-        # a phrase's words are dealt to parts before they are counted, so a frequent phrase is not one task's
-        counted = lists.select("first", "part", "nexts", "ns").repartition("first", "part").select("first", "part", F.explode(F.arrays_zip("nexts", "ns")).alias("x"))
-        found = counted.groupBy("first", "part", F.col("x.nexts").alias("next")).agg(F.sum("x.ns").alias("f")).where(F.col("f") >= min_count)
-        # the numbers are fixed by writing them
-        found = materialize(found.withColumn("id", F.monotonically_increasing_id()), f"frequent-{k + 1}")
-        p = levels[-1].select(F.col("id").alias("first"), F.col("suffix").alias("p_suffix"), "lang", F.col("phrase").alias("p_phrase"), F.col("f").alias("p_f"), F.col("ls").alias("p_ls"))
-        # the phrase without its first word, which is as frequent at least
-        s = levels[-1].select(F.col("id").alias("suffix"), F.col("first").alias("s_first"), F.col("next").alias("s_next"), F.col("f").alias("s_f"), F.col("rs").alias("s_rs"))
-        w = levels[0].select(F.col("id").alias("next"), F.col("phrase").alias("word"))
-        same = F.col("suffix") == F.col("next") if k == 1 else (F.col("s_first") == F.col("p_suffix")) & (F.col("s_next") == F.col("next"))
-        rows = found.join(p, "first").join(w, "next").join(s, same)
-        rows = rows.select(
-            "id", "first", "suffix", "next", "lang", F.concat_ws(" ", "p_phrase", "word").alias("phrase"), "f",
-            F.concat("p_ls", F.array("p_f")).alias("ls"), F.concat(F.array("s_f"), "s_rs").alias("rs"),
-        )
+        # what follows a phrase is dealt to parts before it is counted, so a frequent phrase is not one task's
+        counted = lists.select("head", "part", "nexts", "ns").repartition("head", "part").select("head", "part", F.explode(F.arrays_zip("nexts", "ns")).alias("x"))
+        found = counted.groupBy("head", "part", F.col("x.nexts").alias("next")).agg(F.sum("x.ns").alias("f")).where(F.col("f") >= min_count)
+        found = materialize(found, f"frequent-{k + 1}")
+        # a phrase without its last and without its first word is as frequent at least
+        p = levels[-1].select(F.col("words").alias("head"), "lang", F.col("phrase").alias("p_phrase"), F.col("f").alias("p_f"), F.col("ls").alias("p_ls"))
+        s = levels[-1].select(F.col("words").alias("tail"), F.col("f").alias("s_f"), F.col("rs").alias("s_rs"))
+        w = words.select(F.col("id").alias("next"), "word")
+        whole = found.withColumn("words", F.concat("head", F.array("next"))).withColumn("tail", F.slice("words", 2, k))
+        rows = whole.join(p, "head").join(w, "next").join(s, "tail")
+        rows = rows.select("words", "lang", F.concat_ws(" ", "p_phrase", "word").alias("phrase"), "f", F.concat("p_ls", F.array("p_f")).alias("ls"), F.concat(F.array("s_f"), "s_rs").alias("rs"))
         levels.append(materialize(rows, f"phrases-{k + 1}"))
         if k + 1 < most_words:
             # each block learns which of its phrases are frequent
-            known = found.groupBy("first", "part").agg(F.collect_list("next").alias("good"))
-            here = lists.select("block", "first", "part", "nexts").join(known, ["first", "part"]).select("block", "first", F.explode(F.array_intersect("nexts", "good")).alias("next"))
-            longer.append(materialize(here.join(found.select("first", "next", "id"), ["first", "next"]).select("block", "first", "next", "id"), f"names-{k + 1}"))
+            known = found.groupBy("head", "part").agg(F.collect_list("next").alias("good"))
+            here = lists.select("block", "head", "part", "nexts").join(known, ["head", "part"], "left").select("block", "head", F.array_intersect("nexts", "good").alias("nexts"))
+            longer.append(materialize(here.where(F.size("nexts") > 0), f"names-{k + 1}"))
         discard(lists)
     return levels, totals
 
@@ -277,8 +288,9 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, min_count: int =
     for i, level in enumerate(levels[1:], 1):
         if i + 1 < len(levels):
             # what is in a phrase of more words is in one of one word more that is as frequent
-            held = levels[i + 1].select(F.explode(F.array("first", "suffix")).alias("id"), F.col("f").alias("most")).groupBy("id").agg(F.max("most").alias("most"))
-            level = level.join(held, "id", "left").where(f"most is null or 100 * most < {inside} * f").drop("most")
+            n = i + 1
+            held = levels[i + 1].select(F.explode(F.array(F.slice("words", 1, n), F.slice("words", 2, n))).alias("words"), F.col("f").alias("most")).groupBy("words").agg(F.max("most").alias("most"))
+            level = level.join(held, "words", "left").where(f"most is null or 100 * most < {inside} * f").drop("most")
         level = level.select("lang", "phrase", "f", "ls", "rs")
         whole = level if whole is None else whole.unionByName(level)
     cut = F.transform("ls", lambda l, i: F.struct(l.alias("l"), F.get("rs", i).alias("r"), i.alias("i")))  # noqa: E741
