@@ -209,10 +209,11 @@ def extended(index: DataFrame, names: DataFrame, longer: list[DataFrame], parts:
             heads = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * k), pa.array(phrases[first[s]].ravel()))
             yield [pa.array(np.full(len(s), block)), heads, pa.array(part[s].astype(np.int32)), *lists]
 
-    none = {"a": "long", "b": "long", "places": "array<int>", "head": "array<long>", "nexts": "array<long>"}
+    # empty lists, not nulls: where a list is null, Spark counts a batch's size again from the last list before it, row by row
+    none = {c: F.lit(0).cast("long") for c in "ab"} | {c: F.array().cast(t) for c, t in (("places", "array<int>"), ("head", "array<long>"), ("nexts", "array<long>"))}
 
     def rows(df: DataFrame, kind: int, **columns: str) -> DataFrame:
-        return df.select("block", F.lit(kind).alias("kind"), *[F.col(columns[c]).alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        return df.select("block", F.lit(kind).alias("kind"), *[F.col(columns[c]).alias(c) if c in columns else empty.alias(c) for c, empty in none.items()])
 
     whole = rows(index, 0, a="local", places="places").unionByName(rows(names, 1, a="local", b="id"))
     for j, d in enumerate(longer, 2):
