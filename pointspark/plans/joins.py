@@ -134,10 +134,8 @@ r AS (SELECT kf, obj, c, d2, row_number() OVER (PARTITION BY kf, obj ORDER BY d2
 def topk_negatives(spark, d):
     p = X.points(spark, d)
     s = p.where("sem = 2").select(F.col("frame").alias("kf"), F.col("segment").alias("c"), "x", "y", "z")
-    q = p.where("sem = 3").select(F.col("frame").alias("kf"), F.col("point_idx").alias("obj"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    d2 = (F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y")) + (F.col("pz") - F.col("z")) * (F.col("pz") - F.col("z"))
-    far = q.join(s, "kf").groupBy("kf", "obj", "c").agg(F.min(d2).alias("d2")).where("d2 > 1.44")
-    return J.top_within(far, ("kf", "obj"), ["d2", "c"], 5).select("kf", "obj", "c", "rank")
+    q = p.where("sem = 3").select(F.col("frame").alias("kf"), F.col("point_idx").alias("obj"), "x", "y", "z")
+    return J.nearest_groups(q, s, ("x", "y", "z"), ("kf", "obj"), "c", 5, 1.2, ("kf",)).select("kf", "obj", "c", "rank")
 
 
 SPOTS = "spots AS (SELECT DISTINCT CAST(o_custkey AS INTEGER) AS frame, CAST(o_custkey % 61 AS DOUBLE) - 3e1 AS px, CAST(o_custkey % 53 AS DOUBLE) - 26e0 AS py FROM orders)"

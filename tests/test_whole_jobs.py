@@ -360,3 +360,50 @@ def test_clock_equals_its_sql_beyond_a_hundred_hours(spark, data, tmp_path):
     db.sql(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     assert any(int(r.o_custkey) >= 360_000 for r in orders.collect())
     assert got == sorted(tuple(r) for r in db.sql(catalog.oracle_sql()["string_functions"]).fetchall())
+
+
+@pytest.mark.parametrize(("spread", "copies"), [(3.0, 4), (40.0, 1)])
+def test_nearest_groups_equal_all_pairs(spark, spread, copies):
+    from pointspark.operators import joins as J
+
+    rng = np.random.default_rng(5)
+    kinds = "f int, i int, c long, x double, y double, z double"
+    rows = [(f, i, int(rng.integers(0, 12)), *np.round(rng.uniform(0, spread, 3), 1).tolist()) for f in (0, 1) for i in range(60)]
+    left = [(f, 100 * k + i, c, *p) for f, i, c, *p in rows[::3] for k in range(copies)]
+    right = [r for r in rows if r not in rows[::3]]
+    want = set()
+    for f, i, _, *p in left:
+        near = {}
+        for g, _, c, *q in right:
+            if f == g:
+                near[c] = min(near.get(c, np.inf), (p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2]))
+        want |= {(f, i, c, rank) for rank, (_, c) in enumerate(sorted((d, c) for c, d in near.items() if d > 1.44)[:5], 1)}
+    got = J.nearest_groups(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds), ("x", "y", "z"), ("f", "i"), "c", 5, 1.2, ("f",))
+    assert {(r.f, r.i, r.c, r["rank"]) for r in got.collect()} == want
+
+
+def test_topk_negatives_meets_rows_of_one_place_once(spark, data, tmp_path):
+    """All pairs of a frame made the join grow with the square of the rows."""
+    from pyspark.sql import Observation
+
+    from pointspark.operators import joins as J
+
+    table = spark.read.parquet(f"{data}/lineitem.parquet")
+    table.crossJoin(spark.range(4)).withColumn("l_orderkey", F.col("l_orderkey") + 64 * 10**6 * F.col("id")).drop("id").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made, whole = [], J.radius_join
+
+    def counted(*args, **kwargs):
+        seen = Observation()
+        made.append(seen)
+        return whole(*args, **kwargs).observe(seen, F.count("*").alias("n"))
+
+    J.radius_join = counted
+    try:
+        sizes = []
+        for d in (data, str(tmp_path)):
+            made.clear()
+            catalog.queries()["topk_negatives"](spark, d).count()
+            sizes.append(sum(m.get["n"] for m in made))
+    finally:
+        J.radius_join = whole
+    assert sizes[0] == sizes[1] > 0
