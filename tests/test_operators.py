@@ -485,3 +485,17 @@ def test_pairs_do_not_grow_with_the_square_of_a_cell(spark, monkeypatch):
     got = {r.key: r.cluster for r in C.dbscan(df, 1.0, 8, "key", ("x", "y", "z")).collect()}
     assert all(got[i] == 0 for i in range(1000)) and made["neighbours"] <= 15 * 1015
     assert got == dense_clusters([(i, tuple(x)) for i, x in enumerate(v.tolist())], 1.0, 8)
+
+
+def test_long_chains_are_joined_by_parts(spark, monkeypatch):
+    """Every round over all edges cost the whole table again, a round for each doubling of the chain."""
+    from pointspark.operators import graph
+
+    rounds, whole = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: rounds.append(label) or whole(df, label))
+    n = 3000
+    chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    far = spark.createDataFrame([(10_000, 10_007), (10_007, 5), (20_001, 20_000), (7, 7), (30_000, 30_000)], "a long, b long")
+    got = {r.node: r.component for r in graph.connected_components(chain.unionByName(far).repartition(7)).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, 10_000: 0, 10_007: 0, 20_000: 20_000, 20_001: 20_000, 30_000: 30_000}
+    assert rounds.count("stars") <= 5
