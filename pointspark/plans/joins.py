@@ -9,6 +9,7 @@ from pointspark.operators import joins as J
 from pointspark.operators import spatial as P
 from pointspark.plans.core import PIXELS, VOXELS, pixels
 from pointspark.plans.registry import query
+from pointspark.session import materialize
 
 POINTS = X.POINTS
 
@@ -25,7 +26,8 @@ NEAR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a
 @query(f"""WITH {POINTS}, n AS (SELECT a.frame, a.point_idx, b.segment, {NEAR} AS d2, b.point_idx AS o FROM points a JOIN points b ON a.frame = b.frame WHERE a.sem = 0 AND b.sem <> 0 AND {NEAR} <= 9e0),
 r AS (SELECT *, row_number() OVER (PARTITION BY frame, point_idx ORDER BY d2, o) AS k FROM n) SELECT frame, point_idx, segment AS label, d2 FROM r WHERE k = 1""")
 def nn_label_transfer(spark, d):
-    p = X.points(spark, d)
+    # read twice below, so that points are numbered once
+    p = materialize(X.points(spark, d).select("frame", "point_idx", "x", "y", "z", "sem", "segment"), "points")
     left, right = p.where("sem = 0").select("frame", "point_idx", "x", "y", "z"), p.where("sem <> 0").select("frame", "point_idx", "x", "y", "z", "segment")
     near = J.nearest_join(left, right, ("x", "y", "z"), ("frame", "point_idx"), "point_idx", 3.0, ("frame",))
     return near.select("frame", "point_idx", F.col("r_segment").alias("label"), "d2")
