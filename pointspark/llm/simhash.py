@@ -225,16 +225,28 @@ def keep_one(docs: DataFrame, shingle: int = 5, alike: float = 0.8) -> DataFrame
     """docs with one row of each near-duplicate group: the one of the smallest doc_id.
 
     Texts are linked where the Jaccard similarity of their sets of shingles is
-    alike or more; texts without words are one group.
+    alike or more; texts without words are one group. Which row stays, see
+    first_of_groups.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = materialize(minhash.sketched(slim, shingle), "sketches")
+    return first_of_groups(docs, grouped(own, minhash.links(slim, own, shingle, alike)))
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each group whose fingerprints links of at most radius differing bits join (near_duplicates); which one, see first_of_groups."""
+    return first_of_groups(docs, near_duplicates(docs, shingle, radius))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row of each group in groups (doc_id, fingerprint, component_id, text_hash): the one of the smallest doc_id.
 
     Of rows that repeat that doc_id and text, the one stays whose columns hash
     lowest. Rows with a null doc_id stay only where their whole group has none,
     one of them. All columns are kept. Texts are read whole, however long.
     """
     text_hash, id_, hash_ = free_names(docs.columns, "text_hash", "dropped_id", "dropped_hash")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    own = materialize(minhash.sketched(slim, shingle), "sketches")
-    found = materialize(grouped(own, minhash.links(slim, own, shingle, alike)), "near-duplicates")
+    found = materialize(groups, "near-duplicates")
     stay = found.where("doc_id <=> component_id").groupBy("fingerprint", "component_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n"))
     # a group may hold its smallest id in several rows; the first fingerprint stands for it
     stay = stay.groupBy("component_id").agg(F.min_by(F.struct("text_hash"), F.struct("fingerprint", "text_hash")).alias("x"), F.sum("n").alias("n")).select(F.col("component_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("n").alias("_n"))

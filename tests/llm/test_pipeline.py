@@ -94,3 +94,28 @@ def test_run(spark, data):
         assert len(r.ids) == r.length
         sizes[r.sequence_id] += r.length
     assert max(sizes.values()) <= 1024
+
+
+def test_near_duplicates_are_those_of_simhash(spark, data):
+    """Fingerprints decide: a stage that linked by min-hash and exact Jaccard kept other documents."""
+    from pointspark.llm import simhash
+
+    rng = random.Random(3)
+    long = common.prose(rng, 600).split()
+    near = [*long[:300], "other", *long[301:]]  # a word of 600: alike at 0.8, but not all such pairs are within three bits
+    short = [f"{a} {b} tail" for a in "abcdefgh" for b in "xyz"]
+    texts = [" ".join(long), " ".join(near), *short, *(common.prose(rng, 50) for _ in range(30))]
+    for i in range(20):  # every sixtieth word replaced: alike at 0.8 by far, fingerprints further off
+        words = common.prose(rng, 300).split()
+        texts += [" ".join(words), " ".join(w if k % 60 else f"w{i}" for k, w in enumerate(words))]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, common.SCHEMA)
+    prints = simhash.fingerprints(texts, 3).tolist()
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                root[i] = root[j] = min(root[i], root[j])
+    kept = sorted(r.doc_id for r in cp.simhash_dedup(spark, docs, data).collect())
+    assert kept == sorted(set(root))
+    assert kept != sorted(r.doc_id for r in simhash.keep_one(docs).collect())
