@@ -407,3 +407,23 @@ def test_topk_negatives_meets_rows_of_one_place_once(spark, data, tmp_path):
     finally:
         J.radius_join = whole
     assert sizes[0] == sizes[1] > 0
+
+
+def test_nearest_join_meets_rows_of_one_place_once(spark, monkeypatch):
+    from pointspark.operators import joins as J
+
+    rng = np.random.default_rng(7)
+    places = [tuple(np.round(rng.uniform(0, 6, 3), 1).tolist()) for _ in range(60)]
+    left = [(k % 2, k, *places[k % 20]) for k in range(100)]
+    right = [(k % 2, int(i), *places[20 + k % 40], int(i) + 500) for k, i in enumerate(rng.permutation(400))]
+    want = set()
+    for f, i, *p in left:
+        near = [((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2]), o, s) for g, o, *q, s in right if f == g]
+        near = [n for n in near if n[0] <= 9]
+        want |= {(f, i, *min(near)[1:])} if near else set()
+    met, whole = [], J.radius_join
+    monkeypatch.setattr(J, "radius_join", lambda *a, **b: met.append((a[0].count(), a[1].count())) or whole(*a, **b))
+    kinds = "f int, i int, x double, y double, z double"
+    got = J.nearest_join(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds + ", s long"), ("x", "y", "z"), ("f", "i"), "i", 3.0, ("f",))
+    assert {(r.f, r.i, r.r_i, r.r_s) for r in got.collect()} == want
+    assert met[0] == (len({(r[0], *r[2:5]) for r in left}), len({(r[0], *r[2:5]) for r in right}))
