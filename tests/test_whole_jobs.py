@@ -50,6 +50,56 @@ def test_each_camera_votes_with_its_own_masks(spark):
     assert sorted((r.cam, r.obj_id) for r in votes.collect()) == [(k, 1000 + k) for k in range(4)]
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for others."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_points_of_a_pixel_and_a_voxel_are_shuffled_as_one(spark):
+    n, objects = 2000, range(1000, 1020)
+    points = spark.createDataFrame([(f, 1.5 + i * 1e-6, 5.5, 0.1) for f in range(3) for i in range(n)], "frame int, x double, y double, z double")
+    eye = [float(i // 4 == i % 4) for i in range(12)]
+    poses = spark.createDataFrame([(f, *eye) for f in range(3)], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    views = plan.default_pixels()
+    at = points.select(views[0][1].alias("row"), views[0][2].alias("col")).distinct().collect()
+    assert len(at) == 1
+    masks = spark.createDataFrame([(f, 0, k, at[0].row, at[0].col) for f in range(3) for k in objects], "frame int, cam int, obj_id long, row int, col int")
+    before = shuffled_rows(spark)
+    got = {(r.frame, r.vx, r.vy, r.vz, r.obj_id, r.cam, r.sf): r.cnt for r in plan.mask_votes(points, masks, poses, views, 3, 1.0).collect()}
+    assert got == {(f, 1, 5, 0, k, 0, s): n for f in range(3) for k in objects for s in (-1, 0, 1) if 0 <= f + s < 3}
+    assert shuffled_rows(spark) - before < n
+
+
+def test_votes_are_those_of_every_point_with_every_mask(spark):
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(int(f), *map(float, rng.uniform(-20, 20, 2)), float(rng.uniform(-2, 2))) for f in range(4) for _ in range(150)], "frame int, x double, y double, z double")
+    turn = lambda f: (0.6, -0.8, 0, 0.5 * f, 0.8, 0.6, 0, -0.25 * f, 0, 0, 1, 0) if f % 2 else (1, 0, 0, 0.5 * f, 0, 1, 0, 0, 0, 0, 1, 0)
+    poses = spark.createDataFrame([(f, *map(float, turn(f))) for f in range(4)], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    # frame 3 has no masks, camera 2 none at all; a row that is there twice counts twice
+    rows = [(f, c, 1000 + int(rng.integers(4)), int(rng.integers(48)), int(rng.integers(64))) for f in range(3) for c in (0, 1, 3) for _ in range(2500)]
+    masks = spark.createDataFrame(rows, "frame int, cam int, obj_id long, row int, col int")
+    held = {}
+    for f, c, k, row, col in rows:
+        held.setdefault((f, c, row, col), []).append(k)
+    moves = {(r.centre, r.frame): [[r[f"m{i}{j}"] for j in range(4)] for i in range(3)] for r in P.relative_poses(P.frame_window(poses, 3), poses).collect()}
+    views = plan.default_pixels()
+    expected = {}
+    for r in points.select("frame", *P.XYZ, *[c.alias(f"{n}{i}") for i, v in enumerate(views) for n, c in zip(("cam", "row", "col"), v, strict=True)]).collect():
+        for (centre, frame), m in moves.items():
+            if frame == r.frame:
+                v = tuple(int(np.floor((m[i][0] * r.x + m[i][1] * r.y + m[i][2] * r.z + m[i][3]) / 2.0)) for i in range(3))
+                for i in range(4):
+                    for k in held.get((frame, i, r[f"row{i}"], r[f"col{i}"]), ()):
+                        key = (centre, *v, k, i, frame - centre)
+                        expected[key] = expected.get(key, 0) + 1
+    got = {(r.frame, r.vx, r.vy, r.vz, r.obj_id, r.cam, r.sf): r.cnt for r in plan.mask_votes(points, masks, poses, views, 3, 2.0).collect()}
+    assert got == expected and sum(got.values()) > 500
+
+
 def test_sets_are_those_of_fusion(spark):
     # 1 and 2 overlap from two cameras; 3 and 4 stand in the same slab of x, apart in y
     rows = box(1, 0, 0, 0) + box(2, 1, 0, 1) + box(3, 0, 0, 40) + box(4, 1, 0, 80) + box(1, 0, 0, 0, 1) + box(2, 1, 0, 30, 1)
