@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pointspark import fixtures as X
 from pointspark.functions import udtf
 from pointspark.operators import aggregates as A
 from pointspark.operators import cluster as C
@@ -477,3 +478,37 @@ def test_nearest_join_meets_rows_of_one_place_once(spark, monkeypatch):
     got = J.nearest_join(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds + ", s long"), ("x", "y", "z"), ("f", "i"), "i", 3.0, ("f",))
     assert {(r.f, r.i, r.r_i, r.r_s) for r in got.collect()} == want
     assert met[0] == (len({(r[0], *r[2:5]) for r in left}), len({(r[0], *r[2:5]) for r in right}))
+
+
+def order_lines(spark, folder, rows):
+    """A table lineitem of (frame, linenumber, partkey, suppkey, x, y) in a folder: linenumber says z and a mask's camera, partkey its row, x its column, suppkey its object."""
+    lines = [(f, n, p, s, x + 25.5, (y + 26.0) * 2000.0, 0.1) for f, n, p, s, x, y in rows]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_prelabel_tells_objects_apart_at_the_resolution_of_the_configuration(spark, tmp_path):
+    """Voxels were so coarse that every frame was one region, and all points of a sequence had one label."""
+    things = [(1000, 0.5, 0.1), (1001, 2.5, 0.1), (1002, 2.5, 1.7)]
+    rows = []
+    for frame in range(3):
+        for k, x, y in things:
+            # a thing, the ground below it, and a pixel of its mask: camera 1 looks along y
+            depth = y + 30.0
+            row, col = int(50.0 * (-0.5 * 8.0) / depth + 24.0), int(50.0 * -x / depth + 32.0)
+            rows += [(frame, 3, 0, k - 1000, x, y), (frame, 1, 0, k - 1000, x, y), (frame, 1, row, k - 1000, col - 25.5, 20.0 + k - 1000)]
+    got = catalog.queries()["prelabel"](spark, order_lines(spark, tmp_path / "in", rows)).collect()
+    points = X.points(spark, str(tmp_path / "in")).collect()
+    at = {(r.frame, r.point_idx): (r.x, r.y, r.z) for r in points}
+    assert len(got) == len(points) == len(at)
+    seen = {(r.frame, at[r.frame, r.point_idx][:2]): r.label for r in got if at[r.frame, r.point_idx][2] == -0.5}
+    assert len(seen) == 9 and all(at[r.frame, r.point_idx][2] == -0.5 or r.label == 0 for r in got)
+    # one label a thing, through all frames, numbered by first appearance
+    named = {(round(x, 6), round(y, 6)): {v for (_, p), v in seen.items() if p == (x, y)} for _, (x, y) in seen}
+    assert sorted(map(sorted, named.values())) == [[1025], [1026], [1027]]
+
+
+def test_growth_takes_the_groups_that_have_labels_and_free_voxels(spark):
+    rows = [(0, 0, 0, 0, 0, 5), (0, 0, 1, 0, 0, None), (0, 0, 2, 0, 0, None), (0, 0, 3, 0, 0, None), (0, 1, 0, 0, 0, None), (0, 1, 1, 0, 0, None), (0, 2, 0, 0, 0, 7), (1, 0, 9, 0, 0, None)]
+    voxels = spark.createDataFrame(rows, "frame int, region long, vx long, vy long, vz long, obj_id long")
+    assert {tuple(r) for r in C.grow(voxels).select("frame", "region", *C.VOXEL, "obj_id").collect()} == {(0, 0, x, 0, 0, 5) for x in (1, 2, 3)}
