@@ -512,3 +512,34 @@ def test_growth_takes_the_groups_that_have_labels_and_free_voxels(spark):
     rows = [(0, 0, 0, 0, 0, 5), (0, 0, 1, 0, 0, None), (0, 0, 2, 0, 0, None), (0, 0, 3, 0, 0, None), (0, 1, 0, 0, 0, None), (0, 1, 1, 0, 0, None), (0, 2, 0, 0, 0, 7), (1, 0, 9, 0, 0, None)]
     voxels = spark.createDataFrame(rows, "frame int, region long, vx long, vy long, vz long, obj_id long")
     assert {tuple(r) for r in C.grow(voxels).select("frame", "region", *C.VOXEL, "obj_id").collect()} == {(0, 0, x, 0, 0, 5) for x in (1, 2, 3)}
+
+@pytest.mark.parametrize("radius", [0.5, 1.0, 2.0, 4.0, 5.5])
+def test_regions_of_blocks_are_those_of_all_pairs(spark, radius):
+    rng = np.random.default_rng(int(radius * 2))
+    places = sorted({(f, *map(int, rng.integers(-int(6 * radius + 4), int(6 * radius + 4), 3))) for f in range(2) for _ in range(220)})
+    v = np.array(places)
+    near = (((v[:, None, 1:] - v[None, :, 1:]) ** 2).sum(-1) <= radius * radius) & (v[:, None, 0] == v[None, :, 0])
+    want = np.arange(len(v))
+    while not np.array_equal(new := np.where(near, want[None, :], len(v)).min(axis=1), want):
+        want = new
+    voxels = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "key long, frame int, vx long, vy long, vz long")
+    got = {r.key: r.region for r in C.regions(voxels, radius, "key", ("frame",)).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_regions_do_not_copy_every_voxel_to_all_cells_around(spark):
+    voxels = spark.createDataFrame([(x * 400 + y * 20 + z, x, y, z) for x in range(20) for y in range(20) for z in range(20)], "key long, vx long, vy long, vz long")
+    before = shuffled_rows(spark)
+    assert {r.region for r in C.regions(voxels, 4.0, "key").collect()} == {0}
+    assert shuffled_rows(spark) - before < 8000 * 8
+
+
+def test_votes_of_given_voxels_are_those_of_all_that_lie_there(spark):
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(f, *map(float, rng.uniform(-20, 20, 2)), float(rng.uniform(-2, 2))) for f in range(3) for _ in range(300)], "frame int, x double, y double, z double")
+    poses = spark.createDataFrame([(f, 1.0, 0.0, 0.0, 0.25 * f, 0.0, 1.0, 0.0, -0.5 * f, 0.0, 0.0, 1.0, 0.0) for f in range(3)], "frame int, " + ", ".join(f"m{i // 4}{i % 4} double" for i in range(12)))
+    masks = spark.createDataFrame([(f, c, 1000 + int(rng.integers(4)), int(rng.integers(48)), int(rng.integers(64))) for f in range(3) for c in range(4) for _ in range(2500)], "frame int, cam int, obj_id long, row int, col int")
+    cells = points.select("frame", *P.voxel_keys(0.2)).distinct().unionByName(points.select("frame", *P.voxel_keys(0.2)).where("vx > 0"))
+    votes = lambda df: sorted(tuple(r) for r in df.select("frame", *C.VOXEL, "obj_id", "cam", "sf", "cnt").collect())
+    some = votes(plan.mask_votes(points, masks, poses, plan.default_pixels(), 3, 0.2, cells))
+    assert some == votes(plan.mask_votes(points, masks, poses, plan.default_pixels(), 3, 0.2).join(cells.distinct(), ["frame", *C.VOXEL], "left_semi")) and len(some) > 100
