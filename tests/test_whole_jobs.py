@@ -543,3 +543,13 @@ def test_votes_of_given_voxels_are_those_of_all_that_lie_there(spark):
     votes = lambda df: sorted(tuple(r) for r in df.select("frame", *C.VOXEL, "obj_id", "cam", "sf", "cnt").collect())
     some = votes(plan.mask_votes(points, masks, poses, plan.default_pixels(), 3, 0.2, cells))
     assert some == votes(plan.mask_votes(points, masks, poses, plan.default_pixels(), 3, 0.2).join(cells.distinct(), ["frame", *C.VOXEL], "left_semi")) and len(some) > 100
+
+
+def test_prelabel_hears_the_masks_of_scans_around(spark, tmp_path):
+    """A thing stands still; the scan after, turned and moved on, is the only one with its mask."""
+    x, y = 0.6 * 0.25 + 0.8 * 0.1, -0.8 * 0.25 + 0.6 * 0.1
+    row, col = int(50.0 * (-0.5 * 8.0) / (y + 30.0) + 24.0), int(50.0 * -x / (y + 30.0) + 32.0)
+    rows = [(0, n, 0, 0, 0.5, 0.1) for n in (1, 3)] + [(1, n, 0, 0, x, y) for n in (1, 3)] + [(1, 1, row, 0, col - 25.5, 20.0)]
+    got = catalog.queries()["prelabel"](spark, order_lines(spark, tmp_path / "in", rows)).collect()
+    things = {(r.frame, r.point_idx) for r in X.points(spark, str(tmp_path / "in")).where("z = -0.5").collect()}
+    assert {(r.frame, r.point_idx): r.label for r in got if r.label} == dict.fromkeys(things, 1025) and len(things) == 2
